@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, quality, secrets
+from . import mixing, neardup, packing, quality, secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": mixing.op1_mix_sources,
+        "op3_minhash_near_dedup": neardup.op3_minhash_near_dedup,
         "op7_secret_scan": secrets.op7_secret_scan,
         "op8_best_fit_packing": packing.op8_best_fit_packing,
         "op10_quality_rules": quality.op10_quality_rules,
