@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, neardup, packing, quality, secrets
+from . import mixing, neardup, packing, quality, secrets, substrings
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_minhash_near_dedup": neardup.op3_minhash_near_dedup,
         "op7_secret_scan": secrets.op7_secret_scan,
         "op8_best_fit_packing": packing.op8_best_fit_packing,
+        "op9_radix_substring_dedup": substrings.op9_radix_substring_dedup,
         "op10_quality_rules": quality.op10_quality_rules,
     }
 
