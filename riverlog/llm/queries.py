@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, neardup, packing, quality, secrets, substrings, warc
+from . import mixing, neardup, neighbours, packing, quality, secrets, substrings, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": mixing.op1_mix_sources,
         "op3_minhash_near_dedup": neardup.op3_minhash_near_dedup,
+        "op4_hilbert_neighbours": neighbours.op4_hilbert_neighbours,
         "op5_warc_round_trip": warc.op5_warc_round_trip,
         "op7_secret_scan": secrets.op7_secret_scan,
         "op8_best_fit_packing": packing.op8_best_fit_packing,
