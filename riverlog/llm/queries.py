@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, neardup, neighbours, packing, quality, secrets, substrings, warc
+from . import lines, mixing, neardup, neighbours, packing, quality, secrets, substrings, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": mixing.op1_mix_sources,
+        "op2_line_dedup": lines.op2_line_dedup,
         "op3_minhash_near_dedup": neardup.op3_minhash_near_dedup,
         "op4_hilbert_neighbours": neighbours.op4_hilbert_neighbours,
         "op5_warc_round_trip": warc.op5_warc_round_trip,
@@ -23,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_line_dedup": lines.OP2_SQL}
