@@ -7,7 +7,8 @@ is the set of scores that fixes the threshold. Every document is then kept or no
 the ratio against the threshold after them.
 
 Defined results: a null text has no words; such a document fails the rules; without trusted labels the ratio
-is 0 and the rules alone decide; repeated rows have a result each; an empty table gives an empty result.
+is 0 and the rules alone decide; repeated rows have a result each; an empty table gives an empty result;
+an existing column named like the added one gives way.
 """
 
 from __future__ import annotations
@@ -171,12 +172,12 @@ def scored(text, model: QualityModel):
     return of(text)
 
 
-def judge(docs: DataFrame, model: QualityModel, text_col: str = "text") -> DataFrame:
-    """``docs`` with a column ``quality``: struct of FEATURES, base_failed and kept."""
-    rows = docs.withColumn("quality", scored(F.col(text_col), model))
-    q = lambda name: F.col(f"quality.{name}")
+def judge(docs: DataFrame, model: QualityModel, text_col: str = "text", out_col: str = "quality") -> DataFrame:
+    """``docs`` with a column ``out_col``: struct of FEATURES, base_failed and kept."""
+    rows = docs.withColumn(out_col, scored(F.col(text_col), model))
+    q = lambda name: F.col(f"`{out_col}`.{name}")
     failed = (q("n_words") < 50) | (100 * q("n_repeat_words") > 50 * q("n_words"))
-    return rows.withColumn("quality", F.struct("quality.*", failed.alias("base_failed"), (~failed & (q("score") >= F.lit(model.threshold))).alias("kept")))
+    return rows.withColumn(out_col, F.struct(f"`{out_col}`.*", failed.alias("base_failed"), (~failed & (q("score") >= F.lit(model.threshold))).alias("kept")))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

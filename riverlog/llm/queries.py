@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lines, mixing, neardup, neighbours, packing, quality, secrets, substrings, warc
+from . import lines, mixing, neardup, neighbours, packing, privacy, quality, secrets, substrings, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_minhash_near_dedup": neardup.op3_minhash_near_dedup,
         "op4_hilbert_neighbours": neighbours.op4_hilbert_neighbours,
         "op5_warc_round_trip": warc.op5_warc_round_trip,
+        "op6_personal_data": privacy.op6_personal_data,
         "op7_secret_scan": secrets.op7_secret_scan,
         "op8_best_fit_packing": packing.op8_best_fit_packing,
         "op9_radix_substring_dedup": substrings.op9_radix_substring_dedup,
