@@ -6,7 +6,9 @@ rarest of them that two documents of the wanted similarity must share, so common
 a list, members are compared with one member drawn at random, a different one in every list, never all with all: the
 union of both sketches estimates the similarity, full sets confirm it, and components absorb the links. Further rounds
 look only at lists that still hold several components; the last one compares what is left across components,
-so no link between components is lost beyond the odds of ``loss`` at the exact threshold.
+so no link between components is lost beyond the odds of ``loss`` at the exact threshold. There a parity bitmap of each set
+decides first: two bitmaps never differ in more bits than the sets in elements, so a pair whose bitmaps differ in too
+many can't be similar, and near misses in dense groups are not handed on as candidates.
 
 Defined results: a null text or one without words has an empty set and is linked with nothing; a text of fewer words
 than a shingle has its whole sequence as the one element; rows that share a doc_id are one node and have a
@@ -39,7 +41,8 @@ class NearSettings:
     sketch: int = 64
     indexed: int = 32
     loss: float = 1e-6
-    rounds: int = 3
+    rounds: int = 2
+    parity_words: int = 16  # of 64 bits
     chunk_bytes: int = 4_000_000
 
 
@@ -95,7 +98,8 @@ def _batches(batches: Iterator[pa.RecordBatch], s: NearSettings) -> Iterator[tup
 
 
 def signatures(docs: DataFrame, s: NearSettings) -> DataFrame:
-    """doc_id, n (size of the set), p and q (its 128-bit fingerprint), sketch."""
+    """doc_id, n (size of the set), p and q (its 128-bit fingerprint), sketch, and the words o0, o1, ... of a parity bitmap."""
+    names = _parity_names(s)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, offsets, values in _batches(batches, s):
@@ -104,9 +108,25 @@ def signatures(docs: DataFrame, s: NearSettings) -> DataFrame:
             prints = [(x[offsets[1:]] - x[offsets[:-1]]).view(np.int64) for x in sums]
             inside = np.arange(len(values)) - np.repeat(offsets[:-1], sizes) < s.sketch
             kept = np.concatenate([[0], np.cumsum(np.minimum(sizes, s.sketch))]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), *map(pa.array, prints), pa.ListArray.from_arrays(kept, values[inside])], ["doc_id", "n", "p", "q", "sketch"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), *map(pa.array, prints), pa.ListArray.from_arrays(kept, values[inside]), *map(pa.array, parity(offsets, data, s.parity_words).T)], ["doc_id", "n", "p", "q", "sketch", *names])
 
-    return docs.select("doc_id", "text").mapInArrow(of, "doc_id long, n long, p long, q long, sketch array<long>")
+    return docs.select("doc_id", "text").mapInArrow(of, "doc_id long, n long, p long, q long, sketch array<long>, " + ", ".join(f"{o} long" for o in names))
+
+
+def _parity_names(s: NearSettings) -> list[str]:
+    return [f"o{i}" for i in range(s.parity_words)]
+
+
+def parity(offsets: np.ndarray, data: np.ndarray, words: int) -> np.ndarray:
+    """Whether each bit is hit by an odd number of a set's elements; a row of 64-bit words for each set."""
+    out = np.empty((len(offsets) - 1, words), np.int64)
+    bit = (_mixed(data ^ MULTIPLIERS[2]) % np.uint64(64 * words)).astype(np.int64)
+    for first in range(0, len(out), 2048):
+        edge = offsets[first : first + 2049]
+        owner = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
+        hits = np.bincount(owner * 64 * words + bit[edge[0] : edge[-1]], minlength=64 * words * (len(edge) - 1))
+        out[first : first + 2048] = np.packbits((hits & 1).astype(np.uint8), bitorder="little").view(np.int64).reshape(-1, words)
+    return out
 
 
 def full_sets(docs: DataFrame, s: NearSettings) -> DataFrame:
@@ -182,7 +202,7 @@ def near_components(docs: DataFrame, settings: NearSettings = NearSettings()) ->
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = scratch.table(signatures(docs, s), "signatures")
     known = rows.filter("n > 0 and doc_id is not null")
-    reps = scratch.table(known.groupBy("p", "q", "n").agg(F.min("doc_id").alias("rep"), F.any_value("sketch").alias("sketch")), "reps")
+    reps = scratch.table(known.groupBy("p", "q", "n").agg(F.min("doc_id").alias("rep"), F.any_value("sketch").alias("sketch"), *[F.any_value(o).alias(o) for o in _parity_names(s)]), "reps")
     lists = inverted_lists(reps.select("rep", "n", "sketch"), s, scratch)
     linker = _Linker(docs, reps.select("rep", "sketch"), s, scratch)
     links = labels = None
@@ -202,11 +222,16 @@ def near_components(docs: DataFrame, settings: NearSettings = NearSettings()) ->
         links = found if links is None else links.union(found)
         labels = components(links, scratch)
     if labels is not None:
-        members = _open_lists(lists, labels, scratch).join(reps.select("rep", "sketch"), "rep")
-        a, b = (members.select("value", *[F.col(c).alias(f"{c}_{x}") for c in ("rep", "n", "label", "sketch")]) for x in "ab")
+        bits = _parity_names(s)
+        members = _open_lists(lists, labels, scratch).join(reps.select("rep", *bits), "rep")
+        a, b = (members.select("value", *[F.col(c).alias(f"{c}_{x}") for c in ("rep", "n", "label", *bits)]) for x in "ab")
+        differ = sum((F.bit_count(F.col(f"{o}_a").bitwiseXOR(F.col(f"{o}_b"))) for o in bits), F.lit(0))
+        # similar sets differ in at most (100 - percent) / (100 + percent) of the sum of their sizes
+        allowed = (100 + s.percent) * differ <= (100 - s.percent) * (F.col("n_a") + F.col("n_b"))
         across = (F.col("rep_a") < F.col("rep_b")) & (F.col("label_a") != F.col("label_b")) & _near_size(F.col("n_a"), F.col("n_b"), s)
-        pairs = a.join(b, "value").filter(across & _near_sketch(F.col("sketch_a"), F.col("sketch_b"), s))
-        pairs = scratch.table(pairs.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct(), "pairs")
+        pairs = a.join(b, "value").filter(across & allowed)
+        pairs = scratch.table(pairs.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct(), "apart")
+        pairs = scratch.table(linker.sketched(pairs), "pairs")
         if not pairs.isEmpty():
             found = linker.confirm(pairs)
             if not found.isEmpty():
@@ -216,7 +241,7 @@ def near_components(docs: DataFrame, settings: NearSettings = NearSettings()) ->
     classes = reps.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("p", "q", "n", F.coalesce("label", "rep").alias("label"))
     classes = scratch.table(classes, "classes")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id"))
-    out = rows.drop("sketch").join(classes, ["p", "q", "n"], "left").withColumn("component_id", own)
+    out = rows.select("doc_id", "n", "p", "q").join(classes, ["p", "q", "n"], "left").withColumn("component_id", own)
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 

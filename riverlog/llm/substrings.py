@@ -9,8 +9,10 @@ least hash (the leftmost, if equal), with its place in the window. Equal windows
 windows mostly share one, so the pass sorts one row per anchor, about a hundredth of the bytes. Anchors that occur once
 are dropped. The second digit is the whole stretch of bytes that an anchor's windows cover: stretches that occur again
 are repeated as a whole, and one copy of each goes on. The last digit is the window's own bytes, for each window of the
-stretches left. Anchors with few stretches are sorted within a task, group by group; those with more than
-``split_over`` send their windows' digits through another shuffle, so no group is gathered whole.
+stretches left. Anchors with few stretches are sorted within a task, group by group. Those with more than
+``split_over`` pass on: their stretches are cut into nodes, windows whose anchors stand at nearby places, and the next digit
+is what all windows of a node have in common; nodes without an equal are dropped and repeated ones marked as a whole, as before. After the
+narrowest nodes, windows of groups that are still large meet in a shuffle by digit, so no group is gathered whole.
 
 Defined results: null and empty texts have no bytes; texts shorter than the window lose nothing; rows are told apart
 by doc_id and a hash of their text, so repeated rows have a result each; copies of a text of the window's length or
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +42,8 @@ BYTES = np.random.default_rng(9).integers(0, 1 << 63, 256, dtype=np.uint64) * np
 class WindowSettings:
     window: int = 200
     anchor: int = 32
-    split_over: int = 200  # stretches of one anchor that a task sorts by itself
+    split_over: int = 4096  # stretches of one anchor that a task sorts by itself, about a megabyte
+    nodes: tuple[int, ...] = (32, 4)  # places of the anchor that share a node, for larger groups
     chunk_bytes: int = 1_000_000
     sort_bytes: int = 2_000_000  # that a task sorts at once; whole groups
 
@@ -67,7 +71,7 @@ class Prints:
 
 
 def anchors_of(texts: list[bytes], s: WindowSettings) -> tuple[np.ndarray, ...]:
-    """For runs of windows that share an anchor: text number, first and last window, and the prints of the anchor and of
+    """For runs of windows that share an anchor: text number, first and last window, bytes of the first before the anchor, and the prints of the anchor and of
     the stretch (with the places of both ends)."""
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     edge = np.concatenate([[0], np.cumsum(sizes)])
@@ -75,7 +79,7 @@ def anchors_of(texts: list[bytes], s: WindowSettings) -> tuple[np.ndarray, ...]:
     w = s.window - s.anchor + 1  # anchors in a window
     n = len(data) - s.window + 1
     if n <= 0:
-        return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),) * 2
+        return (np.empty(0, np.int64),) * 4 + (np.empty(0, np.uint64),) * 2
     prints = Prints(data)
     at = np.arange(len(data) - s.anchor + 1)
     low = np.uint64((1 << 32) - 1)  # ties of the upper half of the hash go to the left
@@ -91,7 +95,7 @@ def anchors_of(texts: list[bytes], s: WindowSettings) -> tuple[np.ndarray, ...]:
     valid = owner[:n] == owner[s.window - 1 :]
     starts, place = starts[valid], place[valid]
     if not len(starts):
-        return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),) * 2
+        return (np.empty(0, np.int64),) * 4 + (np.empty(0, np.uint64),) * 2
     new = np.ones(len(starts), bool)
     new[1:] = (place[1:] != place[:-1]) | (starts[1:] != starts[:-1] + 1)
     first = starts[new]
@@ -100,7 +104,7 @@ def anchors_of(texts: list[bytes], s: WindowSettings) -> tuple[np.ndarray, ...]:
     key = prints.of(anchor, anchor + s.anchor)
     stretch = _mixed(prints.of(first, last + s.window) ^ _mixed(((anchor - first) * s.window + (last - first)).astype(np.uint64) + MIX[1]))
     text = owner[first]
-    return text, first - edge[text], last - edge[text], key, stretch
+    return text, first - edge[text], last - edge[text], anchor - first, key, stretch
 
 
 def _chunked(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
@@ -140,47 +144,90 @@ def window_digits(keys: list[int], stretches: list[bytes], window: int) -> tuple
     return row, start, prints.of(at, at + window) ^ _mixed(np.array(keys, dtype=np.int64).view(np.uint64)[row])
 
 
+def _pass(rows: DataFrame, carried: list[str], s: WindowSettings, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """One radix pass over a table of (key, stretch, known, *carried): spans of the stretches that occur again, and what goes on,
+    one copy of each stretch of the keys that have several, with ``split`` for keys of too many. known: already among the spans."""
+    again = scratch.table(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "again")
+    rows = scratch.table(rows.join(again, "key"), "pass")
+    one = F.min(F.struct(*carried)).alias("x")
+    stretches = scratch.table(rows.groupBy("key", "stretch").agg(F.count("*").alias("n"), F.bool_or("known").alias("known"), one).select("key", "stretch", (F.col("known") | (F.col("n") > 1)).alias("known"), F.col("n").alias("copies"), "x.*"), "stretches")
+    repeated = scratch.table(stretches.filter("copies > 1").select("key", "stretch"), "repeated")
+    spans = rows.filter("not known").join(repeated, ["key", "stretch"]).select("doc_id", "print", F.col("first").alias("from"), (F.col("last") + s.window).alias("to"))
+    several = scratch.table(stretches.groupBy("key").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "several")
+    return spans, stretches.join(several, "key").select("key", *carried, "known", (F.col("kinds") > s.split_over).alias("split"))
+
+
+def _nodes(pieces: DataFrame, width: int, s: WindowSettings) -> DataFrame:
+    """Stretches cut where the anchor's place in the window passes a multiple of ``width``; keys are what a node's windows share."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "stretch", "known", "doc_id", "print", "first", "last", "left", "bytes"]
+        for batch in batches:
+            rows = list(zip(*(c.to_pylist() for c in batch.columns)))
+            for i in range(0, len(rows), 5000):
+                part = rows[i : i + 5000]
+                prints = Prints(np.frombuffer(b"".join(r[7] for r in part), np.uint8))
+                out, marks, base = [], [], 0
+                for key, doc_id, mark, first, last, left, known, data in part:
+                    low, high = left - (last - first), left  # of the anchor's place in the windows
+                    for node in range(low // width, high // width + 1):
+                        a, b = left - min(high, (node + 1) * width - 1), left - max(low, node * width)  # first and last window
+                        core = left - node * width, left - (node + 1) * width + 1 + s.window
+                        out.append((doc_id, mark, first + a, first + b, left - a, known, data[a : b + s.window]))
+                        marks.append((key, node, base + core[0], base + core[1], base + a, base + b + s.window, (left - a) * s.window + b - a))
+                    base += len(data)
+                key, node, c0, c1, a, b, where = np.array(marks, dtype=np.int64).T
+                keys = _mixed(prints.of(c0, c1) ^ _mixed(key.view(np.uint64) + node.view(np.uint64) * MIX[0]))
+                stretch = _mixed(prints.of(a, b) ^ _mixed(where.view(np.uint64) + MIX[1]))
+                doc_id, mark, first, last, left, known, data = zip(*out)
+                columns = [pa.array(keys.view(np.int64)), pa.array(stretch.view(np.int64)), pa.array(known, pa.bool_()), pa.array(doc_id, pa.int64()), *(pa.array(x, pa.int32()) for x in (mark, first, last, left)), pa.array(data, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    schema = "key long, stretch long, known boolean, doc_id long, print int, first int, last int, left int, bytes binary"
+    return pieces.select("key", "doc_id", "print", "first", "last", "left", "known", "bytes").mapInArrow(cut, schema)
+
+
 def repeated_spans(docs: DataFrame, settings: WindowSettings, scratch: Scratch) -> DataFrame:
     """(doc_id, print, spans): for texts with repeated windows, the intervals of bytes that these cover."""
     s = settings
 
     def anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in _chunked(batches, s.chunk_bytes):
-            text, first, last, key, stretch = anchors_of(texts, s)
-            columns = [batch.column(0).take(pa.array(text)), batch.column(2).take(pa.array(text)), *(pa.array(x.astype(np.int32)) for x in (first, last)), pa.array(key.view(np.int64)), pa.array(stretch.view(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "print", "first", "last", "key", "stretch"])
+            text, first, last, left, key, stretch = anchors_of(texts, s)
+            columns = [batch.column(0).take(pa.array(text)), batch.column(2).take(pa.array(text)), *(pa.array(x.astype(np.int32)) for x in (first, last, left)), pa.array(key.view(np.int64)), pa.array(stretch.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "print", "first", "last", "left", "key", "stretch"])
 
-    schema = "doc_id long, print int, first int, last int, key long, stretch long"
-    rows = scratch.table(docs.select("doc_id", "text", "print").mapInArrow(anchor_rows, schema), "anchors")
-    # pass 1: anchors that occur again
-    again = scratch.table(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "again")
-    rows_1 = scratch.table(rows.join(again, "key"), "pass1")
-    scratch.drop(rows, again)
-    # pass 2: stretches that occur again; one copy stands for them
-    one = F.min(F.struct("doc_id", "print", "first", "last")).alias("x")
-    stretches = scratch.table(rows_1.groupBy("key", "stretch").agg(F.count("*").alias("n"), one).select("key", "stretch", "n", "x.*"), "stretches")
-    whole = rows_1.join(scratch.table(stretches.filter("n > 1").select("stretch"), "whole"), "stretch").select("doc_id", "print", F.col("first").alias("from"), (F.col("last") + s.window).alias("to"))
-    # anchors whose stretches differ go on
-    several = stretches.groupBy("key").agg(F.count("*").alias("kinds")).filter("kinds > 1")
-    left = stretches.join(scratch.table(several, "several"), "key").select("doc_id", "print", "key", "first", "last", (F.col("n") > 1).alias("known"), (F.col("kinds") > s.split_over).alias("split"))
-    by_doc = scratch.table(left.groupBy("doc_id", "print").agg(F.collect_list(F.struct("key", "first", "last", "known", "split")).alias("parts")), "left")
+    schema = "doc_id long, print int, first int, last int, left int, key long, stretch long"
+    rows = scratch.table(docs.select("doc_id", "text", "print").mapInArrow(anchor_rows, schema).withColumn("known", F.lit(False)), "anchors")
+    whole, left = _pass(rows, ["doc_id", "print", "first", "last", "left"], s, scratch)
+    scratch.drop(rows)
+    by_doc = scratch.table(left.groupBy("doc_id", "print").agg(F.collect_list(F.struct("key", "first", "last", "left", "known", "split")).alias("parts")), "by_doc")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "doc_id", "print", "first", "known", "split", "bytes"]
+        names = ["key", "doc_id", "print", "first", "last", "left", "known", "split", "bytes"]
         for batch in batches:
             out: list[tuple] = []
             for doc_id, text, mark, parts in zip(*(c.to_pylist() for c in batch.columns)):
                 raw = text.encode("utf-8", "surrogatepass")
-                out += [(p["key"], doc_id, mark, p["first"], p["known"], p["split"], raw[p["first"] : p["last"] + s.window]) for p in parts]
+                out += [(p["key"], doc_id, mark, p["first"], p["last"], p["left"], p["known"], p["split"], raw[p["first"] : p["last"] + s.window]) for p in parts]
             if out:
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary()]
+                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
-    cut_schema = "key long, doc_id long, print int, first int, known boolean, split boolean, bytes binary"
+    cut_schema = "key long, doc_id long, print int, first int, last int, left int, known boolean, split boolean, bytes binary"
     texts = docs.join(by_doc, ["doc_id", "print"])
     pieces = scratch.table(texts.select("doc_id", "text", "print", "parts").mapInArrow(cut, cut_schema), "pieces")
 
-    # pass 3, anchors of few stretches: whole groups lie together in a partition
+    # large groups: nodes, each a narrower pass
+    small, rest, spans = pieces.filter("not split"), pieces.filter("split"), [whole]
+    for width in s.nodes:
+        if rest.isEmpty():
+            break
+        found, left = _pass(scratch.table(_nodes(rest, width, s), "nodes"), ["doc_id", "print", "first", "last", "left", "bytes"], s, scratch)
+        left = scratch.table(left, "left").select(*pieces.columns)
+        small, rest, spans = small.union(left.filter("not split")), left.filter("split"), [*spans, found]
+
+    # last pass, small groups: they lie together in a partition
     def sort_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
@@ -214,10 +261,10 @@ def repeated_spans(docs: DataFrame, settings: WindowSettings, scratch: Scratch)
             yield flush()
 
     span = "doc_id long, print int, `from` int, `to` int"
-    few = pieces.filter("not split").select("key", "doc_id", "print", "first", "known", "bytes").repartition("key").sortWithinPartitions("key")
+    few = small.select("key", "doc_id", "print", "first", "known", "bytes").repartition("key").sortWithinPartitions("key")
     within = few.mapInArrow(sort_groups, span)
 
-    # pass 3, anchors of many stretches: a row a window, summed up before the shuffle
+    # last pass, large groups: a row a window, summed up before the shuffle
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = list(zip(*(c.to_pylist() for c in batch.columns)))
@@ -228,12 +275,12 @@ def repeated_spans(docs: DataFrame, settings: WindowSettings, scratch: Scratch)
                 at = np.array([r[3] for r in part], dtype=np.int64)[row] + start
                 yield pa.RecordBatch.from_arrays([key, pa.array(digit.view(np.int64)), doc_id, mark, known, pa.array(at.astype(np.int32))], ["key", "digit", "doc_id", "print", "known", "at"])
 
-    many = pieces.filter("split").select("key", "doc_id", "print", "first", "known", "bytes")
+    many = rest.select("key", "doc_id", "print", "first", "known", "bytes")
     all_windows = scratch.table(many.mapInArrow(windows, "key long, digit long, doc_id long, print int, known boolean, at int"), "windows")
     equal = scratch.table(all_windows.groupBy("key", "digit").agg(F.count("*").alias("n")).filter("n > 1").select("key", "digit"), "equal")
     across = all_windows.filter("not known").join(equal, ["key", "digit"]).select("doc_id", "print", F.col("at").alias("from"), (F.col("at") + s.window).cast("int").alias("to"))
-    spans = whole.union(within).union(across)
-    return scratch.table(spans.groupBy("doc_id", "print").agg(F.collect_list(F.struct("from", "to")).alias("spans")), "spans")
+    every = reduce(DataFrame.union, [*spans, within, across])
+    return scratch.table(every.groupBy("doc_id", "print").agg(F.collect_list(F.struct("from", "to")).alias("spans")), "spans")
 
 
 def remove_repeats(docs: DataFrame, settings: WindowSettings = WindowSettings()) -> DataFrame:
