@@ -64,7 +64,7 @@ def _hypergeometric(pool: str, marked: str, draws: str, u: str) -> str:
     lo, hi = f"greatest(0L, {draws} - ({pool} - {marked}))", f"least({draws}, {marked})"
     mode = f"least({hi}, greatest({lo}, cast(floor(({draws} + 1.0D) * ({marked} + 1.0D) / ({pool} + 2.0D)) as bigint)))"
     wide = f"cast(ceil(10 * sqrt({draws} * 1.0D * {marked} / greatest({pool}, 1L))) as bigint) + 10"
-    ratio = lambda x: f"(({marked} - {x}) * 1.0D * ({draws} - {x})) / (({x} + 1.0D) * ({pool} - {marked} - {draws} + {x} + 1.0D))"  # noqa: E731  weight of x + 1 over that of x
+    ratio = lambda x: f"((({marked} - {x}) * 1.0D * ({draws} - {x})) / (({x} + 1.0D) * ({pool} - {marked} - {draws} + {x} + 1.0D)))"  # noqa: E731  weight of x + 1 over that of x
     up = f"""aggregate(sequence(p.mode, p.last), named_struct('w', 1.0D, 's', 0.0D),
         (a, x) -> named_struct('w', if(x < p.last, a.w * {ratio('x')}, a.w), 's', a.s + a.w))"""
     down = f"""aggregate(sequence(p.mode, p.first), named_struct('w', 1.0D, 's', 0.0D),
