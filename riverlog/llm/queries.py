@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": lines.OP2_SQL}
+    return {"op2_line_dedup": lines.OP2_SQL, "op5_warc_round_trip": warc.OP5_SQL}

@@ -206,3 +206,15 @@ def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = lambda c: F.nullif(F.regexp_extract(c, r"^<urn:riverlog:page:(-?[0-9]+|none)>$", 1), F.lit("none")).cast("long")
     records = round_trip(read_table(spark, sf_dir, "pages")).filter("kind = 'record'")
     return records.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.when(F.col("record_type") == "revisit", number("refers_to")).alias("refers_to"))
+
+
+# Base32 is read off the 160 bits of the digest, five at a time.
+OP5_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, sha1(html) AS sha, max(page_id) OVER (PARTITION BY html) AS response FROM p),
+b AS (SELECT *, array_to_string([lpad(bin(('0x' || sha[i:i])::INT), 4, '0') FOR i IN range(1, 41)], '') AS bits FROM d)
+SELECT page_id, payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ('0b' || bits[i * 5 + 1 : i * 5 + 5])::INT + 1, 1) FOR i IN range(0, 32)], '') AS payload_digest,
+  CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> response THEN response END AS refers_to
+FROM b
+"""
