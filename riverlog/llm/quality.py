@@ -3,8 +3,9 @@
 A log-likelihood ratio between two multinomials over hashed n-grams, one of a trusted target and one of
 the raw corpus, divided by the number of n-grams. The n-grams are three bytes within a word and its borders. Corpus
 counts cover every document; the trusted target is a bounded sample of labelled documents (``max_labelled``), and so
-is the set of scores that fixes the threshold. Every document is then kept or not by rule: the counting rules first,
-the ratio against the threshold after them.
+is the set of scores that fixes the threshold. Every second trusted document makes the target and the others fix the threshold, as a
+document that made the target scores better than an equally good one that did not. Every document is then kept or not
+by rule: the counting rules first, the ratio against the threshold after them.
 
 Defined results: a null text has no words; such a document fails the rules; without trusted labels the ratio
 is 0 and the rules alone decide; repeated rows have a result each; an empty table gives an empty result;
@@ -117,7 +118,8 @@ class QualityModel:
 def fit(docs: DataFrame, labels: DataFrame, settings: QualitySettings = QualitySettings()) -> QualityModel:
     """Counts over all of ``docs`` and the threshold from labelled scores."""
     s = settings
-    trusted, rejected = _labelled(labels, 1, s), _labelled(labels, 0, s)
+    known_good, rejected = _labelled(labels, 1, s), _labelled(labels, 0, s)
+    trusted, held = (known_good[::2], known_good[1::2]) if len(known_good) > 1 else (known_good, known_good)
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, raw, good = set(trusted), np.zeros(1 << s.bits), np.zeros(1 << s.bits)
@@ -136,7 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: QualitySettings = QualityS
         raw[r["bucket"]] += r["raw"]
         good[r["bucket"]] += r["good"]
     ratios = np.log(good / good.sum()) - np.log(raw / raw.sum()) if trusted else np.zeros(1 << s.bits)
-    known = docs.sparkSession.createDataFrame([(i, 1) for i in trusted] + [(i, 0) for i in rejected], "doc_id long, quality int")
+    known = docs.sparkSession.createDataFrame([(i, 1) for i in held] + [(i, 0) for i in rejected], "doc_id long, quality int")
     some = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
     scores = some.select("quality", scored(F.col("text"), QualityModel(ratios, 0.0, s))["score"].alias("score"), F.col("doc_id")).collect()
     return QualityModel(ratios, _threshold(*(np.array([r["score"] for r in scores if r["quality"] == k]) for k in (1, 0)), s.keep), s)
