@@ -18,11 +18,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import read_table
 from .secrets import SPANS, digest
 from .tagger import KINDS, Tagger, TaggerSettings, char_ids, luhn, spans_of, trained
 
+MARKED_SPANS = T.ArrayType(T.StructType([*SPANS.elementType.fields, T.StructField("added", T.BooleanType())]))
 SURE = 0.9  # least probability of each character of an added span to belong to one
 
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -46,7 +48,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
         done = match.end() if match else at + 1
         at = text.find("@", done)
     digits = lambda m: re.sub("[^0-9]", "", m[0])
-    out += [("ip", m.start(), m.end()) for m in IP.finditer(text) if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m[0].split("."))]
+    out += [("ip", m.start(), m.end()) for m in IP.finditer(text) if all(len(d := x.lstrip("0")) <= 3 and int(d or "0") <= 255 for x in m[0].split("."))]
     out += [("card", m.start(), m.end()) for m in CARD.finditer(text) if 14 <= len(d := digits(m)) <= 19 and luhn(d)]
     out += [("phone", m.start(), m.end()) for m in PHONE.finditer(text) if 10 <= len(digits(m)) <= 15]
     return out
@@ -101,8 +103,8 @@ def tagged_spans(texts: list[str], tagger: Tagger) -> list[list[tuple[str, int,
     return out
 
 
-def find_all(texts: list[str | None], tagger: Tagger) -> list[list[tuple[str, int, int]]]:
-    """All spans of each text by start and kind: the base ones, and those of the tagger that touch none of these."""
+def find_marked(texts: list[str | None], tagger: Tagger) -> list[list[tuple[str, int, int, bool]]]:
+    """All spans of each text by start and kind, with whether they are added: the base ones, and those of the tagger that touch none of these."""
     plain = [t or "" for t in texts]
     order = {k: i for i, k in enumerate(KINDS)}
     out = []
@@ -110,16 +112,22 @@ def find_all(texts: list[str | None], tagger: Tagger) -> list[list[tuple[str, in
     for text, more in zip(marked, tagged_spans(marked, tagger), strict=True):
         base = base_spans(text)
         added = [x for x in more if not any(x[1] < b and a < x[2] for _, a, b in base)]
-        out.append(sorted(base + added, key=lambda x: (x[1], order[x[0]])))
+        both = [(*x, False) for x in base] + [(*x, True) for x in added]
+        out.append(sorted(both, key=lambda x: (x[1], order[x[0]])))
     return out
 
 
+def find_all(texts: list[str | None], tagger: Tagger) -> list[list[tuple[str, int, int]]]:
+    """The spans of ``find_marked`` without their marks."""
+    return [[x[:3] for x in spans] for spans in find_marked(texts, tagger)]
+
+
 def personal_spans(text: Column, tagger: Tagger) -> Column:
-    """A column of spans, array<struct<kind, start, end>>. The tagger goes along with the tasks."""
+    """A column of spans, array<struct<kind, start, end, added>>. The tagger goes along with the tasks."""
 
-    @F.pandas_udf(SPANS)
+    @F.pandas_udf(MARKED_SPANS)
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([[{"kind": k, "start": a, "end": b} for k, a, b in spans] for spans in find_all(list(texts), tagger)], dtype=object)
+        return pd.Series([[{"kind": k, "start": a, "end": b, "added": more} for k, a, b, more in spans] for spans in find_marked(list(texts), tagger)], dtype=object)
 
     return of(text)
 
@@ -129,4 +137,4 @@ def find_personal(docs: DataFrame, text_col: str = "text", out_col: str = "perso
 
 
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest(find_personal(read_table(spark, sf_dir, "documents").select("doc_id", "text")), "personal", KINDS)
+    return digest(find_personal(read_table(spark, sf_dir, "documents").select("doc_id", "text")), "personal", KINDS, lambda s: ~s["added"])

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Callable
 from functools import lru_cache
 
 import pandas as pd
@@ -123,10 +124,10 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def digest(found: DataFrame, spans: str, kinds: tuple[str, ...]) -> DataFrame:
-    """doc_id, a count by base kind, base_sha256 and spans from a column of spans."""
-    base = F.filter(spans, lambda s: s["kind"].isin(*kinds))
-    of_kind = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+def digest(found: DataFrame, spans: str, kinds: tuple[str, ...], is_base: Callable[[Column], Column] = lambda s: F.lit(True)) -> DataFrame:
+    """doc_id, a count by base kind, base_sha256 and spans from a column of spans; counts and hash take the base spans of these kinds alone."""
+    base = F.filter(spans, lambda s: s["kind"].isin(*kinds) & is_base(s))
+    of_kind = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long")
     counts = [of_kind(k).alias(f"n_{k}") for k in kinds]
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col(spans)).alias("spans"))
 

@@ -176,6 +176,22 @@ def test_tagger_adds_what_patterns_miss(spark):
     assert privacy.find_all([prose, None, "", f"{prose} 2024 {prose} 3.14"], t) == [[], [], [], []]
 
 
+def test_counts_and_hash_leave_out_added_spans(spark):
+    prose = "the ononth ertion of that is and hean thereas " * 4
+    text = f"{prose}(555) 123-4567 {prose}ann@b.example {prose}"
+    at = text.index("(555)")
+    found = privacy.find_personal(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    row = secrets.digest(found, "personal", tagger.KINDS, lambda s: ~s["added"]).first()
+    mail = text.index("ann@")
+    assert (row["n_email"], row["n_phone"]) == (1, 0) and row["spans"] == f"phone:{at}:{at + 14},email:{mail}:{mail + 13}"
+    check_digest([row], tagger.KINDS, plain_personal, {1: text})
+
+
+def test_address_parts_of_many_zeros():
+    zeros = "0" * 5000
+    assert privacy.base_spans(f"{zeros}.2.3.{zeros}7") == [("ip", 0, 10006)]
+
+
 def test_gradients_are_right():
     s = tagger.TaggerSettings(hidden=3, embedding=2, window=7)
     t = tagger.Tagger(s)
