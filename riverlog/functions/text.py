@@ -12,11 +12,21 @@ from ..schema import ERROR_LEVELS, LEVEL_SYNONYMS, SEVERITIES
 SIZE_UNITS = ("B", "KB", "MB", "GB", "TB", "PB")
 
 
+def _one_decimal(x: Column) -> Column:
+    """A double of 1 to 8192 with one decimal, ties to even by its exact binary value as C has it (format_string rounds half up)."""
+    whole = F.floor(x)
+    part = ((x - whole) * float(1 << 52)).cast("long") * 10  # exact: such a double has at most 52 binary places
+    tenths, rest = F.shiftright(part, 52), part.bitwiseAND(F.lit((1 << 52) - 1))
+    up = (rest > 1 << 51) | ((rest == 1 << 51) & (tenths % 2 == 1))
+    total = whole * 10 + tenths + up.cast("long")
+    return F.concat(F.floor(total / 10).cast("string"), F.lit("."), (total % 10).cast("string"))
+
+
 def human_size(n: Column) -> Column:
     """Bytes in steps of 1024 with one decimal; whole bytes below that; 0 B for null."""
     size, out = F.abs(n).cast("double"), None
     for i, unit in enumerate(SIZE_UNITS):
-        shown = F.format_string("%d " + unit, F.floor(size)) if i == 0 else F.format_string("%.1f " + unit, size / F.lit(float(1024**i)))
+        shown = F.format_string("%d " + unit, F.floor(size)) if i == 0 else F.concat(_one_decimal(size / F.lit(float(1024**i))), F.lit(f" {unit}"))
         fits = size < float(1024 ** (i + 1))
         out = F.when(fits, shown) if out is None else out.when(fits, shown) if i < len(SIZE_UNITS) - 1 else out.otherwise(shown)
     return F.when(n.isNull(), "0 B").otherwise(F.concat(F.when(n < 0, "-").otherwise(""), out))
