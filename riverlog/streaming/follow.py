@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from collections import deque
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -56,27 +55,31 @@ def run_minute_counts(spark: SparkSession, records: DataFrame) -> DataFrame:
 class Alerts:
     """Scores each newly closed minute against up to HISTORY minutes before it, and calls back if it is flagged.
 
-    One row a minute reaches the driver; the records stay in the stream's state on the executors. ``fill_gaps`` counts missing minutes as 0.
+    The minutes of a batch are scored together after those kept from before; only then is the history cut. With method ewma, the fold runs
+    on from the oldest of these. One row a minute reaches the driver; the records stay in the stream's state on the executors. ``fill_gaps`` counts missing minutes as 0.
     """
 
     def __init__(self, on_spike: Callable[[dict], None], detector: Detector = Detector(), fill_gaps: bool = False):
-        self.on_spike, self.detector, self.fill_gaps = on_spike, replace(detector, mode="spikes"), fill_gaps
-        self.history: deque[tuple[int, int]] = deque(maxlen=HISTORY)
+        self.on_spike, self.fill_gaps = on_spike, fill_gaps
+        self.detector = replace(detector, mode="spikes", window=min(detector.window, HISTORY - 1))
+        self.history: list[tuple[int, int]] = []
         self.stats = {"buckets": 0, "spikes": 0}
 
     def __call__(self, batch: DataFrame, _: int) -> None:
         rows = sorted((r["epoch"], r["n"]) for r in batch.collect())
-        new = set()
+        minutes = list(self.history)
         for epoch, n in rows:
-            while self.fill_gaps and self.history and self.history[-1][0] < epoch - 60:
-                self.history.append((self.history[-1][0] + 60, 0))
-            self.history.append((epoch, n))
-            new.add(epoch)
+            if self.fill_gaps and minutes:  # an empty minute is no spike, so only those that this one looks back on are needed
+                minutes += [(e, 0) for e in range(max(minutes[-1][0] + 60, epoch - 60 * HISTORY), epoch, 60)]
+            minutes.append((epoch, n))
         self.stats["buckets"] += len(rows)
-        if len(self.history) <= self.detector.min_history or not new:
+        self._score(batch.sparkSession, minutes, {epoch for epoch, _ in rows})
+        self.history = minutes[-HISTORY:]
+
+    def _score(self, spark: SparkSession, minutes: list[tuple[int, int]], new: set[int]) -> None:
+        if len(minutes) <= self.detector.min_history or not new:
             return
-        spark = batch.sparkSession
-        series = spark.createDataFrame([(e, n) for e, n in self.history], "epoch long, value long").withColumn("label", F.date_format(F.timestamp_seconds("epoch"), "yyyy-MM-dd HH:mm"))
+        series = spark.createDataFrame(minutes, "epoch long, value long").withColumn("label", F.date_format(F.timestamp_seconds("epoch"), "yyyy-MM-dd HH:mm"))
         for point in points(scores(series, self.detector)).orderBy("epoch").collect():
             if point["epoch"] in new:
                 self.stats["spikes"] += 1

@@ -57,7 +57,10 @@ class TailReader(SimpleDataSourceStreamReader):
     def _lines(self, pos: int, end: int | None = None) -> tuple[list[str], int]:
         with open(self.path, "rb") as file:
             file.seek(pos)
-            data = file.read(self.most if end is None else end - pos)
+            parts = [file.read(self.most if end is None else end - pos)]
+            while end is None and b"\n" not in parts[-1] and (more := file.read(self.most)):  # a line longer than that
+                parts.append(more)
+        data = b"".join(parts)
         done = data.rfind(b"\n") + 1
         return [x.removesuffix(b"\r").decode("utf-8", "replace") for x in data[:done].split(b"\n")[:-1]], pos + done
 

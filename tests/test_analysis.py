@@ -236,6 +236,32 @@ def test_reader_follows_rotation_and_truncation(tmp_path):
     assert TailReader(str(tmp_path / "none")).initialOffset()["pos"] == 0
 
 
+def test_reader_passes_lines_longer_than_a_read(tmp_path):
+    path = str(tmp_path / "long.log")
+    with open(path, "w") as f:
+        f.write("x" * 50 + "\nnext\n" + "y" * 30)
+    reader = TailReader(path, from_start=True, most=8)
+    rows, at, start = [], reader.initialOffset(), None
+    while at != start:
+        start = at
+        got, at = reader.read(start)
+        got = list(got)
+        assert list(reader.readBetweenOffsets(start, at)) == got
+        rows += [x[0] for x in got]
+    assert rows == ["x" * 50, "next"] and at["pos"] == 56
+
+
+@pytest.mark.parametrize("fill_gaps", [False, True])
+def test_alerts_score_every_minute_of_a_large_batch(spark, fill_gaps):
+    rows = [(B + 60 * i, 500 if i in (50, 900) else 10 + i % 3) for i in range(1000)]
+    spikes = []
+    alerts = follow.Alerts(spikes.append, fill_gaps=fill_gaps)
+    alerts(spark.createDataFrame(rows[:30], "epoch long, n long"), 0)
+    alerts(spark.createDataFrame(rows[30:], "epoch long, n long"), 1)
+    assert [p["epoch"] for p in spikes] == [B + 3000, B + 54000] and alerts.stats == {"buckets": 1000, "spikes": 2}
+    assert len(alerts.history) == follow.HISTORY and alerts.history[-1] == rows[-1]
+
+
 def test_alerts_on_a_growing_file(spark, log_file, tmp_path):
     spikes, seen = [], []
     records = follow.record_stream(follow.line_stream(spark, log_file, from_start=True))
