@@ -81,7 +81,7 @@ def vector_classes(vectors: DataFrame, s: CurveSettings, scratch: Scratch) -> Da
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     valid = v.isNotNull() & (F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0)
     rows = vectors.filter(F.col("vec_id").isNotNull() & F.coalesce(valid, F.lit(False))).withColumns({"p": F.xxhash64("v"), "q": F.xxhash64(F.lit(1), "v"), "salt": F.pmod(F.xxhash64("vec_id"), F.lit(64))})
-    least = F.row_number().over(Window.partitionBy("p", "q", "salt").orderBy("vec_id"))
+    least = F.dense_rank().over(Window.partitionBy("p", "q", "salt").orderBy("vec_id"))
     some = rows.withColumn("r", least).filter(F.col("r") <= s.k + 1)
     ids = F.slice(F.sort_array(F.collect_set("vec_id")), 1, s.k + 1)
     return scratch.table(some.groupBy("p", "q").agg(F.min("vec_id").alias("rep"), F.any_value("v").alias("v"), ids.alias("ids")).select("rep", "v", "ids", F.size("v").alias("size"), "p", "q"), "classes")

@@ -58,6 +58,14 @@ def test_many_equal_vectors_keep_the_least_ids(spark):
         assert [r["vec_id"] for r in rows] == [i for i in range(12) if i != q][:10]
 
 
+def test_repeats_of_a_row_leave_room_for_other_ids(spark):
+    salts = {r["id"]: r["salt"] for r in spark.range(1, 2000).selectExpr("id", "pmod(xxhash64(id), 64) AS salt").collect()}
+    other = next(i for i in range(2, 2000) if salts[i] == salts[1])
+    rows = [(1, [1.0, 2.0])] * 20 + [(other, [1.0, 2.0])]
+    got = neighbours.search(spark.createDataFrame(rows, SCHEMA), "vec_id = 1").collect()
+    assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got] == [(1, 1, other, 0.0)]
+
+
 def test_hilbert_neighbours_on_the_curve_are_neighbours_in_space():
     cells = np.array([[x, y, z] for x in range(8) for y in range(8) for z in range(8)])
     keys = neighbours.hilbert_keys(cells, 3)
