@@ -35,6 +35,7 @@ DATE = "2024-01-01T00:00:00Z"
 EMPTY_MEMBER = gzip.compress(b"", mtime=0)
 MEMBER = b"\x1f\x8b\x08"
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
+HEAD_END = re.compile(rb"\r\n(?:(\r\n)|WARC/1\.[01]\r\n)")  # the blank line, or else the next version line
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 
@@ -96,9 +97,10 @@ def write_archives(pages: DataFrame, path: str, settings: WarcSettings, scratch:
 def _parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | None:
     """Headers, block and end of the record at a place, or None if it fails a check."""
     version = VERSION.match(data, at)
-    head_end = data.find(b"\r\n\r\n", at, at + (1 << 20)) if version else -1
-    if head_end < 0:
+    blank = HEAD_END.search(data, version.end() - 2) if version else None
+    if blank is None or blank[1] is None:
         return None
+    head_end = blank.start()
     headers = {}
     for line in data[version.end() : head_end].split(b"\r\n"):
         name, colon, value = line.partition(b":")

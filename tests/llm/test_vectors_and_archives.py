@@ -124,6 +124,15 @@ def test_salvage_after_damage(pack):
     assert found(b"") == [] and found(b"only noise") == [("gap", 0, 10, None)]
 
 
+def test_long_heads_are_no_damage(spark):
+    urls = {1: "http://x/" + "a" * 2_000_000, 2: "http://x/" + "\x01" * 700_000, 3: "http://x/WARC/1.1"}
+    rows = [(i, u, f"page {i}") for i, u in urls.items()]
+    got = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {(r["record_id"], r["kind"], r["url"]) for r in got} == {(warc.record_id(i), "record", u.replace("\x01", "%01")) for i, u in urls.items()}
+    cut = warc.record(1, urls[1], b"", None, False)[:1_500_000] + b"\r\n" + warc.record(2, "http://y", b"b", None, False)
+    assert [(k, h and h["warc-target-uri"]) for k, _, _, h, _ in warc.salvage(cut)] == [("gap", None), ("record", "http://y")]
+
+
 def test_salvage_inside_a_member_of_many_records():
     data = gzip.compress(RECORDS[0] + b"??" + RECORDS[1], mtime=0) + gzip.compress(RECORDS[2], mtime=0)
     assert ids(data) == [warc.record_id(i) for i in range(3)]
