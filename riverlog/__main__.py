@@ -158,6 +158,9 @@ def run(a: argparse.Namespace, spark: SparkSession) -> str:
         writers = {"json": lambda: export.records_to_json(records, not a.compact), "ndjson": lambda: export.records_to_ndjson(records), "csv": lambda: export.records_to_csv(records, *([fields] if fields else []))}
         if a.format not in writers:
             raise ValueError(f"unknown export format '{a.format}'; known are {', '.join(writers)}")
+        if a.output != "-" and a.format == "ndjson":  # a folder that Spark writes; csv and json are still made on the driver
+            export.write_ndjson(records, a.output)
+            return ""
         return export.write_file(a.output, writers[a.format]()) or ""
     buckets = series.bucketize(records, a.unit, a.value, fill=not getattr(a, "no_fill", False))
     if a.command == "series":

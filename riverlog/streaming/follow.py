@@ -45,11 +45,17 @@ def minute_counts(records: DataFrame, delay: str = "0 seconds") -> DataFrame:
 
 
 def run_minute_counts(spark: SparkSession, records: DataFrame) -> DataFrame:
-    """Counts of what the stream holds now."""
-    name = f"minutes_{uuid.uuid4().hex}"
-    query = minute_counts(records).writeStream.outputMode("append").format("memory").queryName(name).trigger(availableNow=True).start()
+    """Counts of what the stream holds now, as files under spark.checkpoint.dir."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder shared by driver and executors")
+        root = "file:///tmp/checkpoints"
+    path = f"{root.rstrip('/')}/riverlog/minutes-{uuid.uuid4().hex}"
+    counts = minute_counts(records)
+    query = counts.writeStream.outputMode("append").format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(counts.schema).parquet(f"{path}/rows")
 
 
 class Alerts:

@@ -210,6 +210,22 @@ def test_wrong_command_options(spark, log_file):
         main(["fly"])
 
 
+def test_export_to_a_folder_gives_the_rows_of_the_terminal(spark, capsys, tmp_path):
+    log = tmp_path / "in.log"
+    log.write_text("".join(f'{{"time":"2025-11-18T10:00:0{i}Z","level":"info","message":"a, \\"b\\" {i}"}}\n' for i in range(3)))
+    assert main(["export", "--format", "ndjson", f"file://{log}"]) == 0
+    want = capsys.readouterr().out
+    assert main(["export", "--format", "ndjson", "--output", f"file://{tmp_path}/out", f"file://{log}"]) == 0
+    got = [line for f in (tmp_path / "out").glob("part-*") for line in f.read_text().splitlines()]
+    assert sorted(got) == sorted(want.splitlines()) and len(got) == 3
+
+
+def test_stream_counts_are_files(spark):
+    sf_dir = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    found = follow.run_minute_counts(spark, follow.event_stream(spark, sf_dir))
+    assert found.count() > 0 and found.inputFiles()
+
+
 def test_reader_follows_rotation_and_truncation(tmp_path):
     path = str(tmp_path / "live.log")
     with open(path, "w") as f:
