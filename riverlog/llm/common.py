@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +51,31 @@ def _delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def with_row_key(docs: DataFrame) -> DataFrame:
+    """(has_id, doc_id, print, text): a key of rows. Rows that share an id are told apart by 64 bits of hash of their text,
+    those without id by 128, half of which stand in for the id; equal rows have equal keys."""
+    number, has_id = F.col("doc_id").cast("long"), F.col("doc_id").isNotNull()
+    return docs.select(has_id.alias("has_id"), F.coalesce(number, F.xxhash64(F.lit(1), "text")).alias("doc_id"), F.xxhash64("text", has_id).alias("print"), "text")
+
+
+def slices(texts: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
+    """Borders of slices whose texts have about ``limit`` bytes, so that only few are held as objects at once."""
+    sizes = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0), dtype=np.int64))
+    first = 0
+    while first < len(texts):
+        done = sizes[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(sizes, done + limit, "right")))
+        yield first, last
+        first = last
+
+
+def parts(batches: Iterator[pa.RecordBatch], column: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``limit`` bytes of text in that column."""
+    for batch in batches:
+        for first, last in slices(batch.column(column), limit):
+            yield batch.slice(first, last - first)
+
+
 class Scratch:
     """Tables written to the shared folder, so that a lost executor costs a reread and not a recomputation.
 

@@ -5,12 +5,13 @@ hash; its target says how many whole passes and which part of one more pass the
 number of block draws. The tree hands the vector of those quotas down from all output shards to halves of
 them, each time drawing the left half's counts without replacement, so a shard ends with an exact quota of
 every source. The shards then take disjoint runs of each source's permuted draws and are shuffled locally.
-All of it is DataFrame and SQL functions. Plan tables are bounded: at most ``max_blocks`` blocks a source
-and ``2 ** max_depth`` shards.
+All of it is DataFrame and SQL functions. Blocks and shards are as many as the input's words ask for; orders over
+them are range-partitioned, and the tree is spread over tasks as it grows. Only the table of sources and the quotas of a tree node
+hold all sources together, so sources are to be kinds of text, not hosts.
 
 Defined results: null text has size 0; a null source is a source of its own and ranks last; a source without
 words has target 0; a document without words is never taken; rows that repeat a doc_id are rows of their own and
-null ids are hashed as such; an empty table gives an empty mix. Columns of the input that are named like an added
+rows without id are hashed by their text; an empty table gives an empty mix. Columns of the input that are named like an added
 one give way to it.
 """
 
@@ -31,9 +32,7 @@ class MixSettings:
     share: float = 1.5  # of all words, taken by the mix
     most: float = 2.0  # passes over a source
     block_words: int = 1 << 15
-    max_blocks: int = 4096
     shard_words: int = 1 << 22
-    max_depth: int = 10
     seed: int = 20240229
 
 
@@ -76,7 +75,18 @@ def _hypergeometric(pool: str, marked: str, draws: str, u: str) -> str:
     return f"transform({bounds}, p -> transform(array(named_struct('up', {up}, 'down', {down})), q -> {walk})[0])[0]"
 
 
-def splitting_tree(quotas: DataFrame, depth: int, seed: int) -> DataFrame:
+def running_total(rows: DataFrame, group: str, order: list, value: str, name: str, scratch: Scratch) -> DataFrame:
+    """``rows`` with the sum of ``value`` over the rows before each in its group. The order is range-partitioned: totals of
+    partitions first, then sums within each."""
+    order = [F.col(group), *order]
+    dealt = scratch.table(rows.repartitionByRange(*order).withColumn("_task", F.spark_partition_id()), "dealt")
+    sums = dealt.groupBy(group, "_task").agg(F.sum(value).alias("_sum"))  # a row a partition, and one more a group
+    earlier = F.sum("_sum").over(Window.partitionBy(group).orderBy("_task")) - F.col("_sum")
+    within = F.sum(value).over(Window.partitionBy(group, "_task").orderBy(*order[1:]).rowsBetween(Window.unboundedPreceding, 0)) - F.col(value)
+    return dealt.withColumn("_within", within).join(sums.select(group, "_task", earlier.alias("_earlier")), [group, "_task"]).withColumn(name, F.col("_within") + F.col("_earlier")).drop("_task", "_within", "_earlier")
+
+
+def splitting_tree(quotas: DataFrame, depth: int, seed: int, scratch: Scratch) -> DataFrame:
     """From one row with ``quotas`` (array of block counts by source) to 2 ** depth rows (shard, quotas)."""
     level = quotas.select(F.lit(0).cast("long").alias("shard"), "quotas")
     u = f"(pmod(xxhash64({seed}L, shard, k, {{d}}), {1 << 53}L) / {float(1 << 53)}D)"
@@ -87,6 +97,8 @@ def splitting_tree(quotas: DataFrame, depth: int, seed: int) -> DataFrame:
         level = level.withColumn("n", F.expr("aggregate(quotas, 0L, (a, q) -> a + q)")).withColumn("part", F.expr(left))
         halves = F.array(F.struct((F.col("shard") * 2).alias("shard"), F.col("part").alias("quotas")), F.struct((F.col("shard") * 2 + 1).alias("shard"), F.zip_with("quotas", "part", lambda q, g: q - g).alias("quotas")))
         level = level.select(F.explode(halves).alias("h")).select("h.shard", "h.quotas")
+        if d % 6 == 5:
+            level = scratch.table(level.repartition("shard"), "level")
     return level
 
 
@@ -96,22 +108,21 @@ def _plan(sized: DataFrame, by_source: DataFrame, s: MixSettings, scratch: Scrat
     # integers from here on: the words a source gives, its whole passes, the words of the last pass
     goal = F.round("target").cast("long")
     per = by_source.filter("source_size > 0").select("source_no", "source_size", (goal / F.col("source_size")).cast("long").alias("full"), F.pmod(goal, F.col("source_size")).alias("rest"))
-    permuted = Window.partitionBy("source_no").orderBy(F.xxhash64(F.lit(s.seed + 1), "block"), "block")
-    before = F.sum("words").over(permuted) - F.col("words")
-    part = F.greatest(F.lit(0).cast("long"), F.least(F.col("words"), F.col("rest") - before))
+    permuted = running_total(blocks.filter("words > 0"), "source_no", [F.xxhash64(F.lit(s.seed + 1), "block"), F.col("block")], "words", "before", scratch)
+    part = F.greatest(F.lit(0).cast("long"), F.least(F.col("words"), F.col("rest") - F.col("before")))
     passes = F.transform(F.sequence(F.lit(0), F.col("full").cast("int")), lambda i: F.struct(i.alias("pass"), F.when(i < F.col("full"), F.col("words")).otherwise(F.col("part")).alias("words")))
-    draws = blocks.filter("words > 0").join(F.broadcast(per), "source_no").withColumn("part", part).withColumn("draw", F.explode(passes)).select("source_no", "block", "draw.pass", "draw.words", (F.col("draw.words") < F.col("words")).alias("is_cut")).filter("words > 0")
+    draws = permuted.join(per, "source_no").withColumn("part", part).withColumn("draw", F.explode(passes)).select("source_no", "block", "draw.pass", "draw.words", (F.col("draw.words") < F.col("words")).alias("is_cut"), F.lit(1).cast("long").alias("one")).filter("words > 0")
     draws = scratch.table(draws, "draws")
     total = draws.agg(F.sum("words")).first()[0] or 0
-    depth = min(s.max_depth, max(0, math.ceil(math.log2(max(1.0, total / s.shard_words)))))
-    counts = draws.groupBy("source_no").agg(F.count("*").alias("q"))
-    root = counts.agg(F.transform(F.array_sort(F.collect_list(F.struct("source_no", "q"))), lambda x: x["q"]).alias("quotas"))
-    leaves = splitting_tree(scratch.table(root, "root"), depth, s.seed + 2)
-    # source -> where each shard's run of its permuted draws ends
-    ends = leaves.select("shard", F.posexplode("quotas").alias("at", "q")).withColumn("end", F.sum("q").over(Window.partitionBy("at").orderBy("shard"))).groupBy("at").agg(F.array_sort(F.collect_list("end")).alias("ends"))
-    numbers = counts.select("source_no", (F.row_number().over(Window.orderBy("source_no")) - 1).alias("at"))
-    place = F.row_number().over(Window.partitionBy("source_no").orderBy(F.xxhash64(F.lit(s.seed + 3), "block", "pass"), "block", "pass")) - 1
-    placed = draws.withColumn("place", place).join(F.broadcast(numbers.join(ends, "at")), "source_no").withColumn("shard", F.expr("size(filter(ends, e -> e <= place))"))
+    depth = max(0, math.ceil(math.log2(max(1.0, total / s.shard_words))))
+    counts = draws.groupBy("source_no").agg(F.count("*").alias("q"))  # a row a source
+    root = scratch.table(counts.agg(F.array_sort(F.collect_list(F.struct("source_no", "q"))).alias("c")).select(F.transform("c", lambda x: x["source_no"]).alias("sources"), F.transform("c", lambda x: x["q"]).alias("quotas")), "root")
+    leaves = splitting_tree(root.select("quotas"), depth, s.seed + 2, scratch)
+    runs = leaves.select("shard", F.posexplode("quotas").alias("at", "q")).join(root.select(F.posexplode("sources").alias("at", "source_no")), "at").filter("q > 0").select("source_no", "shard", "q")
+    # each shard takes a run of a source's permuted draws
+    runs = running_total(runs, "source_no", [F.col("shard")], "q", "start", scratch)
+    places = runs.select("source_no", "shard", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("q") - 1)).alias("place"))
+    placed = running_total(draws, "source_no", [F.xxhash64(F.lit(s.seed + 3), "block", "pass"), F.col("block"), F.col("pass")], "one", "place", scratch).join(places, ["source_no", "place"])
     rows = placed.groupBy("source_no", "block").agg(F.array_sort(F.collect_list(F.struct("pass", "shard", "words", "is_cut"))).alias("draws"))
     return scratch.table(rows, "plan")
 
@@ -125,8 +136,9 @@ def assign(docs: DataFrame, settings: MixSettings = MixSettings(), id_col: str =
     s, scratch = settings, Scratch(docs.sparkSession, "mix")
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
     by_source = scratch.table(targets(rows.select("source", "size"), s), "sources")
-    n_blocks = F.greatest(F.lit(1), F.least(F.lit(s.max_blocks), F.ceil(F.col("source_size") / s.block_words))).cast("int")
-    keyed = rows.join(F.broadcast(by_source.withColumnRenamed("source", "_source")), F.col("source").eqNullSafe(F.col("_source"))).withColumn("block", F.pmod(F.xxhash64(F.lit(s.seed), "id"), n_blocks))
+    n_blocks = F.greatest(F.lit(1), F.ceil(F.col("source_size") / s.block_words)).cast("long")
+    mark = F.xxhash64(F.lit(s.seed), "id", F.when(F.col("id").isNull(), F.col(f"row.`{text_col}`")))
+    keyed = rows.join(by_source.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).withColumn("block", F.pmod(mark, n_blocks))
     plan = _plan(keyed.select("source_no", "block", "size"), by_source, s, scratch)
     joined = keyed.join(plan, ["source_no", "block"], "left")
     is_cut = F.coalesce(F.exists("draws", lambda d: d["is_cut"]), F.lit(False))
@@ -134,7 +146,7 @@ def assign(docs: DataFrame, settings: MixSettings = MixSettings(), id_col: str =
     in_order = Window.partitionBy("source_no", "block").orderBy(unit_hash(s.seed + 4, F.col("id")), "id", "size")
     ends = joined.filter(is_cut).withColumn("before", F.sum("size").over(in_order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     taken = lambda d: F.when(d["is_cut"], F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), d["words"] - F.col("before")))).otherwise(F.col("size"))
-    draws = F.filter(F.transform(F.coalesce("draws", F.array().cast("array<struct<pass:int,shard:int,words:bigint,is_cut:boolean>>")), lambda d: F.struct(d["pass"].alias("pass"), d["shard"].alias("shard"), taken(d).alias("words"))), lambda d: d["words"] > 0)
+    draws = F.filter(F.transform(F.coalesce("draws", F.array().cast("array<struct<pass:int,shard:bigint,words:bigint,is_cut:boolean>>")), lambda d: F.struct(d["pass"].alias("pass"), d["shard"].alias("shard"), taken(d).alias("words"))), lambda d: d["words"] > 0)
     both = whole.unionByName(ends).withColumn("draws", draws)
     return both.select("row", "id", "size", "source_size", "target", F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d["words"]).alias("taken"), "draws")
 
@@ -151,7 +163,7 @@ def mix(docs: DataFrame, settings: MixSettings = MixSettings(), text_col: str =
     kept = [c for c in docs.columns if c not in ("mix_pass", "mix_shard", "mix_words")]
     columns = [(F.when(F.col("d.words") < F.col("size"), cut).otherwise(text) if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in kept]
     out = rows.select(*columns, F.col("d.pass").alias("mix_pass"), F.col("d.shard").alias("mix_shard"), F.col("d.words").alias("mix_words"), unit_hash(settings.seed + 5, F.col("id"), F.col("d.pass")).alias("_place"))
-    return out.repartition("mix_shard").sortWithinPartitions("mix_shard", "_place").drop("_place")
+    return out.repartitionByRange("mix_shard", "_place").sortWithinPartitions("mix_shard", "_place").drop("_place")
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
