@@ -1,14 +1,15 @@
 """Operator 2: substring dedup by line or paragraph hashing.
 
-Texts are cut into lines (and those at sentence ends, so that a passage inside a longer line is found) or into paragraphs.
-Units are normalised (A-Z lower-cased, runs of blanks as one space, outer blanks dropped) and grouped by 128-bit
-digest over the whole corpus. The earliest occurrence by (doc_id, place) stays, all others go, and their original
-offsets are kept. Digests are counted with partial sums; only repeated ones meet the units again, in a join that
-splits hot digests.
-
-Defined results: a null text has no units; units of fewer than ``min_words`` words are never removed, as they repeat by chance;
-rows without id come first; rows that share an id are ranked by a hash of their text, and equal rows have equal
-results; an empty table gives an empty result.
+Texts are cut into lines, those again at sentence ends (so that a passage inside a longer line is found), or into
+paragraphs. Units are normalised (A-Z lower-cased, runs of blanks as one space, outer blanks dropped), and every unit with a
+word is grouped by 128-bit digest over the whole corpus. The earliest occurrence by (doc_id, place) stays. Later ones go
+where they make a passage: a run of neighbouring later occurrences of at least ``run_words`` words, as single short
+lines and sentences repeat by chance and in clean texts; ``run_words`` 1 removes every later occurrence. Original offsets are kept.
+Digests are counted with partial sums; only repeated ones meet the units again, in a join that splits hot digests.
+
+Defined results: a null text has no units; units without a word are never removed and don't end a run; rows without id
+come first; rows that share an id are ranked by a hash of their text; of equal rows one is the earliest, the others are later
+in all units; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,10 +20,12 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, read_table
+from .common import Scratch, parts, read_table, with_row_key
+
+CHUNK = 1_000_000  # bytes of text held as objects at once
 
 # Units cover the text: each takes the line end after it.
 UNITS = {"line": r"[^\n]+\n?|\n", "sentence": r"[^\n.!?]+[.!?]*\n?|[.!?]+\n?|\n", "paragraph": r"(?:[^\n]|\n(?!\n))+\n*|\n+"}
@@ -31,60 +34,88 @@ UNITS = {"line": r"[^\n]+\n?|\n", "sentence": r"[^\n.!?]+[.!?]*\n?|[.!?]+\n?|\n"
 @dataclass(frozen=True)
 class LineSettings:
     unit: str = "sentence"
-    min_words: int = 5
+    run_words: int = 20
+
+
+def _words(unit: str) -> list[bytes]:
+    return unit.encode("utf-8", "surrogatepass").lower().split()
 
 
 def units(docs: DataFrame, s: LineSettings) -> DataFrame:
-    """(doc_id, print, start, end, p, q): removable units by code point offsets, end exclusive, and their digests."""
+    """(has_id, doc_id, print, start, end, number, words, p, q): units with a word by code point offsets, end exclusive, and their digests."""
+    schema = "has_id boolean, doc_id long, print long, start int, `end` int, number int, words int, p long, q long"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pattern = re.compile(UNITS[s.unit])
-        for batch in batches:
-            row, start, end, p, q = [], [], [], [], []
-            for i, text in enumerate(batch.column("text").to_pylist()):
+        for batch in parts(batches, 3, CHUNK):
+            row, *found = [], [], [], [], [], [], []
+            for i, text in enumerate(batch.column(3).to_pylist()):
+                number = 0
                 for m in pattern.finditer(text or ""):
-                    words = m[0].encode("utf-8", "surrogatepass").lower().split()
-                    if len(words) >= s.min_words:
+                    if words := _words(m[0]):
                         mark = xxhash.xxh3_128_digest(b" ".join(words))
                         row.append(i)
-                        start.append(m.start())
-                        end.append(m.end())
-                        p.append(int.from_bytes(mark[:8], "little", signed=True))
-                        q.append(int.from_bytes(mark[8:], "little", signed=True))
+                        for column, value in zip(found, (m.start(), m.end(), number, len(words), int.from_bytes(mark[:8], "little", signed=True), int.from_bytes(mark[8:], "little", signed=True))):
+                            column.append(value)
+                        number += 1
             at = pa.array(row, pa.int32())
-            columns = [batch.column("doc_id").take(at), batch.column("print").take(at), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(p, pa.int64()), pa.array(q, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "print", "start", "end", "p", "q"])
+            kinds = [pa.int32()] * 4 + [pa.int64()] * 2
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in range(3)), *map(pa.array, found, kinds)], ["has_id", "doc_id", "print", "start", "end", "number", "words", "p", "q"])
 
-    return docs.mapInArrow(cut, "doc_id long, print int, start int, `end` int, p long, q long")
+    return docs.select("has_id", "doc_id", "print", "text").mapInArrow(cut, schema)
+
+
+def _in_runs(later: list[dict], least: int) -> list[dict]:
+    """Those of a text's later units (in order) that stand in runs of enough words."""
+    out: list[dict] = []
+    run: list[dict] = []
+    for unit in [*later, None]:
+        if run and (unit is None or unit["number"] != run[-1]["number"] + 1):
+            if sum(x["words"] for x in run) >= least:
+                out += run
+            run = []
+        if unit is not None:
+            run.append(unit)
+    return out
 
 
 def remove_repeated_units(docs: DataFrame, settings: LineSettings = LineSettings()) -> DataFrame:
     """doc_id, n_units, n_removed, removed_chars, kept (the remaining text) and spans (of removed units); a row for each row of ``docs``."""
-    s, scratch, no_id = settings, Scratch(docs.sparkSession, "lines"), F.lit(-(1 << 63))
-    marked = docs.select(F.coalesce(F.col("doc_id").cast("long"), no_id).alias("doc_id"), "text", F.hash("text").alias("print"))
+    s, scratch = settings, Scratch(docs.sparkSession, "lines")
+    marked = with_row_key(docs)
     all_units = scratch.table(units(marked, s), "units")
-    place = F.struct("doc_id", "print", "start")
+    place = F.struct("has_id", "doc_id", "print", "start")
     repeated = scratch.table(all_units.groupBy("p", "q").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1").select("p", "q", "first"), "repeated")
-    gone = all_units.join(repeated, ["p", "q"]).filter(place > F.col("first"))
-    spans = scratch.table(gone.groupBy("doc_id", "print").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans")), "spans")
+    later = all_units.join(repeated, ["p", "q"]).filter(place > F.col("first"))
+    key = ["has_id", "doc_id", "print"]
+    spans = scratch.table(later.groupBy(*key).agg(F.sort_array(F.collect_set(F.struct("number", "words", "start", "end"))).alias("later")), "spans")
     scratch.drop(all_units, repeated)
+    copies = not marked.groupBy(*key).count().filter("count > 1").isEmpty()
 
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pattern = re.compile(UNITS[s.unit])
-        for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            runs = [r or [] for r in batch.column("spans").to_pylist()]
-            kept = ["".join(t[a:b] for a, b in zip([0, *(x["end"] for x in r)], [*(x["start"] for x in r), len(t)])) for t, r in zip(texts, runs)]
-            counts = ([sum(1 for _ in pattern.finditer(t)) for t in texts], [len(r) for r in runs], [len(t) - len(k) for t, k in zip(texts, kept)])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in counts), pa.array(kept, pa.string()), batch.column("spans")], ["doc_id", "n_units", "n_removed", "removed_chars", "kept", "spans"])
-
-    out = marked.join(spans, ["doc_id", "print"], "left").select("doc_id", "text", "spans").mapInArrow(removed, "doc_id long, n_units long, n_removed long, removed_chars long, kept string, spans array<struct<start:int,`end`:int>>")
-    return out.withColumn("doc_id", F.nullif("doc_id", no_id))
+        for batch in parts(batches, 2, CHUNK):
+            out: list[list] = [[], [], [], [], []]
+            for text, later, copy in zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)), strict=True):
+                text, cut = text or "", list(pattern.finditer(text or ""))
+                if copy > 1:
+                    later = [{"number": i, "words": len(_words(m[0])), "start": m.start(), "end": m.end()} for i, m in enumerate(m for m in cut if _words(m[0]))]
+                gone = _in_runs(later or [], s.run_words)
+                kept = "".join(text[a:b] for a, b in zip([0, *(x["end"] for x in gone)], [*(x["start"] for x in gone), len(text)]))
+                for column, value in zip(out, (len(cut), len(gone), len(text) - len(kept), kept, [{"start": x["start"], "end": x["end"]} for x in gone])):
+                    column.append(value)
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, out, kinds)], ["has_id", "doc_id", "n_units", "n_removed", "removed_chars", "kept", "spans"])
+
+    joined = marked.join(spans, key, "left")
+    copy = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(1))) if copies else F.lit(1)
+    out = joined.select("has_id", "doc_id", "text", "later", copy.alias("copy")).mapInArrow(removed, "has_id boolean, doc_id long, n_units long, n_removed long, removed_chars long, kept string, spans array<struct<start:int,`end`:int>>")
+    return out.select(F.when(F.col("has_id"), F.col("doc_id")).alias("doc_id"), "n_units", "n_removed", "removed_chars", "kept", "spans")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeated_units(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    spans = F.array_join(F.transform(F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")), lambda x: F.concat_ws(":", x["start"], x["end"])), ",")
+    spans = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["start"], x["end"])), ",")
     return out.select("doc_id", "n_units", "n_removed", "removed_chars", F.sha2("kept", 256).alias("kept_sha256"), spans.alias("spans"))
 
 
@@ -96,9 +127,13 @@ numbered AS (
 placed AS (
   SELECT *, coalesce(sum(length(unit)) OVER (PARTITION BY doc_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start,
     trim(regexp_replace(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g')) AS normal FROM numbered),
+known AS (
+  SELECT *, normal <> '' AS has_word, CASE WHEN normal <> '' THEN length(normal) - length(replace(normal, ' ', '')) + 1 END AS words,
+    normal <> '' AND row_number() OVER (PARTITION BY normal ORDER BY doc_id, place) > 1 AS later FROM placed),
+counted AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, has_word ORDER BY place) - row_number() OVER (PARTITION BY doc_id, has_word, later ORDER BY place) AS island FROM known),
 judged AS (
-  SELECT *, length(normal) - length(replace(normal, ' ', '')) + 1 >= 5
-    AND row_number() OVER (PARTITION BY normal ORDER BY doc_id, place) > 1 AS gone FROM placed)
+  SELECT *, later AND sum(words) OVER (PARTITION BY doc_id, has_word, later, island) >= 20 AS gone FROM counted)
 SELECT d.doc_id, count(j.place)::BIGINT AS n_units, count(*) FILTER (j.gone)::BIGINT AS n_removed,
   coalesce(sum(length(j.unit)) FILTER (j.gone), 0)::BIGINT AS removed_chars,
   sha256(coalesce(string_agg(j.unit, '' ORDER BY j.place) FILTER (NOT j.gone), '')) AS kept_sha256,
