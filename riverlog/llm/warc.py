@@ -8,7 +8,10 @@ lost task leaves nothing behind. Files are kept to about ``file_bytes``.
 Reading: archives come as (path, content) rows, as Spark's binaryFile source gives them, compressed or not. Every
 record is checked: version line, header block, length, closing blank line and payload digest. After a failed
 check the reader searches for the next gzip member that inflates, or the next version line at which a whole
-record stands, goes on from there, and reports the bytes between as quarantined.
+record stands, goes on from there, and reports the bytes between as quarantined. Of a damaged or cut member the whole records
+before the damage are read, too. A search doesn't inflate past its first ``LOOK`` bytes what shows no version line there, and no
+member is inflated beyond ``MOST`` bytes; what follows counts as damaged. An archive is one row: larger ones than a task's
+memory are to be cut at member borders before.
 
 Defined results: null html is an empty payload; a page without id counts as the least id; rows of equal id and payload
 are alike (all response or all revisit); control characters in URLs are percent-encoded; an empty table writes no records and reads
@@ -22,6 +25,7 @@ import gzip
 import hashlib
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,6 +39,7 @@ DATE = "2024-01-01T00:00:00Z"
 EMPTY_MEMBER = gzip.compress(b"", mtime=0)
 MEMBER = b"\x1f\x8b\x08"
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
+LOOK, MOST = 1 << 16, 1 << 30
 HEAD_END = re.compile(rb"\r\n(?:(\r\n)|WARC/1\.[01]\r\n)")  # the blank line, or else the next version line
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
@@ -101,8 +106,11 @@ def _parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | None:
     if blank is None or blank[1] is None:
         return None
     head_end = blank.start()
-    headers = {}
+    headers: dict[str, str] = {}
     for line in data[version.end() : head_end].split(b"\r\n"):
+        if line[:1] in (b" ", b"\t") and headers:  # a folded header goes on
+            headers[list(headers)[-1]] += " " + line.strip().decode("utf-8", "replace")
+            continue
         name, colon, value = line.partition(b":")
         if not colon:
             return None
@@ -119,50 +127,89 @@ def _parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | None:
     return headers, block, end + 4
 
 
-def _inflate(data: bytes, at: int) -> tuple[bytes, int] | None:
-    """The content of the gzip member at a place and where it ends, or None if it doesn't inflate."""
-    inflater, out, place = zlib.decompressobj(31), [], at
-    try:
-        while not inflater.eof and place < len(data):
-            out.append(inflater.decompress(data[place : place + 65536]))
-            place += 65536
-    except zlib.error:
-        return None
-    return (b"".join(out), min(place, len(data)) - len(inflater.unused_data)) if inflater.eof else None
+@dataclass
+class _Member:
+    """What a gzip member holds, as far as it inflates. ends: pairs of bytes written and where reading was then."""
+
+    content: bytes
+    end: int
+    whole: bool
+    ends: list[tuple[int, int]]
+
+    def place_of(self, size: int) -> int:
+        """A place in the archive where at least ``size`` bytes of content have been read."""
+        return self.ends[min(bisect_left(self.ends, (size, 0)), len(self.ends) - 1)][1]
+
+
+def _inflate(data: bytes, at: int, searching: bool) -> _Member | None:
+    """The gzip member at a place, or None if it isn't one."""
+    inflater, out, size, place, ends, seen = zlib.decompressobj(31), [], 0, at, [(0, at)], False
+    step = 4096
+    while not inflater.eof and place < len(data) and size < MOST:
+        before = inflater.copy()
+        try:
+            more = inflater.decompress(data[place : place + step], MOST - size)
+            place = min(place + step, len(data)) - len(inflater.unconsumed_tail)
+        except zlib.error:
+            if step == 1:
+                break
+            inflater, step = before, step // 16  # closer to the damage
+            continue
+        out.append(more)
+        size += len(more)
+        ends.append((size, place))
+        if searching and size >= LOOK and not seen and not (seen := VERSION.search(b"".join(out)) is not None):
+            return None
+    content = b"".join(out)
+    if inflater.eof:
+        return _Member(content, place - len(inflater.unused_data), True, ends)
+    return _Member(content, place, False, ends) if VERSION.match(content) else None
+
+
+def _records(inner: bytes) -> tuple[list[tuple[dict[str, str], bytes]], int]:
+    """The records that stand one after another, and where the last ends."""
+    found, place = [], 0
+    while place < len(inner) and (one := _parse(inner, place)):
+        found.append(one[:2])
+        place = one[2]
+    return found, place
 
 
 def salvage(data: bytes) -> Iterator[tuple[str, int, int, dict[str, str] | None, bytes]]:
     """("record" or "gap", start, end, headers, block) in order of place; gaps are the quarantined bytes. Offsets are
-    those of the archive as stored; a record has those of its member."""
+    those of the archive as stored; a record has those of its member, or of the readable part of a damaged one."""
     at, gap = 0, None
     while at < len(data):
         found: list[tuple[dict[str, str], bytes]] = []
-        end = None
+        end, gap_from = None, None
         if data.startswith(MEMBER, at):
-            member = _inflate(data, at)
+            member = _inflate(data, at, gap is not None)
             if member is not None:
-                inner, end, place = member[0], member[1], 0
-                while place < len(inner) and (one := _parse(inner, place)):
-                    found.append(one[:2])
-                    place = one[2]
-                if place < len(inner):  # what the member holds beyond is searched for version lines
-                    found += [(h, b) for kind, _, _, h, b in salvage(inner[place:]) if kind == "record"]
-                    if gap is None:
-                        gap = at
+                found, place = _records(member.content)
+                if member.whole:
+                    end = member.end
+                    if place < len(member.content):  # what the member holds beyond is searched for version lines
+                        found += [(h, b) for kind, _, _, h, b in salvage(member.content[place:]) if kind == "record"]
+                        gap = at if gap is None else gap
+                elif found:  # read up to the damage; the next member may begin before the place where inflating failed
+                    gap_from = member.place_of(place)
         elif one := _parse(data, at):
             found, end = [one[:2]], one[2]
-        if end is None:
+        if end is None and gap_from is None:
             gap = at if gap is None else gap
-            member, version = data.find(MEMBER, at + 1), VERSION.search(data, at + 1)
-            at = min([p for p in (member, version.start() if version else -1) if p >= 0], default=len(data))
-            continue
-        if gap is not None:
-            yield "gap", gap, at if gap < at else end, None, b""
+        elif gap is not None:
+            yield "gap", gap, at if gap < at else end or gap_from, None, b""
             gap = None
         for headers, block in found:
-            yield "record", at, end, headers, block
-        at = end
-    if gap is not None:
+            yield "record", at, end or gap_from, headers, block
+        if end is None:
+            gap = gap_from if gap_from is not None else gap
+            member_at, version = data.find(MEMBER, at + 1), VERSION.search(data, at + 1)
+            at = min([p for p in (member_at, version.start() if version else -1) if p >= 0], default=len(data))
+            gap = min(gap, at)
+        else:
+            at = end
+    if gap is not None and gap < len(data):
         yield "gap", gap, len(data), None, b""
 
 
