@@ -31,8 +31,8 @@ from .common import Scratch, read_table
 class CurveSettings:
     k: int = 10
     curves: int = 16
-    dims: int = 8
-    bits: int = 6
+    dims: int = 31
+    bits: int = 2  # of each dimension; a key has dims * bits, at most 63
     window: int = 512  # places to either side, at least
     share: float = 0.04  # of the index, at least
     sample: int = 10_000
@@ -74,6 +74,18 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), -1)
 
 
+def distances(rows: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Euclidean distances; differences whose squares leave the range of a double are scaled first."""
+    with np.errstate(over="ignore", under="ignore"):
+        apart = rows - v
+        out = np.sqrt((apart**2).sum(1))
+        most = np.abs(apart).max(1)
+        odd = np.flatnonzero(~np.isfinite(out) & np.isfinite(most) | (out < 1e-150) & (most > 0))
+        if len(odd):
+            out[odd] = most[odd] * np.sqrt(((apart[odd] / most[odd, None]) ** 2).sum(1))
+    return out
+
+
 def vector_classes(vectors: DataFrame, s: CurveSettings, scratch: Scratch) -> DataFrame:
     """(rep, v, ids, size): distinct valid vectors, least id, least k + 1 ids. A vector held by many rows is
     first cut to its least ids in salted groups."""
@@ -92,8 +104,8 @@ def ordered(classes: DataFrame, s: CurveSettings, scratch: Scratch) -> DataFrame
     sample = classes.select("size", "v").orderBy(F.xxhash64("rep")).limit(s.sample).toPandas()
     scales = {}
     for size, part in sample.groupby("size"):
-        x = np.stack(part["v"].tolist()).astype(np.float64) @ projections(int(size), s)[0]
-        scales[int(size)] = (x.mean(1), np.maximum(x.std(1), 1e-12))
+        low, middle, high = np.percentile(np.stack(part["v"].tolist()).astype(np.float64) @ projections(int(size), s)[0], [16, 50, 84], axis=1)
+        scales[int(size)] = (middle, np.maximum((high - low) / 2, 1e-300))  # of outliers, however large, only the ranks count
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,8 +116,9 @@ def ordered(classes: DataFrame, s: CurveSettings, scratch: Scratch) -> DataFrame
                 mean, sd = scales.get(size, (np.zeros((s.curves, s.dims)), np.ones((s.curves, s.dims))))
                 data = _matrix(part.column("v"))
                 for c in range(s.curves):
-                    at = ((data @ matrices[c] - mean[c]) / sd[c] + 3 + shifts[c]) / 9
-                    cells = np.clip(np.floor(at * (1 << s.bits)), 0, (1 << s.bits) - 1).astype(np.int64)
+                    with np.errstate(over="ignore", invalid="ignore"):
+                        at = np.nan_to_num(((data @ matrices[c] - mean[c]) / sd[c] + 3 + shifts[c]) / 9)
+                    cells = np.floor(np.clip(at, 0, 1) * ((1 << s.bits) - 1e-9)).astype(np.int64)
                     n = len(data)
                     columns = [pa.array(np.full(n, size * s.curves + c)), pa.array(hilbert_keys(cells, s.bits)), part.column("rep"), part.column("size")]
                     yield pa.RecordBatch.from_arrays(columns, ["curve", "key", "rep", "size"])
@@ -124,7 +137,8 @@ def ordered(classes: DataFrame, s: CurveSettings, scratch: Scratch) -> DataFrame
 def search(vectors: DataFrame, is_query, settings: CurveSettings = CurveSettings()) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each row of ``vectors`` (vec_id, v) that is a query."""
     s, scratch = settings, Scratch(vectors.sparkSession, "curves")
-    vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("v").cast("array<float>").alias("v"))
+    kind = "float" if vectors.schema["v"].dataType.simpleString() == "array<float>" else "double"
+    vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("v").cast(f"array<{kind}>").alias("v"))
     classes = vector_classes(vectors, s, scratch)
     asked = vectors.filter(is_query).select(F.col("vec_id").alias("query_id"), F.xxhash64("v").alias("p"), F.xxhash64(F.lit(1), "v").alias("q")).distinct()
     asked = scratch.table(asked.join(classes.select("p", "q", F.col("rep").alias("query")), ["p", "q"]).select("query_id", "query"), "asked")
@@ -149,7 +163,7 @@ def search(vectors: DataFrame, is_query, settings: CurveSettings = CurveSettings
             window = int(rows["window"].iloc[0])
             for query, place, v in zip(theirs["rep"], theirs["place"], theirs["v"], strict=True):
                 near = np.flatnonzero(np.abs(at - place) <= window)
-                score = np.sqrt(((data[near] - np.asarray(v, dtype=np.float64)) ** 2).sum(1))
+                score = distances(data[near], np.asarray(v, dtype=np.float64))
                 top = np.lexsort((reps[near], score))[: s.k + 1]
                 out.append(pd.DataFrame({"query": query, "rep": reps[near][top], "score": score[top]}))
         return pd.concat(out).astype({"query": "int64", "rep": "int64", "score": "float64"})
