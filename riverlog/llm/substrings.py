@@ -4,18 +4,20 @@ Suffixes are ordered only through their first ``window`` bytes, by passes from t
 on; a pass drops groups of one and hands the others to the next. Equal groups after the last pass are exactly the
 repeated windows.
 
-The digits are chosen so that few suffixes enter. The first is the window's anchor: its ``anchor``-byte substring of
+The first digits are chosen so that few suffixes enter. The first is the window's anchor: its ``anchor``-byte substring of
 least hash (the leftmost, if equal), with its place in the window. Equal windows have equal anchors, and consecutive
 windows mostly share one, so the pass sorts one row per anchor, about a hundredth of the bytes. Anchors that occur once
 are dropped. The second digit is the whole stretch of bytes that an anchor's windows cover: stretches that occur again
-are repeated as a whole, and one copy of each goes on. The last digit is the window's own bytes, for each window of the
-stretches left. Anchors with few stretches are sorted within a task, group by group. Those with more than
+are repeated as a whole, and one copy of each goes on. The last digits are the window's own bytes, eight at a time from the most significant on,
+for each window of the stretches left that shares a fingerprint with another. Anchors with few stretches are sorted within a task, group by group. Those with more than
 ``split_over`` pass on: their stretches are cut into nodes, windows whose anchors stand at nearby places, and the next digit
 is what all windows of a node have in common; nodes without an equal are dropped and repeated ones marked as a whole, as before. After the
 narrowest nodes, windows of groups that are still large meet in a shuffle by digit, so no group is gathered whole.
+Where bytes aren't compared (whole stretches, nodes, windows of large groups), rows meet by two fingerprints of 64 bits, that of the anchor and that of the
+digit.
 
 Defined results: null and empty texts have no bytes; texts shorter than the window lose nothing; rows are told apart
-by doc_id and a hash of their text, so repeated rows have a result each; copies of a text of the window's length or
+by doc_id and a hash of their text, those without id by 128 bits of hash, so repeated rows have a result each; copies of a text of the window's length or
 more lose every byte; null ids are allowed; an empty table gives an empty result.
 """
 
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, read_table
+from .common import Scratch, parts, read_table, with_row_key
 
 BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2 ** 64
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -109,14 +111,8 @@ def anchors_of(texts: list[bytes], s: WindowSettings) -> tuple[np.ndarray, ...]:
 
 def _chunked(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Parts of batches with the bytes of their second column."""
-    for batch in batches:
-        texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
-        first = size = 0
-        for i, text in enumerate(texts):
-            size += len(text)
-            if size > limit or i == len(texts) - 1:
-                yield batch.slice(first, i + 1 - first), texts[first : i + 1]
-                first, size = i + 1, 0
+    for part in parts(batches, 1, limit):
+        yield part, [t or b"" for t in part.column(1).cast(pa.binary()).to_pylist()]
 
 
 def _runs(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
@@ -144,6 +140,30 @@ def window_digits(keys: list[int], stretches: list[bytes], window: int) -> tuple
     return row, start, prints.of(at, at + window) ^ _mixed(np.array(keys, dtype=np.int64).view(np.uint64)[row])
 
 
+def equal_windows(data: np.ndarray, at: np.ndarray, digit: np.ndarray, window: int) -> np.ndarray:
+    """Which of the windows at these places of ``data`` are equal to another one. Digits that differ part them at once; what
+    is left is ordered by its bytes, eight at a time from the most significant on, and groups of one are dropped."""
+    order = np.argsort(digit, kind="stable")
+    group = np.concatenate([[0], np.cumsum(digit[order][1:] != digit[order][:-1])]) if len(order) else order
+    for k in [*range(0, window - 8, 8), window - 8]:
+        size = np.bincount(group)[group] if len(group) else group
+        order, group = order[size > 1], group[size > 1]
+        if not len(order):
+            break
+        eight = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, 8)[at[order] + k]).view(">u8").ravel().astype(np.uint64)
+        inside = group[1:] == group[:-1]
+        if (eight[1:] != eight[:-1])[inside].any():
+            by = np.lexsort((eight, group))
+            order, group, eight = order[by], group[by], eight[by]
+            group = np.concatenate([[0], np.cumsum((group[1:] != group[:-1]) | (eight[1:] != eight[:-1]))])
+        else:
+            group = np.concatenate([[0], np.cumsum(~inside)])
+    size = np.bincount(group)[group] if len(group) else group
+    out = np.zeros(len(at), bool)
+    out[order[size > 1]] = True
+    return out
+
+
 def _pass(rows: DataFrame, carried: list[str], s: WindowSettings, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """One radix pass over a table of (key, stretch, known, *carried): spans of the stretches that occur again, and what goes on,
     one copy of each stretch of the keys that have several, with ``split`` for keys of too many. known: already among the spans."""
@@ -180,10 +200,10 @@ def _nodes(pieces: DataFrame, width: int, s: WindowSettings) -> DataFrame:
                 keys = _mixed(prints.of(c0, c1) ^ _mixed(key.view(np.uint64) + node.view(np.uint64) * MIX[0]))
                 stretch = _mixed(prints.of(a, b) ^ _mixed(where.view(np.uint64) + MIX[1]))
                 doc_id, mark, first, last, left, known, data = zip(*out)
-                columns = [pa.array(keys.view(np.int64)), pa.array(stretch.view(np.int64)), pa.array(known, pa.bool_()), pa.array(doc_id, pa.int64()), *(pa.array(x, pa.int32()) for x in (mark, first, last, left)), pa.array(data, pa.binary())]
+                columns = [pa.array(keys.view(np.int64)), pa.array(stretch.view(np.int64)), pa.array(known, pa.bool_()), pa.array(doc_id, pa.int64()), pa.array(mark, pa.int64()), *(pa.array(x, pa.int32()) for x in (first, last, left)), pa.array(data, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    schema = "key long, stretch long, known boolean, doc_id long, print int, first int, last int, left int, bytes binary"
+    schema = "key long, stretch long, known boolean, doc_id long, print long, first int, last int, left int, bytes binary"
     return pieces.select("key", "doc_id", "print", "first", "last", "left", "known", "bytes").mapInArrow(cut, schema)
 
 
@@ -197,7 +217,7 @@ def repeated_spans(docs: DataFrame, settings: WindowSettings, scratch: Scratch)
             columns = [batch.column(0).take(pa.array(text)), batch.column(2).take(pa.array(text)), *(pa.array(x.astype(np.int32)) for x in (first, last, left)), pa.array(key.view(np.int64)), pa.array(stretch.view(np.int64))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "print", "first", "last", "left", "key", "stretch"])
 
-    schema = "doc_id long, print int, first int, last int, left int, key long, stretch long"
+    schema = "doc_id long, print long, first int, last int, left int, key long, stretch long"
     rows = scratch.table(docs.select("doc_id", "text", "print").mapInArrow(anchor_rows, schema).withColumn("known", F.lit(False)), "anchors")
     whole, left = _pass(rows, ["doc_id", "print", "first", "last", "left"], s, scratch)
     scratch.drop(rows)
@@ -211,10 +231,10 @@ def repeated_spans(docs: DataFrame, settings: WindowSettings, scratch: Scratch)
                 raw = text.encode("utf-8", "surrogatepass")
                 out += [(p["key"], doc_id, mark, p["first"], p["last"], p["left"], p["known"], p["split"], raw[p["first"] : p["last"] + s.window]) for p in parts]
             if out:
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary()]
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
-    cut_schema = "key long, doc_id long, print int, first int, last int, left int, known boolean, split boolean, bytes binary"
+    cut_schema = "key long, doc_id long, print long, first int, last int, left int, known boolean, split boolean, bytes binary"
     texts = docs.join(by_doc, ["doc_id", "print"])
     pieces = scratch.table(texts.select("doc_id", "text", "print", "parts").mapInArrow(cut, cut_schema), "pieces")
 
@@ -234,10 +254,8 @@ def repeated_spans(docs: DataFrame, settings: WindowSettings, scratch: Scratch)
 
         def flush() -> pa.RecordBatch:
             row, start, digit = window_digits([r[0] for r in held], [r[5] for r in held], s.window)
-            order = np.argsort(digit, kind="stable")
-            same = digit[order][1:] == digit[order][:-1]
-            equal = np.zeros(len(digit), bool)
-            equal[order] = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+            sizes = np.array([len(r[5]) for r in held], dtype=np.int64)
+            equal = equal_windows(np.frombuffer(b"".join(r[5] for r in held), np.uint8), (np.cumsum(sizes) - sizes)[row] + start, digit, s.window)
             row, start = row[equal], start[equal]
             edge = np.ones(len(row), bool)
             edge[1:] = (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)
@@ -246,7 +264,7 @@ def repeated_spans(docs: DataFrame, settings: WindowSettings, scratch: Scratch)
             own, a, b = row[head], start[head], start[tail] + s.window
             keep = [i for i in range(len(own)) if not held[own[i]][4]]
             return pa.RecordBatch.from_arrays(
-                [pa.array([held[own[i]][1] for i in keep], pa.int64()), pa.array([held[own[i]][2] for i in keep], pa.int32()), pa.array([held[own[i]][3] + int(a[i]) for i in keep], pa.int32()), pa.array([held[own[i]][3] + int(b[i]) for i in keep], pa.int32())],
+                [pa.array([held[own[i]][1] for i in keep], pa.int64()), pa.array([held[own[i]][2] for i in keep], pa.int64()), pa.array([held[own[i]][3] + int(a[i]) for i in keep], pa.int32()), pa.array([held[own[i]][3] + int(b[i]) for i in keep], pa.int32())],
                 ["doc_id", "print", "from", "to"],
             )
 
@@ -260,7 +278,7 @@ def repeated_spans(docs: DataFrame, settings: WindowSettings, scratch: Scratch)
         if held:
             yield flush()
 
-    span = "doc_id long, print int, `from` int, `to` int"
+    span = "doc_id long, print long, `from` int, `to` int"
     few = small.select("key", "doc_id", "print", "first", "known", "bytes").repartition("key").sortWithinPartitions("key")
     within = few.mapInArrow(sort_groups, span)
 
@@ -271,12 +289,12 @@ def repeated_spans(docs: DataFrame, settings: WindowSettings, scratch: Scratch)
             for i in range(0, len(rows), 2000):
                 part = rows[i : i + 2000]
                 row, start, digit = window_digits([r[0] for r in part], [r[5] for r in part], s.window)
-                key, doc_id, mark, known = (pa.array([r[c] for r in part], k).take(pa.array(row)) for c, k in ((0, pa.int64()), (1, pa.int64()), (2, pa.int32()), (4, pa.bool_())))
+                key, doc_id, mark, known = (pa.array([r[c] for r in part], k).take(pa.array(row)) for c, k in ((0, pa.int64()), (1, pa.int64()), (2, pa.int64()), (4, pa.bool_())))
                 at = np.array([r[3] for r in part], dtype=np.int64)[row] + start
                 yield pa.RecordBatch.from_arrays([key, pa.array(digit.view(np.int64)), doc_id, mark, known, pa.array(at.astype(np.int32))], ["key", "digit", "doc_id", "print", "known", "at"])
 
     many = rest.select("key", "doc_id", "print", "first", "known", "bytes")
-    all_windows = scratch.table(many.mapInArrow(windows, "key long, digit long, doc_id long, print int, known boolean, at int"), "windows")
+    all_windows = scratch.table(many.mapInArrow(windows, "key long, digit long, doc_id long, print long, known boolean, at int"), "windows")
     equal = scratch.table(all_windows.groupBy("key", "digit").agg(F.count("*").alias("n")).filter("n > 1").select("key", "digit"), "equal")
     across = all_windows.filter("not known").join(equal, ["key", "digit"]).select("doc_id", "print", F.col("at").alias("from"), (F.col("at") + s.window).cast("int").alias("to"))
     every = reduce(DataFrame.union, [*spans, within, across])
@@ -286,8 +304,7 @@ def repeated_spans(docs: DataFrame, settings: WindowSettings, scratch: Scratch)
 def remove_repeats(docs: DataFrame, settings: WindowSettings = WindowSettings()) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes) and spans (the removed runs); a row for each row of ``docs``."""
     scratch = Scratch(docs.sparkSession, "windows")
-    no_id = F.lit(-(1 << 63))
-    marked = docs.select(F.coalesce(F.col("doc_id").cast("long"), no_id).alias("doc_id"), "text", F.hash("text").alias("print"))
+    marked = with_row_key(docs)
     spans = repeated_spans(marked, settings, scratch)
 
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,13 +312,13 @@ def remove_repeats(docs: DataFrame, settings: WindowSettings = WindowSettings())
             runs = [_runs(np.array([x["from"] for x in r or []]), np.array([x["to"] for x in r or []])) for r in batch.column(2).to_pylist()]
             kept = [b"".join(t[a:b] for a, b in zip([0, *(y for _, y in r)], [*(x for x, _ in r), len(t)])) for t, r in zip(texts, runs)]
             n_bytes = [len(t) for t in texts]
-            columns = [batch.column(0), pa.array(n_bytes, pa.int64()), pa.array([n - len(k) for n, k in zip(n_bytes, kept)], pa.int64()), pa.array([len(r) for r in runs], pa.int64()), pa.array(kept, pa.binary())]
+            columns = [batch.column(0), batch.column(3), pa.array(n_bytes, pa.int64()), pa.array([n - len(k) for n, k in zip(n_bytes, kept)], pa.int64()), pa.array([len(r) for r in runs], pa.int64()), pa.array(kept, pa.binary())]
             columns.append(pa.array([[{"from": a, "to": b} for a, b in r] for r in runs], pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))))
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "spans"])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "has_id", "n_bytes", "n_removed", "n_spans", "kept", "spans"])
 
-    joined = marked.join(spans, ["doc_id", "print"], "left").select("doc_id", "text", "spans")
-    out = joined.mapInArrow(removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<`from`:int,`to`:int>>")
-    return out.withColumn("doc_id", F.nullif("doc_id", no_id))
+    joined = marked.join(spans, ["doc_id", "print"], "left").select("doc_id", "text", "spans", "has_id")
+    out = joined.mapInArrow(removed, "doc_id long, has_id boolean, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<`from`:int,`to`:int>>")
+    return out.select(F.when(F.col("has_id"), F.col("doc_id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept", "spans")
 
 
 def op9_radix_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
