@@ -1,10 +1,10 @@
 """Operator 6: personal data.
 
 A character tagger (bidirectional LSTM under CRF transitions, trained in numpy from labelled spans) reads
-overlapping windows of the whole text. Each place takes its tag from the window in which it stands most centrally, so the windows of
-a text join into one sequence of tags, from which spans are read. All four kinds need a digit or an at sign, so windows that
-are too far from any such character to bear on a span are left out; nothing else is skipped. The plain patterns of the kinds always
-count; the tagger adds what they miss, if it is sure of every character and the span passes its kind's check.
+overlapping windows of the whole text. Each place takes its scores from the window in which it stands most centrally; the joined
+scores of all neighbouring windows are decoded in one pass, so tags are reconciled over the text and not window by window. All four kinds need a
+digit or an at sign, so windows that are too far from any such character to bear on a span are left out; nothing else is skipped. The plain
+patterns of the kinds always count; the tagger adds what they miss, if it is sure of every character and the span passes its kind's check.
 
 Defined results: null and empty texts have no spans; offsets count code points, end exclusive; repeated rows have a
 result each; an empty table gives an empty result; an existing column named like the added one gives way.
@@ -15,16 +15,17 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read_table
+from .common import read_table, slices
 from .secrets import SPANS, digest
 from .tagger import KINDS, Tagger, TaggerSettings, char_ids, luhn, spans_of, trained
 
 MARKED_SPANS = T.ArrayType(T.StructType([*SPANS.elementType.fields, T.StructField("added", T.BooleanType())]))
+CHUNK = 1_000_000  # bytes of text held as objects at once
 SURE = 0.9  # least probability of each character of an added span to belong to one
 
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -78,28 +79,31 @@ def _windows(text: str, s: TaggerSettings) -> list[int]:
     return sorted(out)
 
 
-def tagged_spans(texts: list[str], tagger: Tagger) -> list[list[tuple[str, int, int]]]:
-    """Sure and plausible spans of each text, decoded in overlapping windows and joined."""
+def tagged_spans(texts: list[str], tagger: Tagger, everywhere: bool = False) -> list[list[tuple[str, int, int]]]:
+    """Sure and plausible spans of each text: scores of overlapping windows, joined and decoded as one sequence for each stretch of
+    neighbouring windows. ``everywhere`` reads all windows."""
     s = tagger.s
     edge = (s.window - s.stride) // 2
-    where = [(i, k) for i, t in enumerate(texts) for k in _windows(t, s)]
-    tags = [np.zeros(0, np.int64)] * len(texts)
-    sure = [np.zeros(0)] * len(texts)
-    for i in {i for i, _ in where}:
-        tags[i], sure[i] = np.zeros(len(texts[i]), np.int64), np.zeros(len(texts[i]))
+    every = lambda t: range(max(0, -(-(len(t) - s.window) // s.stride)) + 1)
+    where = [(i, k) for i, t in enumerate(texts) for k in (every(t) if everywhere else _windows(t, s)) if t]
+    stretches: list[tuple[int, int, list[np.ndarray]]] = []  # text, start, scores
+    before = (-1, -1)
     for first in range(0, len(where), 1024):
         part = where[first : first + 1024]
         pieces = [texts[i][k * s.stride : k * s.stride + s.window] for i, k in part]
-        best, outside = tagger.decode(np.stack([char_ids(p.ljust(s.window)) for p in pieces]))
-        for (i, k), piece, b, o in zip(part, pieces, best, outside, strict=True):
-            start, size = k * s.stride, len(texts[i])
+        scores, _ = tagger.forward(np.stack([char_ids(p.ljust(s.window)) for p in pieces]))
+        for n, ((i, k), piece) in enumerate(zip(part, pieces, strict=True)):
             low = 0 if k == 0 else edge
-            high = len(piece) if start + s.window >= size else edge + s.stride
-            tags[i][start + low : start + high] = b[low:high]
-            sure[i][start + low : start + high] = 1 - o[low:high]
-    out: list[list[tuple[str, int, int]]] = []
-    for text, t, p in zip(texts, tags, sure, strict=True):
-        out.append([(kind, a, b) for kind, a, b in (spans_of(t) if t.any() else []) if p[a:b].min() >= SURE and plausible(kind, text[a:b])])
+            high = len(piece) if (k * s.stride + s.window) >= len(texts[i]) else edge + s.stride
+            if before != (i, k - 1):
+                stretches.append((i, k * s.stride + low, []))
+            stretches[-1][2].append(scores[low:high, n])
+            before = i, k
+    out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
+    for (i, start, _), (tags, outside) in zip(stretches, tagger.decode([np.concatenate(x[2]) for x in stretches]), strict=True):
+        for kind, a, b in spans_of(tags) if tags.any() else []:
+            if outside[a:b].max() <= 1 - SURE and plausible(kind, texts[i][start + a : start + b]):
+                out[i].append((kind, start + a, start + b))
     return out
 
 
@@ -125,9 +129,14 @@ def find_all(texts: list[str | None], tagger: Tagger) -> list[list[tuple[str, in
 def personal_spans(text: Column, tagger: Tagger) -> Column:
     """A column of spans, array<struct<kind, start, end, added>>. The tagger goes along with the tasks."""
 
-    @F.pandas_udf(MARKED_SPANS)
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([[{"kind": k, "start": a, "end": b, "added": more} for k, a, b, more in spans] for spans in find_marked(list(texts), tagger)], dtype=object)
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("added", pa.bool_())]))
+
+    @F.arrow_udf(MARKED_SPANS)
+    def of(texts: pa.Array) -> pa.Array:
+        out: list[list[dict]] = []
+        for a, b in slices(texts, CHUNK):
+            out += [[{"kind": k, "start": x, "end": y, "added": more} for k, x, y, more in spans] for spans in find_marked(texts[a:b].to_pylist(), tagger)]
+        return pa.array(out, kind)
 
     return of(text)
 

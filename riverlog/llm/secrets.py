@@ -15,13 +15,14 @@ import zlib
 from collections.abc import Callable
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read_table
+from .common import read_table, slices
 
+CHUNK = 1_000_000  # bytes of text held as objects at once
 BASE_KINDS = ("assign", "access", "hex")
 CHECKED_KINDS = ("github", "npm")
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
@@ -90,14 +91,20 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda x: (x[1], order[x[0]]))
 
 
-@F.pandas_udf(SPANS)
-def _spans(texts: pd.Series) -> pd.Series:
-    return pd.Series([[{"kind": k, "start": a, "end": b} for k, a, b in find(t)] for t in texts], dtype=object)
+SPANS_ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
 
-@F.pandas_udf(T.StringType())
-def _redacted(texts: pd.Series) -> pd.Series:
-    return pd.Series([redact(t) for t in texts], dtype=object)
+@F.arrow_udf(SPANS)
+def _spans(texts: pa.Array) -> pa.Array:
+    out: list[list[dict]] = []
+    for a, b in slices(texts, CHUNK):
+        out += [[{"kind": k, "start": x, "end": y} for k, x, y in find(t)] for t in texts[a:b].to_pylist()]
+    return pa.array(out, SPANS_ARROW)
+
+
+@F.arrow_udf(T.StringType())
+def _redacted(texts: pa.Array) -> pa.Array:
+    return pa.array([redact(t) for a, b in slices(texts, CHUNK) for t in texts[a:b].to_pylist()], pa.string())
 
 
 def redact(text: str | None, mark: str = "[SECRET]") -> str | None:

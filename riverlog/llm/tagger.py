@@ -154,21 +154,41 @@ class Tagger:
                 self.p[k] -= (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
         return losses
 
-    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The best tags of windows (batch, time) and the probability that each is outside."""
-        u, _ = self.forward(ids)
-        a, b, total = self.chain(u)
+    def decode(self, scores: list[np.ndarray], most: int = 1 << 18) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each sequence of scores (time, tag), its best tags as a whole and the probability that each place is outside.
+        Sequences of like length are taken together, up to ``most`` places."""
+        out: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0))] * len(scores)
+        order = sorted((i for i, u in enumerate(scores) if len(u)), key=lambda i: len(scores[i]))
+        while order:
+            n = len(scores[order[-1]])
+            part, order = order[-max(1, most // n) :], order[: -max(1, most // n)]
+            sizes = np.array([len(scores[i]) for i in part])
+            u = np.zeros((n, len(part), N_TAGS), np.float32)
+            for k, i in enumerate(part):
+                u[: sizes[k], k] = scores[i]
+            tags, outside = self._decode(u, sizes)
+            for k, i in enumerate(part):
+                out[i] = tags[k, : sizes[k]], outside[k, : sizes[k]]
+        return out
+
+    def _decode(self, u: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         trans, n = self.p["trans"], len(u)
-        best, came = u[0], np.empty(u.shape, np.int8)
+        best, came = u[0].copy(), np.empty(u.shape, np.int8)
+        a, b = np.empty_like(u), np.zeros_like(u)
+        a[0] = u[0]
         for t in range(1, n):
+            on = (t < sizes)[:, None]  # beyond its end a sequence stays as it is
             step = best[:, :, None] + trans
-            came[t] = step.argmax(1)
-            best = step.max(1) + u[t]
+            came[t] = np.where(on, step.argmax(1), np.arange(N_TAGS))
+            best = np.where(on, step.max(1) + u[t], best)
+            a[t] = np.where(on, u[t] + _log_sum(a[t - 1][:, :, None] + trans, 1), a[t - 1])
+            back = n - t
+            b[back - 1] = np.where((back < sizes)[:, None], _log_sum(trans + (u[back] + b[back])[:, None, :], 2), 0)
         tags = np.empty((u.shape[1], n), np.int64)
         tags[:, -1] = best.argmax(1)
         for t in range(n - 1, 0, -1):
             tags[:, t - 1] = np.take_along_axis(came[t], tags[:, t][:, None], 1)[:, 0]
-        return tags, np.exp((a + b)[..., 0] - total).T
+        return tags, np.exp((a + b)[..., 0] - _log_sum(a[-1], 1)).T
 
 
 def luhn(digits: str) -> bool:
