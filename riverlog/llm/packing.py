@@ -22,12 +22,12 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, read_table
+from .common import Scratch, parts, read_table
 
 
 @dataclass(frozen=True)
@@ -38,12 +38,13 @@ class PackSettings:
     ranks: str | None = public_tokenizers.path("byte_bpe_50k.tiktoken")  # the same vocabulary, for the faster library
     salt_rows: int = 256
     max_salts: int = 4096
+    chunk_bytes: int = 1_000_000
 
 
 @lru_cache(4)
 def encoder(tokenizer: str, ranks: str | None) -> Callable[[str], list[int]]:
-    """ids of a text. The faster library serves Latin text, where both split words alike; special tokens and other
-    scripts go to the tokenizer file itself."""
+    """ids of a text. The faster library serves Latin text, where both split words alike; special tokens, other
+    scripts and long runs of blanks, on which its pattern overflows, go to the tokenizer file itself."""
     from tokenizers import Tokenizer
 
     exact = Tokenizer.from_file(tokenizer)
@@ -56,7 +57,7 @@ def encoder(tokenizer: str, ranks: str | None) -> Callable[[str], list[int]]:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
     special = [t["content"] for t in json.loads(exact.to_str())["added_tokens"]]
-    other = re.compile("|".join(["[^\\x00-ɏ‐-‧€]", *map(re.escape, special)]))
+    other = re.compile("|".join(["[^\\x00-ɏ‐-‧€]", r"\s{10000}", *map(re.escape, special)]))
     return lambda text: slow(text) if other.search(text) else fast.encode_ordinary(text)
 
 
@@ -64,20 +65,24 @@ def tokenised(docs: DataFrame, settings: PackSettings = PackSettings(), id_col:
     """One row a piece: doc_id, piece, start, length, ids_crc32 and, if wanted, ids. The first piece takes the odd rest."""
     s = settings
 
-    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = {"doc_id": pa.string(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64()}
+    if with_ids:
+        columns["ids"] = pa.list_(pa.int32())
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(s.tokenizer, s.ranks)
-        for batch in batches:
+        for part in parts(batches, 1, s.chunk_bytes):
             out = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 ids = np.array([*encode(text or ""), s.end_id], dtype="<u4")
                 first = len(ids) % s.capacity or s.capacity
                 edges = [0, *range(first, len(ids) + 1, s.capacity)]
                 out += [(doc_id, k, a, b - a, zlib.crc32(ids[a:b].tobytes()), *([ids[a:b].astype("int32")] if with_ids else [])) for k, (a, b) in enumerate(zip(edges, edges[1:]))]
-            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]).astype({"doc_id": batch["doc_id"].dtype})
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), columns.values())], list(columns))
 
     rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    out = rows.mapInPandas(pieces, "doc_id string, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    out = rows.mapInArrow(pieces, "doc_id string, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
     return out.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
