@@ -3,6 +3,7 @@
 import hashlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from riverlog.llm import lines, neardup, substrings
@@ -107,6 +108,8 @@ def test_passages_inside_other_lines_go_but_for_the_first(spark):
     passage = "Here is one long sentence that stands in many places. And a second sentence of it follows on."
     rows = [(i, f"Own words number {i} are here at first. {passage} Own words number {i} are here at last.", "s") for i in range(5)]
     got = {r["doc_id"]: r for r in lines.remove_repeated_units(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert [got[i]["n_removed"] for i in range(5)] == [0, 0, 0, 0, 0]  # two sentences of 18 words are no passage yet
+    got = {r["doc_id"]: r for r in lines.remove_repeated_units(spark.createDataFrame(rows, "doc_id long, text string, source string"), lines.LineSettings(run_words=15)).collect()}
     assert [got[i]["n_removed"] for i in range(5)] == [0, 2, 2, 2, 2]
     for i in range(1, 5):
         assert "".join(rows[i][1][s["start"] : s["end"]] for s in got[i]["spans"]).strip() == passage
@@ -121,5 +124,25 @@ def test_lines_of_odd_rows(odd, odd_documents, no_documents):
         by[r["doc_id"]].append(r)
     assert by[None][0]["n_removed"] == 0 and by[6][0]["kept"] == ""  # rows without id come first
     assert by[1][0]["n_units"] == 0 and by[4][0]["kept"] == "one"
+    assert sorted(len(r["kept"]) for r in by[7]) == [0, 0]
     assert lines.remove_repeated_units(no_documents).collect() == []
     assert lines.remove_repeated_units(odd, lines.LineSettings(unit="paragraph")).count() == len(odd_documents)
+
+
+def test_every_later_line_goes_with_runs_of_one_word(spark):
+    rows = [(1, "all rights reserved.\nown one\n"), (2, "own two\nAll  rights reserved.\n"), (3, "own three"), (3, "own three"), (None, "own three"), (None, "OWN two")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r["doc_id"]), r["kept"]) for r in lines.remove_repeated_units(docs, lines.LineSettings(unit="line", run_words=1)).collect())
+    assert got == [("1", "all rights reserved.\nown one\n"), ("2", ""), ("3", ""), ("3", ""), ("None", "OWN two"), ("None", "own three")]
+
+
+def test_one_of_equal_rows_is_the_earliest(spark):
+    rows = [(1, "this is a passage of words " * 5)] * 3 + [(2, "this is a passage of words " * 5)]
+    got = sorted((r["doc_id"], len(r["kept"])) for r in lines.remove_repeated_units(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 0), (1, 0), (1, len(rows[0][1])), (2, 0)]
+
+
+def test_equal_digits_of_different_bytes_are_parted():
+    data = np.frombuffer(b"abcdefghij" * 3 + b"abcdefghiX" + b"zzzzzzzzzz", np.uint8)
+    at, digit = np.array([0, 10, 30, 20, 40, 1]), np.array([5, 5, 5, 5, 5, 7], dtype=np.uint64)
+    assert substrings.equal_windows(data, at, digit, 10).tolist() == [True, True, False, True, False, False]

@@ -1,14 +1,17 @@
 """Mixing, secrets, personal data, packing and quality against plain Python."""
 
 import hashlib
+import itertools
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from riverlog.llm import mixing, packing, privacy, quality, secrets, tagger
+from riverlog.llm.common import Scratch
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LUHN = "4000001234567899"
@@ -63,7 +66,7 @@ def test_mix_rows_are_the_draws(spark, documents):
 
 def test_splitting_tree_keeps_quotas(spark):
     quotas = [700, 3, 0, 250, 41]
-    leaves = mixing.splitting_tree(spark.createDataFrame([(quotas,)], "quotas array<long>"), 3, 11).collect()
+    leaves = mixing.splitting_tree(spark.createDataFrame([(quotas,)], "quotas array<long>"), 3, 11, Scratch(spark, "test")).collect()
     assert len(leaves) == 8
     assert [sum(x) for x in zip(*(r["quotas"] for r in leaves))] == quotas
     sizes = [sum(r["quotas"]) for r in leaves]
@@ -86,6 +89,30 @@ def test_mix_of_odd_rows(odd, odd_documents, no_documents):
     assert {r["size"] for r in got if not (r["row"]["text"] or "").strip()} == {0}
     assert set(mixing.mix(odd).columns) >= {"rank", "lang", "mix_shard"}
     assert mixing.assign(no_documents).collect() == [] and mixing.mix(no_documents).collect() == []
+    clashing = odd.selectExpr("doc_id", "text", "source", "1 AS size", "2 AS target", "3 AS mix_pass", "4 AS block", "5 AS draws", "6 AS id")
+    assert sorted((str(r["row"]["doc_id"]), r["taken"]) for r in mixing.assign(clashing).collect()) == sorted((str(r["row"]["doc_id"]), r["taken"]) for r in got)
+    mixed = mixing.mix(clashing)
+    assert sorted(mixed.columns) == sorted([*clashing.columns, "mix_shard", "mix_words"]) and mixed.filter("size <> 1 or target <> 2 or id <> 6").isEmpty()
+
+
+def test_running_totals_are_those_of_one_order(spark):
+    rows = spark.createDataFrame([(i % 3, i * 7919 % 1000, i % 5) for i in range(1000)], "g int, at int, n long")
+    got = {(r["g"], r["at"]): r["before"] for r in mixing.running_total(rows, "g", [F.col("at")], "n", "before", Scratch(spark, "test")).collect()}
+    want, total = {}, Counter()
+    for g, at, n in sorted(rows.collect()):
+        want[g, at] = total[g]
+        total[g] += n
+    assert got == want
+
+
+def test_a_cut_block_is_small_however_large_the_source(spark):
+    docs = spark.range(4000).selectExpr("id AS doc_id", "repeat('word ', 20) AS text", "if(id % 3 = 0, 'b', 'a') AS source")
+    rows = mixing.assign(docs, mixing.MixSettings(block_words=400, shard_words=1000)).collect()
+    cut = [r for r in rows if r["taken"] % r["size"]]
+    assert len(cut) <= 2  # a document a source
+    shards = Counter(d["shard"] for r in rows for d in r["draws"])
+    assert len(shards) > 60 and max(shards.values()) < 6 * np.mean(list(shards.values()))
+    assert sum(r["taken"] for r in rows) == 120_000
 
 
 def plain_secrets(text):
@@ -158,7 +185,8 @@ def test_personal_data_holds_the_base_spans(spark, sf_dir, documents):
 def test_tagger_on_held_out_texts(spark):
     t = tagger.trained(spark)
     rows = tagger.labelled_texts(400, 12345, t.s.window)
-    tags, _ = t.decode(np.stack([tagger.char_ids(x) for x, _ in rows]))
+    scores, _ = t.forward(np.stack([tagger.char_ids(x) for x, _ in rows]))
+    tags = [best for best, _ in t.decode(list(scores.transpose(1, 0, 2)))]
     inner = lambda spans: {x for x in spans if x[1] > 0 and x[2] < t.s.window}
     hits = found = there = 0
     for (_, spans), got in zip(rows, tags):
@@ -167,6 +195,26 @@ def test_tagger_on_held_out_texts(spark):
     assert hits / found > 0.9 and hits / there > 0.9
 
 
+def test_joined_scores_are_decoded_as_by_brute_force():
+    t = tagger.Tagger(tagger.TaggerSettings())
+    rng = np.random.default_rng(2)
+    t.p["trans"] = rng.normal(size=t.p["trans"].shape)
+    scores = [rng.normal(size=(n, tagger.N_TAGS)) for n in (1, 4, 0, 3)]
+    for most in (4, 1000):
+        for u, (tags, outside) in zip(scores, t.decode(scores, most), strict=True):
+            paths = list(itertools.product(range(tagger.N_TAGS), repeat=len(u)))
+            value = [sum(u[k, x] for k, x in enumerate(p)) + sum(t.p["trans"][a, b] for a, b in zip(p, p[1:])) for p in paths]
+            assert tuple(tags) == paths[int(np.argmax(value))]
+            weight = np.exp(value) / np.exp(value).sum()
+            want = [sum(w for w, p in zip(weight, paths) if p[k] == 0) for k in range(len(u))]
+            assert outside == pytest.approx(want, abs=1e-5)
+
+
+def test_windows_left_out_hold_no_spans(spark, documents):
+    t, texts = tagger.trained(spark), [x or "" for _, x, _ in documents[:60]]
+    assert privacy.tagged_spans(texts, t) == privacy.tagged_spans(texts, t, everywhere=True)
+
+
 def test_tagger_adds_what_patterns_miss(spark):
     t = tagger.trained(spark)
     prose = "the ononth ertion of that is and hean thereas " * 4
@@ -190,6 +238,8 @@ def test_counts_and_hash_leave_out_added_spans(spark):
 def test_address_parts_of_many_zeros():
     zeros = "0" * 5000
     assert privacy.base_spans(f"{zeros}.2.3.{zeros}7") == [("ip", 0, 10006)]
+    many = "0" * 100_000
+    assert privacy.base_spans(f"a {many}.1.2.3") == [("ip", 2, 100_008)] and privacy.base_spans(f"a {many}256.1.2.3") == []
 
 
 def test_gradients_are_right():
@@ -282,6 +332,14 @@ def test_both_tokenizers_agree(text):
     assert list(packing.encoder(s.tokenizer, s.ranks)(text)) == packing.encoder(s.tokenizer, None)(text)
 
 
+@pytest.mark.parametrize("text", [" ", "\n", "\t", "\r", "\x0b", "\x1c", "\x85", "\xa0", "a", "1", "^", "é", "_"])
+def test_a_million_equal_characters_are_tokenised(text):
+    s = packing.PackSettings()
+    fast, exact = packing.encoder(s.tokenizer, s.ranks), packing.encoder(s.tokenizer, None)
+    assert list(fast(text * 1_000_000)) == exact(text * 1_000_000)
+    assert list(fast(f"x{text * 9000}y")) == exact(f"x{text * 9000}y")
+
+
 def test_packing_of_odd_rows(odd, odd_documents, no_documents):
     rows = packing.pack(odd, packing.PackSettings(salt_rows=2), with_ids=True).collect()
     check_packing(rows, 2048)

@@ -7,6 +7,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from riverlog.llm import neighbours, queries, warc
 from tests.compare import assert_same
@@ -42,6 +43,28 @@ def test_recall_against_brute_force(spark):
     assert hits / total >= 0.9
 
 
+def test_recall_with_a_window_below_a_tenth_of_the_index(spark):
+    at = "/root/testdata/sf0.1"
+    table = spark.read.parquet(f"{at}/embeddings.parquet").select("vec_id", F.col("embedding").alias("v"))
+    vectors = {r[0]: r[1] for r in table.collect() if r[1] and all(x is not None and math.isfinite(x) for x in r[1]) and any(r[1])}
+    settings = neighbours.CurveSettings(window=64)
+    assert max(settings.window, settings.share * len(vectors)) < len(vectors) / 10
+    want = brute_force(vectors, [i for i in vectors if i % 100 == 0])
+    got = {}
+    for r in neighbours.search(table, F.col("vec_id") % 100 == 0, settings).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert np.mean([len(got[q] & {i for _, i in best}) / len(best) for q, best in want.items()]) >= 0.9
+
+
+def test_double_vectors_stay_double(spark):
+    rows = [(100, [1.0, 0.0]), (1, [1 + 1e-9, 0.0]), (2, [1e200, 1.0]), (3, [0.0, 1e-200]), (4, [3e-200, 0.0])]
+    docs = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 AS query", "2 AS rep", "3 AS score")
+    got = {r["vec_id"]: r["score"] for r in neighbours.search(docs, "vec_id % 100 = 0").collect()}
+    assert got == {i: math.dist(v, rows[0][1]) for i, v in rows[1:]}
+    tiny = {r["vec_id"]: r["score"] for r in neighbours.search(docs, "vec_id = 3").collect()}
+    assert tiny[4] == pytest.approx(math.sqrt(10) * 1e-200)
+
+
 def test_small_and_odd_vectors_are_exact(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(100, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (4, [2.0, 0.0]), (5, [0.0, 0.0]), (6, None), (7, [nan, 1.0]), (8, [inf, 1.0]), (9, [None, 1.0]), (None, [1.0, 1.0]), (200, [3.0, 3.0, 3.0]), (300, [0.0, 0.0])]
@@ -139,6 +162,31 @@ def test_salvage_inside_a_member_of_many_records():
     assert [x[0] for x in found(data)].count("gap") == 1
 
 
+def test_damaged_and_cut_members_give_the_records_before_the_damage():
+    rng = np.random.default_rng(1)
+    records = [warc.record(i, f"http://p/{i}", rng.integers(32, 127, 3000, dtype=np.uint8).tobytes(), None, False) for i in range(20)]
+    names = [warc.record_id(i) for i in range(20)]
+    member = gzip.compress(b"".join(records), mtime=0)
+    cut = member[: len(member) * 3 // 4]
+    assert 14 <= len(ids(cut)) <= 15 and ids(cut) == names[: len(ids(cut))]
+    hurt = bytearray(member)
+    hurt[len(member) // 2 : len(member) // 2 + 40] = b"\xff" * 40
+    got = ids(bytes(hurt))
+    assert got[:9] == names[:9] and len(set(got)) == len(got)
+    after = ids(cut + gzip.compress(RECORDS[0], mtime=0))
+    assert after == [*ids(cut), names[0]]
+    gaps = [x for x in found(cut) if x[0] == "gap"]
+    assert len(gaps) == 1 and 0 < gaps[0][1] < gaps[0][2] == len(cut)
+
+
+def test_folded_headers_and_bombs(monkeypatch):
+    folded = RECORDS[0].replace(b"WARC-Date: ", b"WARC-Note: one\r\n  two\r\nWARC-Date: ")
+    assert [h["warc-note"] for *_, h, _ in warc.salvage(folded)] == ["one two"]
+    monkeypatch.setattr(warc, "MOST", 1 << 20)
+    bomb = gzip.compress(bytes(1 << 24), mtime=0)
+    assert ids(b"x" + bomb * 3 + gzip.compress(RECORDS[1], mtime=0)) == [warc.record_id(1)]
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_gives_the_rows_of_its_sql(spark, name):
     assert assert_same(queries.queries()[name](spark, AT), AT, queries.oracle_sql()[name])
