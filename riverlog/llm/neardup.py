@@ -3,12 +3,19 @@
 One hash function orders the shingles of all documents; a document's sketch is its ``sketch`` least ones. Documents
 of equal sets are one class from the start. The first ``indexed`` values of a sketch go to inverted lists, but only the
 rarest of them that two documents of the wanted similarity must share, so common shingles make no lists. In
-a list, members are compared with one member drawn at random, a different one in every list, never all with all: the
-union of both sketches estimates the similarity, full sets confirm it, and components absorb the links. Further rounds
-look only at lists that still hold several components; the last one compares what is left across components,
-so no link between components is lost beyond the odds of ``loss`` at the exact threshold. There a parity bitmap of each set
-decides first: two bitmaps never differ in more bits than the sets in elements, so a pair whose bitmaps differ in too
-many can't be similar, and near misses in dense groups are not handed on as candidates.
+a list, members are compared with one member, never all with all: the union of both sketches estimates the similarity,
+full sets confirm it, and components absorb the links. In the first round that member is the most central one, whose values
+are held most often, as copies gather around their model; in further rounds, which look only at lists that still
+hold several components and go on as long as they link enough, it is drawn at random. A member that all others of a list were compared with
+leaves that list, so lists of two are done after one round and lists of three after two.
+
+What is left then are members apart from the largest component of their list. Each is held against the list's
+members of other components by a parity bitmap: two bitmaps never differ in more bits than the sets in elements, so a
+pair whose bitmaps differ in too many can't be similar. A pair is handed on only from the first large list that both are in, so
+near misses of a dense group give no rows, and no link between components is lost beyond the odds of ``loss`` at the
+exact threshold. With ``loss`` 0, one shared value of the indexed ones is enough, which two sets at the threshold miss with
+odds of 0.2 to the power of ``indexed``; sets of up to ``sketch`` elements together are then judged exactly. The comparisons of this last step (not
+its rows) grow with the members that stay unlinked times their list.
 
 Defined results: a null text or one without words has an empty set and is linked with nothing; a text of fewer words
 than a shingle has its whole sequence as the one element; rows that share a doc_id are one node and have a
@@ -28,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, read_table
+from .common import Scratch, parts, read_table
 from .graph import components
 
 MULTIPLIERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -41,9 +48,10 @@ class NearSettings:
     sketch: int = 64
     indexed: int = 32
     loss: float = 1e-6
-    rounds: int = 2
+    worth: float = 0.01  # of a list's members, newly linked, for another round
+    small: int = 16  # members of a list, up to which it may hand on pairs that another list hands on, too
     parity_words: int = 16  # of 64 bits
-    chunk_bytes: int = 4_000_000
+    chunk_bytes: int = 1_000_000
 
 
 def floor_of(draws: int, percent: int, loss: float) -> int:
@@ -87,14 +95,8 @@ def shingle_sets(texts: list[str | None], k: int) -> tuple[np.ndarray, np.ndarra
 
 def _batches(batches: Iterator[pa.RecordBatch], s: NearSettings) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
     """(ids, offsets, hashes) of small parts of the batches."""
-    for batch in batches:
-        ids, texts = batch.column(0), batch.column(1).to_pylist()
-        first = size = 0
-        for i, text in enumerate(texts):
-            size += len(text or "")
-            if size > s.chunk_bytes or i == len(texts) - 1:
-                yield ids[first : i + 1], *shingle_sets(texts[first : i + 1], s.words)
-                first, size = i + 1, 0
+    for part in parts(batches, 1, s.chunk_bytes):
+        yield part.column(0), *shingle_sets(part.column(1).to_pylist(), s.words)
 
 
 def signatures(docs: DataFrame, s: NearSettings) -> DataFrame:
@@ -140,15 +142,16 @@ def full_sets(docs: DataFrame, s: NearSettings) -> DataFrame:
 
 
 def inverted_lists(reps: DataFrame, s: NearSettings, scratch: Scratch) -> DataFrame:
-    """(value, rep, n): of a sketch's first values, in order of how many documents hold them, those of which any
-    similar document must hold one; values that nobody else holds are left out."""
+    """(value, rep, n, central): of a sketch's first values, in order of how many documents hold them, those of which any
+    similar document must hold one; values that nobody else holds are left out. central: how often a member's values are held."""
     values = reps.select("rep", "n", F.explode(F.slice("sketch", 1, s.indexed)).alias("value"))
     shared = scratch.table(values.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1"), "shared")
     own = F.least(F.col("n"), F.lit(s.indexed))
     must = F.least(F.lit(floor_of(s.indexed, s.percent, s.loss)), F.ceil(F.col("n") * s.percent / 100))
     by_rep = values.join(shared, "value").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("held"))
     take = F.greatest(F.lit(0), own - must + 1 - (own - F.size("held"))).cast("int")
-    rows = by_rep.select("rep", "n", F.explode(F.slice("held", F.lit(1), take)).alias("v")).select("v.value", "rep", "n")
+    central = F.aggregate("held", F.lit(0).cast("long"), lambda a, v: a + v["df"])
+    rows = by_rep.select("rep", "n", central.alias("central"), F.explode(F.slice("held", F.lit(1), take)).alias("v")).select("v.value", "rep", "n", "central")
     lists = scratch.table(rows, "lists")
     scratch.drop(shared)
     return lists
@@ -206,37 +209,33 @@ def near_components(docs: DataFrame, settings: NearSettings = NearSettings()) ->
     lists = inverted_lists(reps.select("rep", "n", "sketch"), s, scratch)
     linker = _Linker(docs, reps.select("rep", "sketch"), s, scratch)
     links = labels = None
-    for turn in range(s.rounds):
-        members = lists if labels is None else _open_lists(lists, labels, scratch)
-        if members.isEmpty():
+    turn, members = 0, lists.withColumn("label", F.col("rep"))
+    while not members.isEmpty():
+        order = F.struct(-F.col("central"), "rep") if turn == 0 else F.struct(F.xxhash64(F.lit(turn), "value", "rep"), "rep")
+        pivots = scratch.table(members.groupBy("value").agg(F.min_by(F.struct("rep", "n", "label"), order).alias("x")).select("value", F.col("x.rep").alias("pivot"), F.col("x.n").alias("m"), F.col("x.label").alias("other")), "pivots")
+        held = members.join(pivots, "value").filter("rep <> pivot")
+        pairs = held.filter((F.col("label") != F.col("other")) & _near_size(F.col("n"), F.col("m"), s))
+        pairs = scratch.table(linker.sketched(pairs.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()), "pairs")
+        found = linker.confirm(pairs)
+        n_found = found.count()
+        if n_found:
+            links = found if links is None else links.union(found)
+            labels = components(links, scratch)
+        is_last = turn and n_found < s.worth * members.select("rep").distinct().count()
+        rest = scratch.table(held.select("value", "rep", "n", "central"), "lists")
+        scratch.drop(pivots, pairs, members, lists)
+        lists, turn = rest, turn + 1
+        members = _open_lists(lists, labels, scratch)
+        if is_last:
             break
-        label = F.col("rep") if labels is None else F.col("label")
-        members = members.withColumn("label", label)
-        drawn = F.min(F.struct(F.xxhash64(F.lit(turn), "value", "rep"), "rep", "n", "label")).alias("x")
-        pivots = scratch.table(members.groupBy("value").agg(drawn).select("value", F.col("x.rep").alias("pivot"), F.col("x.n").alias("m"), F.col("x.label").alias("other")), "pivots")
-        pairs = members.join(pivots, "value").filter((F.col("label") != F.col("other")) & _near_size(F.col("n"), F.col("m"), s))
-        pairs = pairs.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
-        found = linker.confirm(scratch.table(linker.sketched(pairs), "pairs"))
-        if labels is not None and found.isEmpty():
-            break
-        links = found if links is None else links.union(found)
-        labels = components(links, scratch)
-    if labels is not None:
-        bits = _parity_names(s)
-        members = _open_lists(lists, labels, scratch).join(reps.select("rep", *bits), "rep")
-        a, b = (members.select("value", *[F.col(c).alias(f"{c}_{x}") for c in ("rep", "n", "label", *bits)]) for x in "ab")
-        differ = sum((F.bit_count(F.col(f"{o}_a").bitwiseXOR(F.col(f"{o}_b"))) for o in bits), F.lit(0))
-        # similar sets differ in at most (100 - percent) / (100 + percent) of the sum of their sizes
-        allowed = (100 + s.percent) * differ <= (100 - s.percent) * (F.col("n_a") + F.col("n_b"))
-        across = (F.col("rep_a") < F.col("rep_b")) & (F.col("label_a") != F.col("label_b")) & _near_size(F.col("n_a"), F.col("n_b"), s)
-        pairs = a.join(b, "value").filter(across & allowed)
-        pairs = scratch.table(pairs.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct(), "apart")
-        pairs = scratch.table(linker.sketched(pairs), "pairs")
+    if not members.isEmpty():
+        pairs = scratch.table(linker.sketched(scratch.table(_apart(members, reps, s, scratch), "apart")), "pairs")
         if not pairs.isEmpty():
             found = linker.confirm(pairs)
             if not found.isEmpty():
-                labels = components(links.union(found), scratch)
-    else:
+                labels = components(found if links is None else links.union(found), scratch)
+    scratch.drop(members, lists)
+    if labels is None:
         labels = spark.createDataFrame([], "node long, label long")
     classes = reps.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("p", "q", "n", F.coalesce("label", "rep").alias("label"))
     classes = scratch.table(classes, "classes")
@@ -245,11 +244,37 @@ def near_components(docs: DataFrame, settings: NearSettings = NearSettings()) ->
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _open_lists(lists: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
-    """(value, rep, n, label): the lists whose members are in several components."""
-    labelled = scratch.table(lists.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep")), "labelled")
-    several = labelled.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("value")
-    return scratch.table(labelled.join(scratch.table(several, "several"), "value", "left_semi"), "open")
+def _open_lists(lists: DataFrame, labels: DataFrame | None, scratch: Scratch) -> DataFrame:
+    """(value, rep, n, central, label): the lists whose members are in several components."""
+    if labels is None:
+        labels = lists.sparkSession.createDataFrame([], "node long, label long")
+    labelled = lists.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    labelled = scratch.table(labelled.select("value", "rep", "n", "central", "label"), "labelled")
+    several = scratch.table(labelled.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("value"), "several")
+    return labelled.join(several, "value", "left_semi")
+
+
+def _apart(members: DataFrame, reps: DataFrame, s: NearSettings, scratch: Scratch) -> DataFrame:
+    """(a, b): pairs of different components that share a list and may be similar, each from the first large list that both are
+    in, or from each small one if they share no large one."""
+    bits, members = _parity_names(s), scratch.table(members, "open")
+    large = members.groupBy("value").agg(F.count("*").alias("size")).filter(F.col("size") > s.small).select("value")
+    own = members.join(large, "value", "left_semi").groupBy("rep").agg(F.collect_set("value").alias("own"))  # at most ``indexed`` values
+    ends = members.select("rep").distinct().join(reps.select("rep", *bits), "rep").join(own, "rep", "left")
+    full = scratch.table(members.drop("central").join(scratch.table(ends, "ends"), "rep"), "full")
+    # a pair across components has an end outside the list's largest one
+    main = members.groupBy("value", "label").agg(F.count("*").alias("size")).groupBy("value").agg(F.max_by("label", F.struct("size", "label")).alias("main"))
+    names = ("rep", "n", "label", "own", *bits)
+    a = full.join(scratch.table(main, "main"), "value").filter("label != main").select("value", "main", *[F.col(c).alias(f"{c}_a") for c in names])
+    b = full.select("value", *[F.col(c).alias(f"{c}_b") for c in names])
+    differ = sum((F.bit_count(F.col(f"{o}_a").bitwiseXOR(F.col(f"{o}_b"))) for o in bits), F.lit(0))
+    # similar sets differ in at most (100 - percent) / (100 + percent) of the sum of their sizes
+    allowed = (100 + s.percent) * differ <= (100 - s.percent) * (F.col("n_a") + F.col("n_b"))
+    once = (F.col("label_b") == F.col("main")) | (F.col("rep_a") < F.col("rep_b"))
+    across = (F.col("label_a") != F.col("label_b")) & once & _near_size(F.col("n_a"), F.col("n_b"), s)
+    first = F.coalesce(F.array_min(F.array_intersect("own_a", "own_b")), F.col("value")) == F.col("value")
+    pairs = a.join(b, "value").filter(across & allowed & first)
+    return pairs.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
