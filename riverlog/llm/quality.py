@@ -19,10 +19,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import parts, read_table, slices
 
 SYMBOLS = "#*$%&|<>"
 FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, score double"
@@ -34,18 +36,7 @@ class QualitySettings:
     smoothing: float = 1.0
     max_labelled: int = 20_000  # trusted documents, and labelled ones of either class for the threshold
     keep: float = 0.995  # of the trusted ones, at least
-    chunk_bytes: int = 4_000_000
-
-
-def _chunks(texts: list[bytes], limit: int) -> Iterator[slice]:
-    first = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > limit:
-            yield slice(first, i)
-            first, size = i, 0
-        size += len(t)
-    if first < len(texts):
-        yield slice(first, len(texts))
+    chunk_bytes: int = 1_000_000
 
 
 def _vocabulary(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -70,7 +61,7 @@ def gram_counts(texts: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Counts by bucket over all texts."""
     codes, _, distinct = _vocabulary(texts)
     word, bucket = _grams(distinct, bits)
-    return np.bincount(bucket, np.bincount(codes, minlength=len(distinct))[word], minlength=1 << bits)
+    return np.bincount(bucket, np.bincount(codes, minlength=len(distinct))[word], minlength=1 << bits).astype(np.int64)
 
 
 def features(texts: list[bytes], ratios: np.ndarray, bits: int) -> np.ndarray:
@@ -95,8 +86,8 @@ def features(texts: list[bytes], ratios: np.ndarray, bits: int) -> np.ndarray:
     return np.column_stack([n_words, np.bincount(owner, chars[codes], minlength=n), [sum(map(t.count, SYMBOLS.encode())) for t in texts], [len(x) - len(set(x)) for x in lines], np.bincount(owner[covered], minlength=n), total / np.maximum(grams, 1)])
 
 
-def _encoded(texts: pd.Series) -> list[bytes]:
-    return [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+def _encoded(texts: pa.Array) -> list[bytes]:
+    return [t or b"" for t in texts.cast(pa.binary()).to_pylist()]
 
 
 def _labelled(labels: DataFrame, quality: int, s: QualitySettings) -> list[int]:
@@ -121,18 +112,17 @@ def fit(docs: DataFrame, labels: DataFrame, settings: QualitySettings = QualityS
     known_good, rejected = _labelled(labels, 1, s), _labelled(labels, 0, s)
     trusted, held = (known_good[::2], known_good[1::2]) if len(known_good) > 1 else (known_good, known_good)
 
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, raw, good = set(trusted), np.zeros(1 << s.bits), np.zeros(1 << s.bits)
-        for batch in batches:
-            texts, is_good = _encoded(batch["text"]), batch["doc_id"].isin(known).to_numpy()
-            for part in _chunks(texts, s.chunk_bytes):
-                raw += gram_counts(texts[part], s.bits)
-                if chosen := [t for t, g in zip(texts[part], is_good[part], strict=True) if g]:
-                    good += gram_counts(chosen, s.bits)
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, raw, good = pa.array(trusted, pa.int64()), np.zeros(1 << s.bits, np.int64), np.zeros(1 << s.bits, np.int64)
+        for part in parts(batches, 1, s.chunk_bytes):
+            texts, is_good = _encoded(part.column(1)), pc.is_in(part.column(0), known).to_pylist()
+            raw += gram_counts(texts, s.bits)
+            if any(is_good):
+                good += gram_counts([t for t, g in zip(texts, is_good, strict=True) if g], s.bits)
         at = np.flatnonzero(raw)
-        yield pd.DataFrame({"bucket": at, "raw": raw[at].astype(np.int64), "good": good[at].astype(np.int64)})
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(raw[at]), pa.array(good[at])], ["bucket", "raw", "good"])
 
-    rows = docs.select("doc_id", "text").mapInPandas(counted, "bucket int, raw long, good long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).collect()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(counted, "bucket int, raw long, good long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).collect()
     raw, good = np.full(1 << s.bits, s.smoothing), np.full(1 << s.bits, s.smoothing)
     for r in rows:  # at most 2 ** bits
         raw[r["bucket"]] += r["raw"]
@@ -163,13 +153,12 @@ def scored(text, model: QualityModel):
     """A column of struct FEATURES."""
     s, ratios = model.settings, model.ratios
 
-    @F.pandas_udf(FEATURES)
-    def of(texts: pd.Series) -> pd.DataFrame:
-        data = _encoded(texts)
-        rows = [features(data[part], ratios, s.bits) for part in _chunks(data, s.chunk_bytes)]
+    @F.arrow_udf(FEATURES)
+    def of(texts: pa.Array) -> pa.Array:
+        rows = [features(_encoded(texts[a:b]), ratios, s.bits) for a, b in slices(texts, s.chunk_bytes)]
+        columns = np.concatenate(rows).T if rows else np.empty((6, 0))
         names = [x.split()[0] for x in FEATURES.split(", ")]
-        out = pd.DataFrame(np.concatenate(rows) if rows else np.empty((0, 6)), columns=names)
-        return out.astype({n: "int64" for n in names[:-1]})
+        return pa.StructArray.from_arrays([*(pa.array(c.astype(np.int64)) for c in columns[:-1]), pa.array(columns[-1])], names)
 
     return of(text)
 
