@@ -13,11 +13,11 @@ SIZE_UNITS = ("B", "KB", "MB", "GB", "TB", "PB")
 
 
 def _one_decimal(x: Column) -> Column:
-    """A double of 1 to 8192 with one decimal, ties to even by its exact binary value as C has it (format_string rounds half up)."""
+    """A double of 0 to 8192 with one decimal, ties to even by its exact binary value as C has it (format_string rounds half up)."""
     whole = F.floor(x)
-    part = ((x - whole) * float(1 << 52)).cast("long") * 10  # exact: such a double has at most 52 binary places
-    tenths, rest = F.shiftright(part, 52), part.bitwiseAND(F.lit((1 << 52) - 1))
-    up = (rest > 1 << 51) | ((rest == 1 << 51) & (tenths % 2 == 1))
+    part = ((x - whole) * float(1 << 59)).cast("long") * 10  # exact from 2 ** -7 on, and less than that is 0.0
+    tenths, rest = F.shiftright(part, 59), part.bitwiseAND(F.lit((1 << 59) - 1))
+    up = (rest > 1 << 58) | ((rest == 1 << 58) & (tenths % 2 == 1))
     total = whole * 10 + tenths + up.cast("long")
     return F.concat(F.floor(total / 10).cast("string"), F.lit("."), (total % 10).cast("string"))
 
@@ -39,7 +39,7 @@ def human_num(n: Column) -> Column:
 
 def pct(part: Column, total: Column, digits: int = 1) -> Column:
     value = F.when(F.coalesce(total, F.lit(0)) == 0, F.lit(0.0)).otherwise(F.coalesce(part, F.lit(0)) * 100.0 / F.nullif(total, F.lit(0)))
-    return F.format_string(f"%.{digits}f", value)
+    return _one_decimal(value) if digits == 1 else F.format_string(f"%.{digits}f", value)
 
 
 def truncated(text: Column, width: int) -> Column:
