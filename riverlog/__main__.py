@@ -6,8 +6,10 @@ import argparse
 import json
 import sys
 import tempfile
-from collections.abc import Sequence
+import threading
+from collections.abc import Iterable, Iterator, Sequence
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ from .operators import anomaly, parse, series, stats
 from .operators.filters import NAMES, RecordFilter
 from .session import get_session
 from .sources import export, report
-from .sources.lines import from_lines, read_lines
+from .sources.lines import read_lines, spool
 from .streaming import follow
 
 COMMANDS = {
@@ -79,7 +81,7 @@ def _parser() -> argparse.ArgumentParser:
 
 
 def _lines(spark: SparkSession, files: Sequence[str]) -> DataFrame:
-    return from_lines(spark, sys.stdin) if list(files) == ["-"] else read_lines(spark, files)
+    return spool(spark, sys.stdin) if list(files) == ["-"] else read_lines(spark, files)
 
 
 def _filter(a: argparse.Namespace) -> RecordFilter:
@@ -90,15 +92,17 @@ def _detector(a: argparse.Namespace) -> anomaly.Detector:
     return anomaly.Detector(window=a.window, threshold=a.threshold, sensitivity=a.sensitivity, mode=a.mode, method=a.baseline, alpha=a.alpha)
 
 
-def _shown(records: DataFrame, a: argparse.Namespace) -> str:
-    """Records as the output options want them; without a limit they are streamed, a partition at a time."""
+def _shown(records: DataFrame, a: argparse.Namespace) -> Iterator[str]:
+    """Records as the output options want them, a partition at a time."""
     if a.count:
-        return f"{records.count()}\n"
+        yield f"{records.count()}\n"
+        return
     records = records.orderBy("line_no")
     records = records.limit(a.limit) if a.limit is not None else records
     if a.raw:
-        return "".join(f"{r[0]}\n" for r in records.select("raw").toLocalIterator())
-    return export.records_to_csv(records) if a.csv else export.records_to_json(records) if a.json else export.records_to_ndjson(records)
+        yield from (f"{r[0]}\n" for r in records.select("raw").toLocalIterator())
+    else:
+        yield from (export.csv_lines(records) if a.csv else export.json_lines(records) if a.json else export.ndjson_lines(records))
 
 
 def _diagnostics(spark: SparkSession, a: argparse.Namespace) -> str:
@@ -108,6 +112,20 @@ def _diagnostics(spark: SparkSession, a: argparse.Namespace) -> str:
     return export.parse_stats_to_json(counters)
 
 
+def _spooled_stdin(folder: str) -> str:
+    """Copies standard input to a file as it comes, so that it can be followed like any growing file; its end ends nothing."""
+    path = f"{folder}/stdin"
+    open(path, "wb").close()
+
+    def copy() -> None:
+        with open(path, "ab", buffering=0) as out:
+            for line in getattr(sys.stdin, "buffer", sys.stdin):
+                out.write(line if isinstance(line, bytes) else line.encode())
+
+    threading.Thread(target=copy, daemon=True).start()
+    return path
+
+
 def _tailf(spark: SparkSession, a: argparse.Namespace) -> int:
     left = a.max_lines
 
@@ -120,26 +138,30 @@ def _tailf(spark: SparkSession, a: argparse.Namespace) -> int:
             if not a.quiet:
                 print(row[0], flush=True)
 
-    def alert(point: dict) -> None:
-        if not a.no_alert:
-            print(f"ALERT {anomaly.describe_point(point)}", file=sys.stderr, flush=True)
+    def say(text: str) -> None:
+        print(text, file=sys.stderr, flush=True)
 
-    records = follow.record_stream(follow.line_stream(spark, a.files[0], a.from_start), default_year=a.default_year)
+    follower = follow.Follower(options={"default_year": a.default_year}, on_record=show, on_rotate=lambda n: say(f"ROTATED {n}"), on_truncate=lambda n: say(f"TRUNCATED {n}"))
+    alert = None if a.no_alert else lambda point: say(f"ALERT {anomaly.describe_point(point)}")
     with tempfile.TemporaryDirectory() as folder:  # following one local file is the driver's own work
-        queries = follow.follow(records, alert, f"file://{folder}", show, _detector(a), f"{int(a.interval * 1000)} milliseconds")
+        is_input = a.files[0] == "-"
+        lines = follow.line_stream(spark, _spooled_stdin(folder) if is_input else a.files[0], a.from_start or is_input)
+        queries = follow.follow(lines, alert, f"file://{folder}", follower, _detector(a), f"{int(a.interval * 1000)} milliseconds")
         waited = 0.0
         while (a.max_runtime is None or waited < a.max_runtime) and left != 0 and all(q.isActive for q in queries):
             queries[0].awaitTermination(min(1, a.max_runtime or 1))
             waited += min(1, a.max_runtime or 1)
+            follower.progress(queries[0])
         for q in queries:
             q.stop()
+    say(" ".join(f"{k}={v:.0f}" for k, v in follower.stats.items()))
     return 0
 
 
-def run(a: argparse.Namespace, spark: SparkSession) -> str:
-    """The output of a command other than tailf."""
+def run(a: argparse.Namespace, spark: SparkSession) -> Iterable[str]:
+    """The output of a command other than tailf, in parts."""
     if getattr(a, "diag", False):
-        return _diagnostics(spark, a)
+        return [_diagnostics(spark, a)]
     keep_raw = not getattr(a, "no_raw", False)
     records = parse.parse(_lines(spark, a.files), a.default_year, keep_raw=keep_raw)
     if a.command in ("parse", "filter"):
@@ -148,33 +170,36 @@ def run(a: argparse.Namespace, spark: SparkSession) -> str:
     records = chosen.apply(records)
     if a.command == "stats":
         found = stats.summary(records, a.top)
-        return export.summary_to_json(found) if a.json else report.render_text({"title": "Summary", "source": ", ".join(a.files), "summary": found})
+        return [export.summary_to_json(found) if a.json else report.render_text({"title": "Summary", "source": ", ".join(a.files), "summary": found})]
     if a.command == "report":
         unit = None if a.no_series else a.unit
         text = report.render(a.format, report.report_context(records, a.title, ", ".join(a.files), str(chosen), a.top, unit, a.value, None if a.no_spikes else _detector(a)))
-        return export.write_file(a.output, text) or ""
+        return [export.write_file(a.output, text) or ""]
     if a.command == "export":
-        fields = a.fields.split(",") if a.fields else None
-        writers = {"json": lambda: export.records_to_json(records, not a.compact), "ndjson": lambda: export.records_to_ndjson(records), "csv": lambda: export.records_to_csv(records, *([fields] if fields else []))}
-        if a.format not in writers:
-            raise ValueError(f"unknown export format '{a.format}'; known are {', '.join(writers)}")
-        if a.output != "-" and a.format == "ndjson":  # a folder that Spark writes; csv and json are still made on the driver
-            export.write_ndjson(records, a.output)
-            return ""
-        return export.write_file(a.output, writers[a.format]()) or ""
+        fields = [a.fields.split(",")] if a.fields else []
+        makers = {"json": lambda: export.json_lines(records, not a.compact), "ndjson": lambda: export.ndjson_lines(records), "csv": lambda: export.csv_lines(records, *fields)}
+        if a.format not in makers:
+            raise ValueError(f"unknown export format '{a.format}'; known are {', '.join(makers)}")
+        if a.output == "-":
+            return makers[a.format]()
+        if "://" in a.output and a.format != "json":  # a folder that Spark writes, each task its part
+            (export.write_ndjson(records, a.output) if a.format == "ndjson" else export.write_csv(records, a.output, *fields))
+            return []
+        export.write_parts(a.output, makers[a.format]())
+        return []
     buckets = series.bucketize(records, a.unit, a.value, fill=not getattr(a, "no_fill", False))
     if a.command == "series":
         rows = [r.asDict() for r in buckets.orderBy("epoch").collect()]
         totals = series.series_stats(buckets).first().asDict()
         if a.json:
-            return json.dumps({"series": rows, "stats": totals}, sort_keys=True, default=str) + "\n"
+            return [json.dumps({"series": rows, "stats": totals}, sort_keys=True, default=str) + "\n"]
         if a.chart:
-            return series.ascii_chart(rows, value=a.value) + "\n" + series.sparkline([r["value"] for r in rows], 60) + "\n"
-        return export.series_to_csv(buckets, a.value)
+            return [series.ascii_chart(rows, value=a.value) + "\n" + series.sparkline([r["value"] for r in rows], 60) + "\n"]
+        return [export.series_to_csv(buckets, a.value)]
     found = anomaly.detect(buckets, _detector(a))
     if a.json:
-        return json.dumps(found, sort_keys=True, default=str) + "\n"
-    return "\n".join([*map(anomaly.describe_event, found["events"]), f"{len(found['points'])} point(s), risk {found['risk']:.2f}"]) + "\n"
+        return [json.dumps(found, sort_keys=True, default=str) + "\n"]
+    return ["\n".join([*map(anomaly.describe_event, found["events"]), f"{len(found['points'])} point(s), risk {found['risk']:.2f}"]) + "\n"]
 
 
 def main(argv: Sequence[str] | None = None) -> int:
@@ -186,10 +211,14 @@ def main(argv: Sequence[str] | None = None) -> int:
     try:
         if a.command == "tailf":
             return _tailf(spark, a)
-        sys.stdout.write(run(a, spark))
+        for part in run(a, spark):
+            sys.stdout.write(part)
     except (ValueError, OSError) as problem:
         print(f"riverlog: {problem}", file=sys.stderr)
         return 2
+    except PySparkException as problem:  # a missing path, a grid of too many buckets
+        print(f"riverlog: {str(problem).splitlines()[0]}", file=sys.stderr)
+        return 2
     return 0
 
 

@@ -29,7 +29,7 @@ def unit_seconds(unit: str | int) -> int:
 def bucketize(records: DataFrame, unit: str | int = "minute", value: str = "count", fill: bool = True, since: int | None = None, until: int | None = None) -> DataFrame:
     """epoch, label, value, count, bytes, errors by bucket. ``since`` and ``until`` widen a filled grid and filter nothing.
 
-    Only the least and greatest bucket reach the driver, to check the size of the grid before it is made.
+    The grid runs between the least and greatest aggregated bucket, so records are read once; one of over MAX_BUCKETS buckets fails.
     """
     width = unit_seconds(unit)
     if value not in VALUES:
@@ -38,17 +38,11 @@ def bucketize(records: DataFrame, unit: str | int = "minute", value: str = "coun
     error = F.count_if(is_error(F.col("status"), F.col("level"))).alias("errors")
     rows = records.filter("ts is not null").groupBy((F.call_function("div", at, F.lit(width)) * width).alias("epoch")).agg(F.count("*").alias("count"), F.sum("bytes").alias("bytes"), error)
     if fill:
-        ends = records.filter("ts is not null").agg(F.min(at).alias("lo"), F.max(at).alias("hi")).first()
-        spark = records.sparkSession
-        if ends["lo"] is None:
-            grid = spark.createDataFrame([], "epoch long")
-        else:
-            cut = lambda x: int(x / width) * width
-            lo = cut(min(x for x in (ends["lo"], since) if x is not None))
-            hi = cut(max(x for x in (ends["hi"], until) if x is not None))
-            if (hi - lo) // width + 1 > MAX_BUCKETS:
-                raise ValueError(f"over {MAX_BUCKETS} buckets; take a wider unit")
-            grid = spark.range(lo, hi + 1, width).withColumnRenamed("id", "epoch")
+        whole = lambda x: F.lit(None if x is None else int(x / width) * width).cast("long")
+        ends = rows.agg(F.min("epoch").alias("lo"), F.max("epoch").alias("hi")).filter("lo is not null")
+        ends = ends.select(F.least("lo", whole(since)).alias("lo"), F.greatest("hi", whole(until)).alias("hi"))
+        too_many = F.raise_error(F.lit(f"over {MAX_BUCKETS} buckets; take a wider unit")).cast("array<bigint>")
+        grid = ends.select(F.explode(F.when((F.col("hi") - F.col("lo")) / width < MAX_BUCKETS, F.sequence("lo", "hi", F.lit(width).cast("long"))).otherwise(too_many)).alias("epoch"))
         zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
         rows = grid.join(rows, "epoch", "left").select("epoch", zero("count"), zero("bytes"), zero("errors"))
     return rows.select("epoch", bucket_label(F.col("epoch"), str(unit)).alias("label"), F.col(value).alias("value"), "count", "bytes", "errors")

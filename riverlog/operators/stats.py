@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +26,19 @@ def epoch_of(ts: Column) -> Column:
     return F.call_function("div", F.unix_micros(ts), F.lit(1_000_000))
 
 
+def percentile(c: Column, p: float) -> Column:
+    """The p-th percentile of a group, interpolated between the two nearest values; the least up to 0, the greatest from 100 on."""
+    return F.min(c).cast("double") if p <= 0 else F.max(c).cast("double") if p >= 100 else F.percentile(c, p / 100)
+
+
+def median(c: Column) -> Column:
+    return percentile(c, 50)
+
+
+def clamp(c: Column, least: float, most: float) -> Column:
+    return F.least(F.greatest(c, F.lit(least)), F.lit(most))
+
+
 def peak(records: DataFrame, seconds: int) -> DataFrame:
     """epoch, n of the busiest minute (60) or hour (3600); of equal ones the first by its number as text."""
     at = epoch_of(F.col("ts"))
@@ -123,7 +137,17 @@ def slowest(records: DataFrame, n: int = 10) -> DataFrame:
 
 
 def summary(records: DataFrame, n: int = 10) -> dict:
-    """All of the above as plain values for reports: each part is bounded by its top-n or by the number of types, codes and days."""
+    """All of the above as plain values for reports: each part is bounded by its top-n or by the number of types, codes and days.
+    The columns that they need are kept after one pass over the records."""
+    needed = sorted({"type", "ts", "line_no", "ip", "path", "status", "level", "bytes", "ua", "duration_ms", *DIMENSIONS.values()})
+    records = records.select(*needed).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _summary(records, n)
+    finally:
+        records.unpersist()
+
+
+def _summary(records: DataFrame, n: int) -> dict:
     rows = lambda df: [r.asDict() for r in df.collect()]
     total = overview(records).withColumns({"first_iso": iso_text(F.timestamp_seconds("first_ts")), "last_iso": iso_text(F.timestamp_seconds("last_ts"))}).first().asDict()
     total |= {"types": {r["type"]: r["n"] for r in type_counts(records).collect()}, "bytes_human": size_text(total["bytes_total"]), "error_rate": f"{total['error_rate']:.1f}", "rps_avg": f"{total['rps_avg']:.3f}", "total_human": num_text(total["total"])}

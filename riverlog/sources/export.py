@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+import textwrap
+from collections.abc import Iterable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,18 +41,44 @@ def write_parquet(rows: DataFrame, path: str, by: Sequence[str] = ("type",)) ->
     rows.write.partitionBy(*by).parquet(path)
 
 
+def csv_lines(rows: DataFrame, fields: Sequence[str] = EXPORT_FIELDS) -> Iterator[str]:
+    """Header and rows, a partition at a time."""
+    yield ",".join(fields) + "\n"
+    yield from (f"{r[0]}\n" for r in rows.select(csv_row(rows, fields)).toLocalIterator())
+
+
+def ndjson_lines(rows: DataFrame) -> Iterator[str]:
+    yield from (f"{r[0]}\n" for r in rows.select(json_row(rows)).toLocalIterator())
+
+
+def json_lines(rows: DataFrame, pretty: bool = True) -> Iterator[str]:
+    """One JSON document, in the form that ``records_to_json`` has, a record at a time; records are counted first."""
+    head, tail = _dump({"meta": {"count": rows.count(), "format": "records"}, "records": []}, pretty).rsplit("[]", 1)
+    first = True
+    for r in rows.select(json_row(rows)).toLocalIterator():
+        one = _dump(json.loads(r[0]), pretty).rstrip("\n")
+        yield (head + "[" if first else ",") + ("\n" + textwrap.indent(one, " " * 6) if pretty else one)
+        first = False
+    yield head + "[]" + tail if first else ("\n   ]" if pretty else "]") + tail
+
+
 def records_to_csv(rows: DataFrame, fields: Sequence[str] = EXPORT_FIELDS) -> str:
-    """Header and rows as one text, for results that a terminal shows."""
-    return "\n".join([",".join(fields), *(r[0] for r in rows.select(csv_row(rows, fields)).toLocalIterator())]) + "\n"
+    """The lines as one text, for results that a terminal shows."""
+    return "".join(csv_lines(rows, fields))
 
 
 def records_to_ndjson(rows: DataFrame) -> str:
-    return "".join(f"{r[0]}\n" for r in rows.select(json_row(rows)).toLocalIterator())
+    return "".join(ndjson_lines(rows))
 
 
 def records_to_json(rows: DataFrame, pretty: bool = True) -> str:
-    found = [json.loads(r[0]) for r in rows.select(json_row(rows)).toLocalIterator()]
-    return _dump({"meta": {"count": len(found), "format": "records"}, "records": found}, pretty)
+    return "".join(json_lines(rows, pretty))
+
+
+def write_parts(path: str, parts: Iterable[str]) -> None:
+    """Replaces a local file by the parts, one after another."""
+    with open(path, "w", encoding="utf-8", newline="") as out:
+        out.writelines(parts)
 
 
 def series_to_csv(buckets: DataFrame, value: str = "value") -> str:

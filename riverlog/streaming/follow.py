@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import uuid
+import ast
+import time
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -13,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.anomaly import Detector, points, scores
 from ..operators.parse import parse
+from ..sources.lines import shared_path
 from .tail import TailSource
 
 HISTORY = 240  # minutes that alerts look back on
@@ -33,29 +35,29 @@ def line_stream(spark: SparkSession, path: str, from_start: bool = False) -> Dat
 
 
 def record_stream(lines: DataFrame, **options) -> DataFrame:
-    """Records of a stream of lines; a record without a time gets the time of its arrival."""
-    rows = parse(lines.withColumn("line_no", F.lit(None).cast("long")), **options)
-    return rows.withColumn("ts", F.coalesce("ts", F.current_timestamp()))
+    """Records of a stream of lines. A record without a time keeps none: the time of its arrival would move the watermark of an older log to now."""
+    return parse(lines.withColumn("line_no", F.lit(None).cast("long")), **options)
 
 
-def minute_counts(records: DataFrame, delay: str = "0 seconds") -> DataFrame:
-    """epoch, n of minutes that the watermark has closed; the open one waits."""
-    rows = records.withWatermark("ts", delay).groupBy(F.window("ts", "1 minute")).agg(F.count("*").alias("n"))
+def minute_counts(records: DataFrame, delay: str = "2 minutes") -> DataFrame:
+    """epoch, n of minutes that the watermark has closed; the open one waits. Rows that come later than ``delay`` aren't counted any
+    more, and neither are records without a time; ``Follower`` hands both on."""
+    rows = records.filter("ts is not null").withWatermark("ts", delay).groupBy(F.window("ts", "1 minute")).agg(F.count("*").alias("n"))
     return rows.select(F.unix_timestamp("window.start").alias("epoch"), "n")
 
 
-def run_minute_counts(spark: SparkSession, records: DataFrame) -> DataFrame:
-    """Counts of what the stream holds now, as files under spark.checkpoint.dir."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder shared by driver and executors")
-        root = "file:///tmp/checkpoints"
-    path = f"{root.rstrip('/')}/riverlog/minutes-{uuid.uuid4().hex}"
-    counts = minute_counts(records)
-    query = counts.writeStream.outputMode("append").format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+def run_minute_counts(spark: SparkSession, records: DataFrame, flush: bool = False) -> DataFrame:
+    """Counts of what the stream holds now, as files under spark.checkpoint.dir. With ``flush`` the minutes that are still open come, too."""
+    path = shared_path(spark, "minutes")
+    counts = minute_counts(records, "0 seconds")
+    mode = counts.writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
+    if flush:  # every batch brings the minutes that it changed; the newest count of each is the greatest
+        query = mode.outputMode("update").foreachBatch(lambda batch, _: batch.write.mode("append").parquet(f"{path}/rows")).start()
+    else:
+        query = mode.outputMode("append").format("parquet").option("path", f"{path}/rows").start()
     query.awaitTermination()
-    return spark.read.schema(counts.schema).parquet(f"{path}/rows")
+    found = spark.read.schema(counts.schema).parquet(f"{path}/rows")
+    return found.groupBy("epoch").agg(F.max("n").alias("n")) if flush else found
 
 
 class Alerts:
@@ -92,10 +94,54 @@ class Alerts:
                 self.on_spike(point.asDict())
 
 
-def follow(records: DataFrame, on_spike: Callable[[dict], None], checkpoint: str, on_record: Callable[[DataFrame], None] | None = None, detector: Detector = Detector(), interval: str = "1 second", available_now: bool = False) -> list[StreamingQuery]:
-    """Starts the alert query, and one that hands every batch of records to ``on_record``."""
+class Follower:
+    """Counts what a stream of lines brings, batch by batch, and hands it on: ``on_record`` and ``on_error`` get DataFrames of records and of
+    unparsed lines (blank ones, too), ``on_late`` the records older than the newest time seen before by more than ``delay_seconds``, ``on_rotate`` and
+    ``on_truncate`` the source's counts of these. Times are compared in epoch seconds."""
+
+    def __init__(self, delay_seconds: int = 120, options: dict | None = None, **hooks: Callable):
+        unknown = set(hooks) - {"on_record", "on_error", "on_late", "on_rotate", "on_truncate"}
+        if unknown:
+            raise ValueError(f"unknown hooks: {', '.join(sorted(unknown))}")
+        self.delay, self.options, self.hooks, self.newest = delay_seconds, options or {}, hooks, None
+        self.started = time.monotonic()
+        self.counts = {"lines": 0, "records": 0, "skipped": 0, "late": 0, "rotations": 0, "truncates": 0}
+
+    @property
+    def stats(self) -> dict:
+        return {**self.counts, "runtime": time.monotonic() - self.started}
+
+    def __call__(self, batch: DataFrame, _: int) -> None:
+        parsed = parse(batch.withColumn("line_no", F.lit(None).cast("long")), keep_unparsed=True, **self.options).persist()
+        good, epoch = F.col("parse_status") == "parsed", F.unix_timestamp("ts")
+        is_late = good & (epoch < (self.newest or 0) - self.delay)
+        found = parsed.agg(F.count("*").alias("lines"), F.count_if(good).alias("records"), F.count_if(is_late).alias("late"), F.max(F.when(good, epoch)).alias("newest")).first()
+        for name in ("lines", "records", "late"):
+            self.counts[name] += found[name]
+        self.counts["skipped"] += found["lines"] - found["records"]
+        for hook, rows, n in (("on_record", good, found["records"]), ("on_error", ~good, found["lines"] - found["records"]), ("on_late", is_late, found["late"])):
+            if hook in self.hooks and n:
+                self.hooks[hook](parsed.filter(rows))
+        self.newest = max(x for x in (self.newest, found["newest"], 0) if x is not None)
+        parsed.unpersist()
+
+    def progress(self, query: StreamingQuery) -> None:
+        """Takes over what the tail source has counted by now."""
+        for source in (query.lastProgress or {}).get("sources", []):
+            end = source["endOffset"]
+            end = ast.literal_eval(end) if isinstance(end, str) else end or {}  # Spark shows the source's offset as Python does
+            for name, hook in (("rotations", "on_rotate"), ("truncates", "on_truncate")):
+                if end.get(name, 0) > self.counts[name]:
+                    self.counts[name] = end[name]
+                    if hook in self.hooks:
+                        self.hooks[hook](end[name])
+
+
+def follow(lines: DataFrame, on_spike: Callable[[dict], None] | None, checkpoint: str, follower: Follower, detector: Detector = Detector(), interval: str = "1 second", available_now: bool = False) -> list[StreamingQuery]:
+    """Starts the query that hands batches of lines to ``follower``, and the alert query if there is a callback for spikes."""
     trigger = {"availableNow": True} if available_now else {"processingTime": interval}
-    out = [minute_counts(records).writeStream.outputMode("append").foreachBatch(Alerts(on_spike, detector)).option("checkpointLocation", f"{checkpoint}/alerts").trigger(**trigger).start()]
-    if on_record:
-        out.append(records.writeStream.foreachBatch(lambda batch, _: on_record(batch)).option("checkpointLocation", f"{checkpoint}/records").trigger(**trigger).start())
+    out = [lines.writeStream.foreachBatch(follower).option("checkpointLocation", f"{checkpoint}/records").trigger(**trigger).start()]
+    if on_spike:
+        counts = minute_counts(record_stream(lines, **follower.options), f"{follower.delay} seconds")
+        out.append(counts.writeStream.outputMode("append").foreachBatch(Alerts(on_spike, detector)).option("checkpointLocation", f"{checkpoint}/alerts").trigger(**trigger).start())
     return out

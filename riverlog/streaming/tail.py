@@ -11,8 +11,9 @@ from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 class TailSource(DataSource):
     """``spark.readStream.format("tail").option("path", p).load()`` gives (value); option from_start=true reads what is there already.
 
-    An offset is the file's identity and a position after a line end. A new file under the name, or one that has become
-    shorter, is read from its beginning; half a line waits for its end. The reader runs on the driver, as following one local file is
+    An offset is the file's identity and a position after a line end. When a new file stands under the name, the old one is looked
+    for beside it and read to its end first, then the new one from its beginning; so is one that has become
+    shorter. Half a line waits for its end, but for the last of an old file. An old file that has left its folder can't be read any more. The reader runs on the driver, as following one local file is
     one task's work; the lines then spread over the executors.
     """
 
@@ -44,18 +45,33 @@ class TailReader(SimpleDataSourceStreamReader):
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
         dev, ino, size = self._identity()
-        at = dict(start)
+        at, lines = dict(start), []
         if (dev, ino) != (at["dev"], at["ino"]):
             if not ino:
                 return iter(()), at
+            lines = self._rest(at)
             at |= {"dev": dev, "ino": ino, "pos": 0, "rotations": at["rotations"] + bool(at["ino"])}
         elif size < at["pos"]:
             at |= {"pos": 0, "truncates": at["truncates"] + 1}
-        lines, at["pos"] = self._lines(at["pos"])
-        return iter([(x,) for x in lines]), at
+        more, at["pos"] = self._lines(self.path, at["pos"])
+        return iter([(x,) for x in [*lines, *more]]), at
+
+    def _rest(self, at: dict) -> list[str]:
+        """What an old file, now under another name in the same folder, holds after a position."""
+        with os.scandir(os.path.dirname(os.path.abspath(self.path))) as entries:
+            old = next((e.path for e in entries if e.inode() == at["ino"] and e.is_file() and e.stat().st_dev == at["dev"]), None)
+        if old is None:
+            return []
+        lines, pos = self._lines(old, at["pos"])
+        while (more := self._lines(old, pos))[0]:
+            lines, pos = [*lines, *more[0]], more[1]
+        with open(old, "rb") as file:
+            file.seek(pos)
+            last = file.read()
+        return [*lines, last.removesuffix(b"\r").decode("utf-8", "replace")] if last else lines
 
-    def _lines(self, pos: int, end: int | None = None) -> tuple[list[str], int]:
-        with open(self.path, "rb") as file:
+    def _lines(self, path: str, pos: int, end: int | None = None) -> tuple[list[str], int]:
+        with open(path, "rb") as file:
             file.seek(pos)
             parts = [file.read(self.most if end is None else end - pos)]
             while end is None and b"\n" not in parts[-1] and (more := file.read(self.most)):  # a line longer than that
@@ -65,5 +81,7 @@ class TailReader(SimpleDataSourceStreamReader):
         return [x.removesuffix(b"\r").decode("utf-8", "replace") for x in data[:done].split(b"\n")[:-1]], pos + done
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        same = (start["dev"], start["ino"], start["truncates"]) == (end["dev"], end["ino"], end["truncates"])
-        return iter([(x,) for x in self._lines(start["pos"] if same else 0, end["pos"])[0]])
+        rotated = (start["dev"], start["ino"]) != (end["dev"], end["ino"])
+        lines = self._rest(start) if rotated and start["ino"] else []
+        pos = 0 if rotated or start["truncates"] != end["truncates"] else start["pos"]
+        return iter([(x,) for x in [*lines, *self._lines(self.path, pos, end["pos"])[0]]])

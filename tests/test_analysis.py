@@ -7,6 +7,7 @@ import os
 import time
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,6 +16,7 @@ from riverlog.operators import anomaly, series, stats
 from riverlog.operators.filters import RecordFilter, any_of
 from riverlog.schema import RECORD
 from riverlog.sources import export, report
+from riverlog.sources.lines import spool
 from riverlog.streaming import follow
 from riverlog.streaming.tail import TailReader
 
@@ -100,8 +102,8 @@ def test_series(spark):
     assert series.bucketize(gap, "minute", fill=False).count() == 2
     assert series.bucketize(gap, "minute", since=B - 600, until=B + 60).count() == 16
     assert series.bucketize(records(spark, [{"type": "json"}]), "minute").collect() == []
-    with pytest.raises(ValueError, match="200000"):
-        series.bucketize(records(spark, [{"ts": 0}, {"ts": B}]), "second")
+    with pytest.raises(PySparkException, match="200000"):
+        series.bucketize(records(spark, [{"ts": 0}, {"ts": B}]), "second").collect()
 
 
 @pytest.mark.parametrize("unit, seconds", [("minute", 60), ("hour", 3600), ("day", 86400), ("second", 1), ("900", 900)])
@@ -245,8 +247,10 @@ def test_reader_follows_rotation_and_truncation(tmp_path):
 
     assert more("one\nha") == ["one"] and more("lf\r\n") == ["half"]
     assert more("t\n", "w") == ["t"] and at["truncates"] == 1
+    with open(path, "a") as f:
+        f.write("two\nlast without end")
     os.rename(path, path + ".1")
-    assert more("new file\n", "w") == ["new file"] and at["rotations"] == 1
+    assert more("new file\n", "w") == ["two", "last without end", "new file"] and at["rotations"] == 1
     os.unlink(path)
     assert list(reader.read(at)[0]) == []
     assert TailReader(str(tmp_path / "none")).initialOffset()["pos"] == 0
@@ -280,8 +284,8 @@ def test_alerts_score_every_minute_of_a_large_batch(spark, fill_gaps):
 
 def test_alerts_on_a_growing_file(spark, log_file, tmp_path):
     spikes, seen = [], []
-    records = follow.record_stream(follow.line_stream(spark, log_file, from_start=True))
-    queries = follow.follow(records, spikes.append, f"file://{tmp_path}", lambda batch: seen.append(batch.count()), interval="200 milliseconds")
+    follower = follow.Follower(delay_seconds=0, on_record=lambda batch: seen.append(batch.count()))
+    queries = follow.follow(follow.line_stream(spark, log_file, from_start=True), spikes.append, f"file://{tmp_path}", follower, interval="200 milliseconds")
     try:
         for _ in range(120):
             if spikes and sum(seen) == 191:
@@ -292,3 +296,63 @@ def test_alerts_on_a_growing_file(spark, log_file, tmp_path):
         for q in queries:
             q.stop()
     assert sum(seen) == 191 and [p["label"] for p in spikes] == ["2025-11-18 10:20"]
+
+
+def test_follower_counts_and_hands_on(spark, tmp_path):
+    line = '{"time":"2024-01-01T%s:00Z","msg":"m"}'
+    batches = [[line % "10:00", '{"msg":"untimed"}', "garbage", ""], [line % "10:01", line % "09:00"], [line % "10:02"]]
+    got = {"on_record": 0, "on_error": 0, "on_late": 0}
+
+    def add(name):
+        return lambda rows: got.__setitem__(name, got[name] + rows.count())
+
+    follower = follow.Follower(**{name: add(name) for name in got})
+    for i, rows in enumerate(batches):
+        follower(spark.createDataFrame([(x,) for x in rows], "value string"), i)
+    assert got == {"on_record": 5, "on_error": 2, "on_late": 1}
+    want = {"lines": 7, "records": 5, "skipped": 2, "late": 1, "rotations": 0, "truncates": 0}
+    assert {k: v for k, v in follower.stats.items() if k != "runtime"} == want and follower.stats["runtime"] > 0
+    with pytest.raises(ValueError, match="unknown hooks: on_spike"):
+        follow.Follower(on_spike=print)
+
+
+def test_untimed_lines_do_not_close_the_minutes_of_an_older_log(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for i, rows in enumerate((['{"time":"2024-01-01T10:00:00Z"}', '{"msg":"untimed"}'], ['{"time":"2024-01-01T10:01:00Z"}'], ['{"time":"2024-01-01T10:00:30Z"}', '{"time":"2024-01-01T10:09:00Z"}'])):
+        (folder / f"{i}.log").write_text("\n".join(rows) + "\n")
+        os.utime(folder / f"{i}.log", (1_700_000_000 + i, 1_700_000_000 + i))
+    lines = spark.readStream.option("maxFilesPerTrigger", "1").text(f"file://{folder}")
+    counts = follow.minute_counts(follow.record_stream(lines))
+    query = counts.writeStream.outputMode("append").format("parquet").option("path", f"file://{tmp_path}/out").option("checkpointLocation", f"file://{tmp_path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = {r["epoch"]: r["n"] for r in spark.read.schema(counts.schema).parquet(f"file://{tmp_path}/out").collect()}
+    assert got == {1704103200: 2, 1704103260: 1}
+
+
+def test_standard_input_is_followed(spark, monkeypatch, capsys):
+    lines = [b'{"time":"2024-01-01T10:00:0%dZ","msg":"m"}\n' % i for i in range(3)]
+    monkeypatch.setattr("sys.stdin", io.TextIOWrapper(io.BytesIO(b"".join(lines) + b"no log line\n")))
+    assert main(["tailf", "--no-alert", "--max-runtime", "20", "--max-lines", "3", "-"]) == 0
+    shown = capsys.readouterr()
+    assert len(shown.out.splitlines()) == 3 and "records=3" in shown.err and "skipped=1" in shown.err
+
+
+def test_spooled_lines_are_numbered(spark):
+    rows = spool(spark, (f"line {i}\n" for i in range(25)), step=10)
+    assert sorted(map(tuple, rows.collect())) == [(i + 1, f"line {i}") for i in range(25)]
+    assert spool(spark, []).collect() == []
+
+
+def test_exports_to_files_and_folders(spark, log_file, tmp_path, capsys):
+    for form in ("json", "csv"):
+        assert main(["export", "--format", form, log_file]) == 0
+        want = capsys.readouterr().out
+        assert main(["export", "--format", form, "--output", f"{tmp_path}/one", log_file]) == 0
+        assert (tmp_path / "one").read_text() == want
+        if form == "json":
+            found = json.loads(want)
+            assert found["meta"]["count"] == len(found["records"]) and want == json.dumps(found, sort_keys=True, indent=3) + "\n"
+    assert main(["export", "--format", "csv", "--output", f"file://{tmp_path}/many", log_file]) == 0
+    got = [x for f in (tmp_path / "many").glob("part-*") for x in f.read_text().splitlines()[1:]]
+    assert sorted(got) == sorted(want.splitlines()[1:])
