@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions import times
 from ..functions.agents import classify
 from ..operators import anomaly, parse, series, stats
 from ..operators.filters import RecordFilter, any_of
-from ..sources import export
+from ..schema import JSON_KEYS
+from ..sources import export, lines
 from ..streaming import follow
 from .logview import AGENTS, REFERERS, log_lines, log_view
 
@@ -86,17 +88,17 @@ def detect_type_counts(spark, sf_dir):
 
 @_query("parse_counters", f"{LOG} SELECT count(*) AS lines, count_if(is_blank) AS blank, count_if(NOT is_blank AND NOT is_foreign) AS parsed, count_if(is_foreign) AS skipped FROM log")
 def parse_counters(spark, sf_dir):
-    return parse.parse_stats(parse.parse(log_lines(spark, sf_dir), default_year=2024, keep_unparsed=True)).drop("by_type")
+    return parse.parse_stats(parse.classified(log_lines(spark, sf_dir))).drop("by_type")
 
 
 @_query("parse_types", f"{LOG} SELECT type, count(*) AS n FROM log WHERE NOT is_blank AND NOT is_foreign GROUP BY 1")
 def parse_types(spark, sf_dir):
-    return parse.parse_stats(parse.parse(log_lines(spark, sf_dir), default_year=2024, keep_unparsed=True)).select(F.explode("by_type").alias("type", "n"))
+    return parse.parse_stats(parse.classified(log_lines(spark, sf_dir))).select(F.explode("by_type").alias("type", "n"))
 
 
 @_query("error_samples", f"{LOG} SELECT line_no, concat('no log line ', event_id) AS text FROM log WHERE is_foreign ORDER BY line_no LIMIT 20")
 def error_samples(spark, sf_dir):
-    return parse.error_samples(parse.parse(log_lines(spark, sf_dir), default_year=2024, keep_unparsed=True))
+    return parse.error_samples(parse.classified(log_lines(spark, sf_dir)))
 
 
 @_query("url_path", "SELECT page_id, regexp_replace(url, '[?#].*$', '') AS path FROM pages")
@@ -364,9 +366,9 @@ def series_csv_rows(spark, sf_dir):
     return rows.select(export.csv_row(rows, ["label", "epoch", "value", "count", "bytes", "errors"]).alias("row"))
 
 
-@_query("human_size", f"{LOG} SELECT line_no, CASE WHEN bytes * 97 < 1024 THEN concat(bytes * 97, ' B') WHEN bytes * 97 < 1048576 THEN format('{{:.1f}} KB', bytes * 97 / 1024.0::DOUBLE) ELSE format('{{:.1f}} MB', bytes * 97 / 1048576.0::DOUBLE) END AS size FROM log WHERE (bytes * 97 * 20) % 1024 <> 0")
+@_query("human_size", f"{LOG} SELECT line_no, CASE WHEN bytes * 97 < 1024 THEN concat(bytes * 97, ' B') WHEN bytes * 97 < 1048576 THEN format('{{:.1f}} KB', bytes * 97 / 1024.0::DOUBLE) ELSE format('{{:.1f}} MB', bytes * 97 / 1048576.0::DOUBLE) END AS size FROM log")
 def human_size(spark, sf_dir):
-    return log_view(spark, sf_dir).filter("(bytes * 97 * 20) % 1024 <> 0").select("line_no", X.human_size(F.col("bytes") * 97).alias("size"))
+    return log_view(spark, sf_dir).select("line_no", X.human_size(F.col("bytes") * 97).alias("size"))
 
 
 @_query("human_num", f"{LOG} SELECT line_no, format('{{:,}}', bytes * 1001) AS num FROM log")
@@ -390,6 +392,141 @@ def cidr(spark, sf_dir):
     return log_view(spark, sf_dir).select("line_no", X.in_network(F.col("ip"), "10.0.0.48/28").alias("inside"))
 
 
+# --- odd lines: texts made from the events by number, each with the value that is expected of it ---
+
+
+def _pick(values, column: str = "event_id"):
+    """One of the values by number, in Spark."""
+    at = (F.col(column) % len(values)).cast("int")
+    return F.get(F.array(*[F.lit(v) for v in values]), at)
+
+
+def _picked(values, column: str = "event_id") -> str:
+    """The same in SQL."""
+    shown = ["NULL" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'" for v in values]
+    return f"[{', '.join(shown)}][{column} % {len(values)} + 1]"
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet").filter("ts is not null")
+
+
+def _parsed_lines(spark: SparkSession, sf_dir: str, line, **options) -> DataFrame:
+    return parse.parse(_events(spark, sf_dir).select((F.col("event_id") + 1).alias("line_no"), line.alias("value")), **options)
+
+
+def _odd(name: str, cases: dict, line, out, **options) -> None:
+    """A query that parses one line for each event. ``cases``: texts that the line holds, and the value expected of each."""
+    sql = f"SELECT event_id + 1 AS line_no, {_picked(list(cases.values()))} AS found FROM events WHERE ts IS NOT NULL"
+    _query(name, sql)(lambda spark, sf_dir: _parsed_lines(spark, sf_dir, line(_pick(list(cases))), **options).select("line_no", out().alias("found")))
+
+
+WORDS = {
+    "PANIC now": "critical", "a crit x": "critical", "critical": "critical", "fatal: y": "critical", "no errors": "info", "an Error": "error", "err 5": "error", "it failed": "error", "failure": "error", "fail": "error",
+    "access denied": "error", "refused": "error", "timed out": "error", "timeout": "error", "time out": "error", "warn": "warning", "Warning!": "warning", "deprecated": "warning", "retry 3": "warning", "notice": "notice",
+    "debug": "debug", "nothing": "info", "failing": "info", "warned error": "error", "debug notice": "notice",
+}
+_odd("infer_level_words", WORDS, lambda text: F.concat(F.lit("Jan  5 00:00:01 h app: "), text), lambda: F.col("level"), default_year=2024)
+ADDRESSES = {"from 10.1.2.3 port 5": "10.1.2.3", "id 12345.6.7.8": None, "v1.2.3.4": None, "1.2.3.4.5": "1.2.3.4", "(9.8.7.6)": "9.8.7.6", "1.2.3.4567": None, "999.1.1.1": "999.1.1.1", "none": None}
+_odd("syslog_addresses", ADDRESSES, lambda text: F.concat(F.lit("2024-01-05T00:00:01Z h app: "), text), lambda: F.col("ip"))
+EXTRAS = {" 15": 15, " 0.123": None, " abc": None, "": None, " 7 8": None, "  42 ": 42}
+_odd("access_extras", EXTRAS, lambda text: F.concat(F.lit('1.2.3.4 - - [05/Jan/2024:00:00:01 +0000] "GET / HTTP/1.1" 200 5 "r" "u"'), text), lambda: F.col("duration_ms").cast("int"))
+KEYS = {'{"msg":"a","msg":"b"}': "b", '{"msg":"a","message":"c"}': "a", '{"message":"c","level":"info","message":"d"}': "d", '{"text":"e"}': "e"}
+_odd("json_repeated_keys", KEYS, lambda text: text, lambda: F.col("message"))
+ALIASES = {f'{{"{key}":"{value}"}}': shown for field, value, shown in (
+    ("ip", "10.0.0.9", "ip=10.0.0.9"), ("url", "/p?q", "url=/p?q"), ("status", "404", "status=404"), ("bytes", "77", "bytes=77"), ("ua", "curl/8", "ua=curl/8"), ("method", "put", "method=PUT"), ("user", "ann", "user=ann"),
+    ("host", "web", "host=web"), ("level", "warn", "level=warning"), ("message", "m", "message=m"), ("duration_ms", "15", "duration_ms=15"), ("duration_s", "0.25", "duration_ms=250"), ("time", "2024-01-05T00:00:01Z", "ts=1704412801"), ("epoch", "1704412801", "ts=1704412801"),
+) for key in JSON_KEYS[field]}
+
+
+def _shown():
+    """The fields of a record that hold a value, as name=value."""
+    plain = [F.when(F.col(c).isNotNull() & (F.col(c).cast("string") != "0"), F.concat(F.lit(f"{c}="), F.col(c).cast("string"))) for c in ("ip", "url", "status", "bytes", "ua", "method", "user", "host", "message", "duration_ms")]
+    level = F.when(F.col("level") != "info", F.concat(F.lit("level="), F.col("level")))
+    return F.concat_ws(" ", *plain, level, F.when(F.col("ts").isNotNull(), F.concat(F.lit("ts="), F.unix_timestamp("ts").cast("string"))))
+
+
+_odd("json_aliases", ALIASES, lambda text: text, _shown)
+ZONES = {"+0000": 0, "+0700": 25200, "-0530": -19800, "": 0, "+1400": 50400}
+
+
+@_query("clf_offsets", f"{LOG} SELECT line_no, e - {_picked(list(ZONES.values()))} AS epoch FROM log")
+def clf_offsets(spark, sf_dir):
+    text = F.concat(F.date_format("ts", "dd/"), F.date_format("ts", "MMM"), F.date_format("ts", "/yyyy:HH:mm:ss "), _pick(list(ZONES)))
+    return _events(spark, sf_dir).select((F.col("event_id") + 1).alias("line_no"), times.combined_epoch(text).alias("epoch"))
+
+
+NOW = 1705276800  # 2024-01-15
+
+
+@_query("syslog_rollover", f"{LOG} SELECT line_no, e - CASE WHEN e > {NOW + 86400} THEN 365 * 86400 ELSE 0 END AS epoch FROM log WHERE e < {NOW + 45 * 86400}")
+def syslog_rollover(spark, sf_dir):
+    rows = _events(spark, sf_dir).filter(F.unix_timestamp(F.col("ts").cast("timestamp")) < NOW + 45 * 86400)  # up to the leap day of a year that has none before
+    return rows.select((F.col("event_id") + 1).alias("line_no"), times.syslog_epoch(F.date_format("ts", "MMM d HH:mm:ss"), NOW).alias("epoch"))
+
+
+# --- files, further filters, fields and helpers ---
+
+
+@_query("read_files", f"{LOG} SELECT row_number() OVER (ORDER BY event_id) AS line_no, CASE WHEN NOT is_blank AND NOT is_foreign THEN type END AS type FROM log")
+def read_files(spark, sf_dir):
+    """Lines written as files and read back, with their numbers over all files."""
+    path = lines.shared_path(spark, "read-files")
+    log_lines(spark, sf_dir).repartitionByRange(5, "line_no").sortWithinPartitions("line_no").select("value").write.text(path)
+    return parse.classified(lines.read_lines(spark, path)).select("line_no", "type")
+
+
+@_query("filter_added", f"{LOG} SELECT count(*) AS n FROM log WHERE status // 100 = 2 AND bytes < 500")
+def filter_added(spark, sf_dir):
+    own = RecordFilter(status="2xx").add("small", F.col("bytes") < 500)
+    return spark.createDataFrame([(own.count(log_view(spark, sf_dir)),)], "n long")
+
+
+@_query("record_fields", f"{LOG} SELECT line_no, ip, NULL::VARCHAR AS nope, bytes FROM log")
+def record_fields(spark, sf_dir):
+    return parse.record_fields(log_view(spark, sf_dir), ["line_no", "ip", "nope", "bytes"])
+
+
+@_query("facilities", f"{LOG} SELECT 'daemon' AS key, count(*) AS n FROM log WHERE event_id % 6 = 3 AND NOT is_blank AND NOT is_foreign")
+def facilities(spark, sf_dir):
+    rows = parse.parse(log_lines(spark, sf_dir), default_year=2024)
+    return stats.dimension_counts(rows, ["facility"]).select("key", "n")
+
+
+@_query("value_statistics", f"{LOG} SELECT median(bytes) AS median, quantile_cont(bytes, 0.9) AS p90, min(bytes)::DOUBLE AS p0, max(bytes)::DOUBLE AS p100, CAST(sum(least(greatest(bytes, 100), 400)) AS BIGINT) AS clamped FROM log")
+def value_statistics(spark, sf_dir):
+    c = F.col("bytes")
+    return log_view(spark, sf_dir).agg(stats.median(c).alias("median"), stats.percentile(c, 90).alias("p90"), stats.percentile(c, 0).alias("p0"), stats.percentile(c, 100).alias("p100"), F.sum(stats.clamp(c, 100, 400)).alias("clamped"))
+
+
+@_query("pct", f"{LOG} SELECT line_no, CASE WHEN user_id % 5 = 0 THEN '0.0' ELSE format('{{:.1f}}', (bytes * 100.0::DOUBLE) / (user_id % 5 * 512)) END AS pct FROM log")
+def pct(spark, sf_dir):
+    rows = _events(spark, sf_dir).select((F.col("event_id") + 1).alias("line_no"), F.floor(F.col("value") * 100).alias("bytes"), (F.col("user_id") % 5 * 512).alias("total"))
+    return rows.select("line_no", X.pct(F.col("bytes"), F.col("total")).alias("pct"))
+
+
+@_query("truncated", f"{LOG} SELECT line_no, CASE WHEN length(ua) > 20 THEN concat(substr(ua, 1, 19), '~') ELSE ua END AS short FROM log")
+def truncated(spark, sf_dir):
+    return log_view(spark, sf_dir).select("line_no", X.truncated(F.col("ua"), 20).alias("short"))
+
+
+@_query("html_text", "SELECT page_id, replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS escaped FROM pages")
+def html_text(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", X.html_text(F.col("html")).alias("escaped"))
+
+
+@_query("stream_alerts", f"""{LOG}, b AS (SELECT e // 60 * 60 AS epoch, count(*) AS value FROM log GROUP BY 1),
+  w AS (SELECT epoch, value, avg(value) OVER f AS mean, coalesce(stddev_samp(value) OVER f, 0) AS sd, count(*) OVER f AS h FROM b WINDOW f AS (ORDER BY epoch ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING))
+  SELECT epoch, value FROM w WHERE h >= 10 AND (value - mean) / CASE WHEN sd > 0 THEN sd ELSE 1 END >= 3""")
+def stream_alerts(spark, sf_dir):
+    """Minutes as batches of a stream bring them, and the alerts on them."""
+    minutes = follow.run_minute_counts(spark, follow.event_stream(spark, sf_dir), flush=True)
+    found: list[tuple] = []
+    alerts = follow.Alerts(lambda point: found.append((point["epoch"], int(point["value"]))))
+    alerts(minutes, 0)
+    return spark.createDataFrame(found, "epoch long, value long")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
