@@ -1,7 +1,8 @@
 """A training corpus in five stages: quality rules, near-dedup, secret scan, mixing and packing.
 
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the columns of
-``documents``; the last returns the packed pieces.
+``documents``; the last returns the packed pieces. Every stage takes an empty table and gives one. Further columns go through
+all stages but the last as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,29 +27,34 @@ def _measured(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep. Null, empty and blank texts have no words and go; each of repeated rows is judged by itself, so they
+    go or stay alike; rows without id are judged like others."""
     model = quality.fit(docs, read_table(spark, sf_dir, "labels"))
     return quality.judge(docs, model, out_col="_verdict_").filter("_verdict_.kept").select(*docs.columns)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each near-duplicate group; documents without id stay."""
+    """The document of least id of each near-duplicate group. Documents without id, and those without words, stay; rows that share an id are one
+    document: all of them stay if it does."""
     found = neardup.near_components(docs.select("doc_id", "text"))
     return docs.join(found.filter("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with a mark in place of each secret."""
+    """All documents, with a mark in place of each secret; null and empty texts stay as they are."""
     return _measured(secrets.redact_secrets(docs), docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: documents as often as it takes them."""
-    return _measured(mixing.mix(docs), docs.columns)
+    """The mix: documents as often as it takes them. Those without words are never taken; repeated rows are taken each by itself; a null source is
+    a source of its own."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text", "source")]  # out of the way of the columns that the mix adds
+    mixed = mixing.mix(docs.select("doc_id", "text", "source", *([F.struct(*rest).alias("_rest_")] if rest else [])))
+    return _measured(mixed.select("doc_id", "text", "source", *(["_rest_.*"] if rest else [])), docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their sequence and place."""
+    """Token pieces with their sequence and place. A null or empty text is its end token alone; repeated rows have pieces each."""
     return packing.pack(docs.select("doc_id", "text"))
 
 
