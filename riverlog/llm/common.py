@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
+BATCH = 4 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -76,6 +77,14 @@ def parts(batches: Iterator[pa.RecordBatch], column: int, limit: int) -> Iterato
             yield batch.slice(first, last - first)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lets the session hand rows to Python in batches of about BATCH bytes. Spark's own bound of 64 MB, which each task holds several
+    times, stays only where the session has set another one itself."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == "67108864b":
+        spark.conf.set(key, f"{BATCH}b")
+
+
 class Scratch:
     """Tables written to the shared folder, so that a lost executor costs a reread and not a recomputation.
 
@@ -83,6 +92,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        bound_batches(spark)
         self.spark, self.root, self.n = spark, f"{shared_folder(spark)}/riverlog/{name}-{uuid.uuid4().hex}", 0
         atexit.register(self._end)
 

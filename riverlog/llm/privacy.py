@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read_table, slices
+from .common import bound_batches, read_table, slices
 from .secrets import SPANS, digest
 from .tagger import KINDS, Tagger, TaggerSettings, char_ids, luhn, spans_of, trained
 
@@ -142,6 +142,7 @@ def personal_spans(text: Column, tagger: Tagger) -> Column:
 
 
 def find_personal(docs: DataFrame, text_col: str = "text", out_col: str = "personal", settings: TaggerSettings = TaggerSettings()) -> DataFrame:
+    bound_batches(docs.sparkSession)
     return docs.withColumn(out_col, personal_spans(F.col(text_col), trained(docs.sparkSession, settings)))
 
 

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parts, read_table, slices
+from .common import bound_batches, parts, read_table, slices
 
 SYMBOLS = "#*$%&|<>"
 FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, score double"
@@ -108,6 +108,7 @@ class QualityModel:
 
 def fit(docs: DataFrame, labels: DataFrame, settings: QualitySettings = QualitySettings()) -> QualityModel:
     """Counts over all of ``docs`` and the threshold from labelled scores."""
+    bound_batches(docs.sparkSession)
     s = settings
     known_good, rejected = _labelled(labels, 1, s), _labelled(labels, 0, s)
     trusted, held = (known_good[::2], known_good[1::2]) if len(known_good) > 1 else (known_good, known_good)

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read_table, slices
+from .common import bound_batches, read_table, slices
 
 CHUNK = 1_000_000  # bytes of text held as objects at once
 BASE_KINDS = ("assign", "access", "hex")
@@ -119,11 +119,13 @@ def redact(text: str | None, mark: str = "[SECRET]") -> str | None:
 
 def find_secrets(docs: DataFrame, text_col: str = "text", out_col: str = "secrets") -> DataFrame:
     """``docs`` with a column of spans, array<struct<kind, start, end>>."""
+    bound_batches(docs.sparkSession)
     return docs.withColumn(out_col, _spans(F.col(text_col)))
 
 
 def redact_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with the secrets of the text column replaced by a mark."""
+    bound_batches(docs.sparkSession)
     return docs.withColumn(text_col, _redacted(F.col(text_col)))
 
 
