@@ -209,11 +209,13 @@ def near_components(docs: DataFrame, settings: NearSettings = NearSettings()) ->
     lists = inverted_lists(reps.select("rep", "n", "sketch"), s, scratch)
     linker = _Linker(docs, reps.select("rep", "sketch"), s, scratch)
     links = labels = None
-    turn, members = 0, lists.withColumn("label", F.col("rep"))
-    while not members.isEmpty():
+    turn, members, is_last = 0, lists.withColumn("label", F.col("rep")), False
+    while not is_last:
         order = F.struct(-F.col("central"), "rep") if turn == 0 else F.struct(F.xxhash64(F.lit(turn), "value", "rep"), "rep")
-        pivots = scratch.table(members.groupBy("value").agg(F.min_by(F.struct("rep", "n", "label"), order).alias("x")).select("value", F.col("x.rep").alias("pivot"), F.col("x.n").alias("m"), F.col("x.label").alias("other")), "pivots")
-        held = members.join(pivots, "value").filter("rep <> pivot")
+        drawn = members.groupBy("value").agg(F.min_by(F.struct("rep", "n", "label"), order).alias("x"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
+        pivots = scratch.table(drawn.select("value", F.col("x.rep").alias("pivot"), F.col("x.n").alias("m"), F.col("x.label").alias("other")), "pivots")
+        held = scratch.table(members.join(pivots, "value").filter("rep <> pivot"), "held")
+        scratch.drop(members)
         pairs = held.filter((F.col("label") != F.col("other")) & _near_size(F.col("n"), F.col("m"), s))
         pairs = scratch.table(linker.sketched(pairs.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()), "pairs")
         found = linker.confirm(pairs)
@@ -221,20 +223,16 @@ def near_components(docs: DataFrame, settings: NearSettings = NearSettings()) ->
         if n_found:
             links = found if links is None else links.union(found)
             labels = components(links, scratch)
-        is_last = turn and n_found < s.worth * members.select("rep").distinct().count()
-        rest = scratch.table(held.select("value", "rep", "n", "central"), "lists")
-        scratch.drop(pivots, pairs, members, lists)
-        lists, turn = rest, turn + 1
-        members = _open_lists(lists, labels, scratch)
-        if is_last:
-            break
-    if not members.isEmpty():
-        pairs = scratch.table(linker.sketched(scratch.table(_apart(members, reps, s, scratch), "apart")), "pairs")
-        if not pairs.isEmpty():
-            found = linker.confirm(pairs)
-            if not found.isEmpty():
-                labels = components(found if links is None else links.union(found), scratch)
-    scratch.drop(members, lists)
+        is_last = n_found == 0 or bool(turn) and n_found < s.worth * held.select("rep").distinct().count()
+        members = scratch.table(_labelled(held, labels), "members")
+        scratch.drop(pivots, pairs, held)
+        turn += 1
+    pairs = scratch.table(linker.sketched(scratch.table(_apart(members, reps, s, scratch), "apart")), "pairs")
+    scratch.drop(members)
+    if not pairs.isEmpty():
+        found = linker.confirm(pairs)
+        if not found.isEmpty():
+            labels = components(found if links is None else links.union(found), scratch)
     if labels is None:
         labels = spark.createDataFrame([], "node long, label long")
     classes = reps.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("p", "q", "n", F.coalesce("label", "rep").alias("label"))
@@ -244,20 +242,20 @@ def near_components(docs: DataFrame, settings: NearSettings = NearSettings()) ->
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _open_lists(lists: DataFrame, labels: DataFrame | None, scratch: Scratch) -> DataFrame:
-    """(value, rep, n, central, label): the lists whose members are in several components."""
+def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(value, rep, n, central, label): members of lists with the labels that they have now."""
     if labels is None:
-        labels = lists.sparkSession.createDataFrame([], "node long, label long")
-    labelled = lists.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    labelled = scratch.table(labelled.select("value", "rep", "n", "central", "label"), "labelled")
-    several = scratch.table(labelled.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("value"), "several")
-    return labelled.join(several, "value", "left_semi")
+        return members.select("value", "rep", "n", "central", F.col("rep").alias("label"))
+    now = labels.select(F.col("node").alias("rep"), F.col("label").alias("now"))
+    return members.drop("label").join(now, "rep", "left").select("value", "rep", "n", "central", F.coalesce("now", "rep").alias("label"))
 
 
 def _apart(members: DataFrame, reps: DataFrame, s: NearSettings, scratch: Scratch) -> DataFrame:
     """(a, b): pairs of different components that share a list and may be similar, each from the first large list that both are
     in, or from each small one if they share no large one."""
-    bits, members = _parity_names(s), scratch.table(members, "open")
+    bits = _parity_names(s)
+    several = members.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("value")
+    members = scratch.table(members.join(several, "value", "left_semi"), "open")
     large = members.groupBy("value").agg(F.count("*").alias("size")).filter(F.col("size") > s.small).select("value")
     own = members.join(large, "value", "left_semi").groupBy("rep").agg(F.collect_set("value").alias("own"))  # at most ``indexed`` values
     ends = members.select("rep").distinct().join(reps.select("rep", *bits), "rep").join(own, "rep", "left")
