@@ -115,3 +115,15 @@ class Scratch:
             _delete(self.spark, self.root)
         except Exception:  # the session has ended before: its folder is then the cluster's to clean
             pass
+
+
+#: CRC-32 in SQL: the table of its 256 remainders, and the fold of a blob or text of bytes. DuckDB has no function for it.
+CRC_TABLE_SQL = """crc_table AS (SELECT list(r ORDER BY i) AS r FROM (SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i) AS r FROM range(256) AS x(i)))"""
+
+
+def crc_sql(text: str) -> str:
+    """The unsigned CRC-32 of a text's UTF-8 bytes; ``r`` of crc_table is to be in scope."""
+    digit = lambda at: f"(strpos('0123456789ABCDEF', substr(hex(encode({text})), {at}, 1)) - 1)"
+    size = f"(octet_length(encode({text})))"
+    of_bytes = f"list_transform(range(1, {size} + 1), lambda j: ({digit('2 * j - 1')} * 16 + {digit('2 * j')})::BIGINT)"
+    return f"xor(4294967295, list_reduce({of_bytes}, lambda c, b: xor(c // 256, r[xor(c % 256, b) + 1]), 4294967295::BIGINT))"

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lines, mixing, neardup, neighbours, packing, privacy, quality, secrets, substrings, warc
+from . import conversations, lines, mixing, neardup, neighbours, packing, privacy, quality, resampling, secrets, substrings, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_best_fit_packing": packing.op8_best_fit_packing,
         "op9_radix_substring_dedup": substrings.op9_radix_substring_dedup,
         "op10_quality_rules": quality.op10_quality_rules,
+        "op11_conversation_repair": conversations.op11_conversation_repair,
+        "op12_importance_resampling": resampling.op12_importance_resampling,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": lines.OP2_SQL, "op5_warc_round_trip": warc.OP5_SQL}
+    return {"op2_line_dedup": lines.OP2_SQL, "op5_warc_round_trip": warc.OP5_SQL, "op11_conversation_repair": conversations.OP11_SQL, "op12_importance_resampling": resampling.OP12_SQL}
