@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conversations, lines, mixing, neardup, neighbours, packing, privacy, quality, resampling, secrets, substrings, warc
+from . import conversations, language, lines, mixing, neardup, neighbours, packing, privacy, quality, resampling, secrets, substrings, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_quality_rules": quality.op10_quality_rules,
         "op11_conversation_repair": conversations.op11_conversation_repair,
         "op12_importance_resampling": resampling.op12_importance_resampling,
+        "op13_language_model_scores": language.op13_language_model_scores,
     }
 
 
