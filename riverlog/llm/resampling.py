@@ -23,8 +23,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import CRC_TABLE_SQL, LOWER, UPPER, Scratch, bound_batches, crc_sql, parts, read_table, slices
+from .common import CRC_TABLE_SQL, LOWER, UPPER, Scratch, bound_batches, crc_sql, parts, read_table
 from .mixing import running_total
 
 #: A-Z become a-z; every other ASCII character that is neither letter nor digit becomes a blank.
@@ -94,23 +95,22 @@ def gains(raw: np.ndarray, target: np.ndarray, settings: ResamplingSettings = Re
     return np.array([math.floor(s.scale * math.log(x)) for x in ratio], np.int64)
 
 
-def weighed(docs: DataFrame, gain: np.ndarray, text_col: str = "text", settings: ResamplingSettings = ResamplingSettings()) -> DataFrame:
-    """``docs`` with n_words, n_features and weight."""
+def weighed(docs: DataFrame, gain: np.ndarray, text_col: str = "text", settings: ResamplingSettings = ResamplingSettings(), keep: list[str] | None = None) -> DataFrame:
+    """The columns of ``docs``, or those to ``keep``, with n_words, n_features and weight."""
     s, shared = settings, docs.sparkSession.sparkContext.broadcast(gain)
     bound_batches(docs.sparkSession)
 
-    @F.arrow_udf("n_words long, n_features long, weight long")
-    def of(texts: pa.Array) -> pa.Array:
-        found = [np.empty((0, 3), np.int64)]
-        for a, b in slices(texts, s.chunk_bytes):
-            n_words, owner, bucket = _features(_encoded(texts[a:b]), s)
+    rest = [c for c in (docs.columns if keep is None else keep) if c not in ADDED]
+    schema = T.StructType([*docs.select(*rest).schema.fields, *(T.StructField(c, T.LongType()) for c in ADDED[:3])])
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts(batches, 0, s.chunk_bytes):
+            n_words, owner, bucket = _features(_encoded(part.column(0)), s)
             whole, low = np.divmod(shared.value[bucket], 1 << 20)  # both halves add up exactly in doubles
-            weight = np.bincount(owner, whole, b - a).astype(np.int64) * (1 << 20) + np.bincount(owner, low, b - a).astype(np.int64)
-            found.append(np.column_stack([n_words, np.bincount(owner, minlength=b - a), weight]))
-        return pa.StructArray.from_arrays([pa.array(c) for c in np.concatenate(found).T], ["n_words", "n_features", "weight"])
+            weight = np.bincount(owner, whole, len(part)).astype(np.int64) * (1 << 20) + np.bincount(owner, low, len(part)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(n_words), pa.array(np.bincount(owner, minlength=len(part))), pa.array(weight)], schema.names)
 
-    rest = [c for c in docs.columns if c not in ADDED]
-    return docs.select(*rest, of(F.col(text_col)).alias("_w")).select(*rest, "_w.*")
+    return docs.select(F.col(text_col).alias("_features_of"), *rest).mapInArrow(of, schema)
 
 
 def noise(doc_id: Column, s: ResamplingSettings) -> Column:
@@ -128,7 +128,7 @@ def ranked(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col:
     """
     s, scratch = settings, Scratch(docs.sparkSession, "resample")
     gain = gains(bucket_counts(docs, text_col, s), bucket_counts(target, target_col, s), s)
-    rows = weighed(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), gain, "_text", s)
+    rows = weighed(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), gain, "_text", s, ["_id"])
     rows = rows.withColumnRenamed("_id", id_col).withColumn("score", F.col("weight") + noise(F.col(id_col), s))
     key = [id_col, "n_words", "n_features", "weight", "score"]
     # equal rows are one row of the order with the number of its copies, so that a row repeated any number of times goes to no single task
