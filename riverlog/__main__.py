@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
-import tempfile
 import threading
 from collections.abc import Iterable, Iterator, Sequence
 
@@ -18,7 +18,7 @@ from .operators import anomaly, parse, series, stats
 from .operators.filters import NAMES, RecordFilter
 from .session import get_session
 from .sources import export, report
-from .sources.lines import read_lines, spool
+from .sources.lines import read_lines, shared_path, spool
 from .streaming import follow
 
 COMMANDS = {
@@ -74,6 +74,7 @@ def _parser() -> argparse.ArgumentParser:
     tail.add_argument("--from-start", action="store_true")
     tail.add_argument("--interval", type=float, default=0.25)
     tail.add_argument("--max-runtime", type=float)
+    tail.add_argument("--checkpoint", help="folder that keeps the place and the alerts' history for the next start")
     tail.add_argument("--max-lines", type=int)
     tail.add_argument("--no-alert", action="store_true")
     tail.add_argument("--quiet", action="store_true")
@@ -112,8 +113,18 @@ def _diagnostics(spark: SparkSession, a: argparse.Namespace) -> str:
     return export.parse_stats_to_json(counters)
 
 
+def _mounted(spark: SparkSession, folder: str) -> str:
+    """The local path of a folder that all see under the same one."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    full = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
+    if not full.startswith("file:"):
+        raise ValueError("standard input can be followed only where the shared folder is a mounted one (file:)")
+    return full.removeprefix("file:").replace("///", "/")
+
+
 def _spooled_stdin(folder: str) -> str:
     """Copies standard input to a file as it comes, so that it can be followed like any growing file; its end ends nothing."""
+    os.makedirs(folder, exist_ok=True)
     path = f"{folder}/stdin"
     open(path, "wb").close()
 
@@ -143,17 +154,15 @@ def _tailf(spark: SparkSession, a: argparse.Namespace) -> int:
 
     follower = follow.Follower(options={"default_year": a.default_year}, on_record=show, on_rotate=lambda n: say(f"ROTATED {n}"), on_truncate=lambda n: say(f"TRUNCATED {n}"))
     alert = None if a.no_alert else lambda point: say(f"ALERT {anomaly.describe_point(point)}")
-    with tempfile.TemporaryDirectory() as folder:  # following one local file is the driver's own work
-        is_input = a.files[0] == "-"
-        lines = follow.line_stream(spark, _spooled_stdin(folder) if is_input else a.files[0], a.from_start or is_input)
-        queries = follow.follow(lines, alert, f"file://{folder}", follower, _detector(a), f"{int(a.interval * 1000)} milliseconds")
-        waited = 0.0
-        while (a.max_runtime is None or waited < a.max_runtime) and left != 0 and all(q.isActive for q in queries):
-            queries[0].awaitTermination(min(1, a.max_runtime or 1))
-            waited += min(1, a.max_runtime or 1)
-            follower.progress(queries[0])
-        for q in queries:
-            q.stop()
+    folder, is_input = a.checkpoint or shared_path(spark, "tailf"), a.files[0] == "-"
+    files = [_spooled_stdin(_mounted(spark, folder))] if is_input else a.files
+    queries = follow.follow(follow.line_stream(spark, files, a.from_start or is_input), alert, folder, follower, _detector(a), f"{int(a.interval * 1000)} milliseconds")
+    waited = 0.0
+    while (a.max_runtime is None or waited < a.max_runtime) and left != 0 and all(q.isActive for q in queries):
+        queries[0].awaitTermination(min(1, a.max_runtime or 1))
+        waited += min(1, a.max_runtime or 1)
+    for q in queries:
+        q.stop()
     say(" ".join(f"{k}={v:.0f}" for k, v in follower.stats.items()))
     return 0
 

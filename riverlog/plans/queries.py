@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -78,7 +78,20 @@ _grammar("parse_json", 5, {"type": "type", "epoch": "e", "ip": "ip", "user": "us
 
 @_query("json_data", f"{LOG} SELECT line_no, 'uid' AS key, CAST(user_id AS VARCHAR) AS value FROM log WHERE event_id % 6 = 5 AND NOT is_blank AND NOT is_foreign")
 def json_data(spark, sf_dir):
-    return _parsed(spark, sf_dir, 5).select("line_no", F.explode("data").alias("key", "value"))
+    return _parsed(spark, sf_dir, 5).select("line_no", F.explode("data").alias("key", "value")).withColumn("value", F.col("value").cast("string"))
+
+
+@_query("json_typed_data", f"""{LOG} SELECT line_no, u.key, u.json FROM (SELECT line_no, unnest([{{'key': 'n', 'json': event_id::VARCHAR}}, {{'key': 'x', 'json': concat(user_id % 4, '.5')}},
+  {{'key': 't', 'json': concat('"', user_id, '"')}}, {{'key': 'b', 'json': CASE WHEN user_id % 2 = 0 THEN 'true' ELSE 'false' END}}, {{'key': 'o', 'json': concat('{{"k":', user_id, ',"l":["', event_type, '",null]}}')}},
+  {{'key': 'r', 'json': concat('"', event_id % 3, '"')}}, {{'key': 'z', 'json': 'null'}}]) AS u FROM log WHERE event_id % 7 < 5)""")
+def json_typed_data(spark, sf_dir):
+    """Extra keys of JSON lines as they were read: numbers, texts, booleans, nested values, nulls and the last of repeated keys; lines that hold more than an object, or half of one, give none."""
+    e, text = _events(spark, sf_dir), lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    i, u = F.col("event_id"), F.col("user_id")
+    whole = text('{"n":', i, ',"x":', u % 4, '.50,"t":"', u, '","b":', F.when(u % 2 == 0, "true").otherwise("false"), ',"o":{"l":["', F.col("event_type"), '",null],"k":0,"k":', u, '},"r":', u, ',"r":"', i % 3, '","z":null,"level":"info"}')
+    line = F.when(i % 7 == 5, text('{"n":', i, "}]}")).when(i % 7 == 6, text('{"n":', i)).otherwise(whole)
+    records = parse.parse(e.select((i + 1).alias("line_no"), line.alias("value")), default_year=2024, keep_raw=False)
+    return records.select("line_no", F.explode("data").alias("key", "value")).select("line_no", "key", F.to_json("value").alias("json"))
 
 
 @_query("detect_type_counts", f"{LOG} SELECT CASE WHEN is_blank OR is_foreign THEN 'unknown' ELSE type END AS type, count(*) AS n FROM log GROUP BY 1")
@@ -519,12 +532,22 @@ def html_text(spark, sf_dir):
   w AS (SELECT epoch, value, avg(value) OVER f AS mean, coalesce(stddev_samp(value) OVER f, 0) AS sd, count(*) OVER f AS h FROM b WINDOW f AS (ORDER BY epoch ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING))
   SELECT epoch, value FROM w WHERE h >= 10 AND (value - mean) / CASE WHEN sd > 0 THEN sd ELSE 1 END >= 3""")
 def stream_alerts(spark, sf_dir):
-    """Minutes as batches of a stream bring them, and the alerts on them."""
-    minutes = follow.run_minute_counts(spark, follow.event_stream(spark, sf_dir), flush=True)
-    found: list[tuple] = []
-    alerts = follow.Alerts(lambda point: found.append((point["epoch"], int(point["value"]))))
-    alerts(minutes, 0)
-    return spark.createDataFrame(found, "epoch long, value long")
+    """Alerts as a stream fires them, each minute against those in the query's state; written as the batches bring them."""
+    path = lines.shared_path(spark, "alerts")
+    found = follow.alerts(follow.event_stream(spark, sf_dir), delay_seconds=-60)
+    found.writeStream.outputMode("append").format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(found.schema).parquet(f"{path}/rows").select("epoch", "value")
+
+
+@_query("stream_late_counts", f"{LOG} SELECT e // 60 * 60 AS epoch, count(*) AS n FROM log GROUP BY 1")
+def stream_late_counts(spark, sf_dir):
+    """Minute counts of a stream whose batches hold rows of any time: totals that late rows correct."""
+    path = lines.shared_path(spark, "late")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").filter("ts is not null")
+    events.select("event_id", "ts").repartition(5, F.xxhash64("event_id")).write.parquet(f"{path}/in")
+    stream = spark.readStream.schema("event_id long, ts timestamp_ntz").option("maxFilesPerTrigger", 1).parquet(f"{path}/in").select(F.col("ts").cast("timestamp").alias("ts"))
+    follow.write_totals(follow.minute_totals(stream), f"{path}/out", availableNow=True).awaitTermination()
+    return follow.read_totals(spark, f"{path}/out").select("epoch", "n")
 
 
 def queries() -> dict[str, Query]:

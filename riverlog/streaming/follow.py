@@ -1,24 +1,25 @@
-"""Live following: minute counts under a watermark, and alerts on the newest minute."""
+"""Live following: minute counts, under a watermark or corrected by late rows, counters and hooks, and alerts."""
 
 from __future__ import annotations
 
 import ast
+import json
 import time
-from collections.abc import Callable
-from dataclasses import replace
+import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.listener import StreamingQueryListener
 
-from ..operators.anomaly import Detector, points, scores
+from ..operators.anomaly import Detector
 from ..operators.parse import parse
 from ..sources.lines import shared_path
+from .alerts import alerts
 from .tail import TailSource
 
-HISTORY = 240  # minutes that alerts look back on
-
 EVENTS = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()), T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType()), T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType())])
 
 
@@ -28,10 +29,11 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.date_trunc("second", F.col("ts").cast("timestamp")).alias("ts"))
 
 
-def line_stream(spark: SparkSession, path: str, from_start: bool = False) -> DataFrame:
-    """Lines of a growing file."""
+def line_stream(spark: SparkSession, paths: str | Sequence[str], from_start: bool = False, **options: int) -> DataFrame:
+    """(value, path): lines of growing files. ``max_bytes`` and ``task_bytes`` bound what a batch takes of a file, and a task."""
     spark.dataSource.register(TailSource)
-    return spark.readStream.format("tail").option("path", path).option("from_start", str(from_start).lower()).load()
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    return spark.readStream.format("tail").option("path", json.dumps(paths)).option("from_start", str(from_start).lower()).options(**options).load()
 
 
 def record_stream(lines: DataFrame, **options) -> DataFrame:
@@ -46,52 +48,36 @@ def minute_counts(records: DataFrame, delay: str = "2 minutes") -> DataFrame:
     return rows.select(F.unix_timestamp("window.start").alias("epoch"), "n")
 
 
-def run_minute_counts(spark: SparkSession, records: DataFrame, flush: bool = False) -> DataFrame:
-    """Counts of what the stream holds now, as files under spark.checkpoint.dir. With ``flush`` the minutes that are still open come, too."""
-    path = shared_path(spark, "minutes")
-    counts = minute_counts(records, "0 seconds")
-    mode = counts.writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
-    if flush:  # every batch brings the minutes that it changed; the newest count of each is the greatest
-        query = mode.outputMode("update").foreachBatch(lambda batch, _: batch.write.mode("append").parquet(f"{path}/rows")).start()
-    else:
-        query = mode.outputMode("append").format("parquet").option("path", f"{path}/rows").start()
-    query.awaitTermination()
-    found = spark.read.schema(counts.schema).parquet(f"{path}/rows")
-    return found.groupBy("epoch").agg(F.max("n").alias("n")) if flush else found
+def minute_totals(records: DataFrame) -> DataFrame:
+    """epoch, n of every minute, for outputMode update: a batch brings the new totals of the minutes that it changed, however late its rows come.
+    The state is a row a minute and stays, so that no row is dropped."""
+    return records.filter("ts is not null").groupBy((F.floor(F.unix_timestamp("ts") / 60) * 60).alias("epoch")).agg(F.count("*").alias("n"))
 
 
-class Alerts:
-    """Scores each newly closed minute against up to HISTORY minutes before it, and calls back if it is flagged.
+def write_totals(totals: DataFrame, path: str, **trigger) -> StreamingQuery:
+    """Starts a query that keeps ``minute_totals`` as files by batch; a batch that runs again replaces its files."""
 
-    The minutes of a batch are scored together after those kept from before; only then is the history cut. With method ewma, the fold runs
-    on from the oldest of these. One row a minute reaches the driver; the records stay in the stream's state on the executors. ``fill_gaps`` counts missing minutes as 0.
-    """
+    def put(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/rows/batch_{number}")
 
-    def __init__(self, on_spike: Callable[[dict], None], detector: Detector = Detector(), fill_gaps: bool = False):
-        self.on_spike, self.fill_gaps = on_spike, fill_gaps
-        self.detector = replace(detector, mode="spikes", window=min(detector.window, HISTORY - 1))
-        self.history: list[tuple[int, int]] = []
-        self.stats = {"buckets": 0, "spikes": 0}
+    return totals.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{path}/state").trigger(**trigger).start()
 
-    def __call__(self, batch: DataFrame, _: int) -> None:
-        rows = sorted((r["epoch"], r["n"]) for r in batch.collect())
-        minutes = list(self.history)
-        for epoch, n in rows:
-            if self.fill_gaps and minutes:  # an empty minute is no spike, so only those that this one looks back on are needed
-                minutes += [(e, 0) for e in range(max(minutes[-1][0] + 60, epoch - 60 * HISTORY), epoch, 60)]
-            minutes.append((epoch, n))
-        self.stats["buckets"] += len(rows)
-        self._score(batch.sparkSession, minutes, {epoch for epoch, _ in rows})
-        self.history = minutes[-HISTORY:]
-
-    def _score(self, spark: SparkSession, minutes: list[tuple[int, int]], new: set[int]) -> None:
-        if len(minutes) <= self.detector.min_history or not new:
-            return
-        series = spark.createDataFrame(minutes, "epoch long, value long").withColumn("label", F.date_format(F.timestamp_seconds("epoch"), "yyyy-MM-dd HH:mm"))
-        for point in points(scores(series, self.detector)).orderBy("epoch").collect():
-            if point["epoch"] in new:
-                self.stats["spikes"] += 1
-                self.on_spike(point.asDict())
+
+def read_totals(spark: SparkSession, path: str) -> DataFrame:
+    """The newest total of each minute that ``write_totals`` has kept; later totals of a minute are greater."""
+    rows = spark.read.schema("epoch long, n long, batch int").parquet(f"{path}/rows/*")
+    return rows.groupBy("epoch").agg(F.max_by("n", "batch").alias("n"), F.count("*").alias("versions"))
+
+
+def run_minute_counts(spark: SparkSession, records: DataFrame, flush: bool = False) -> DataFrame:
+    """Counts of what the stream holds now, as files under spark.checkpoint.dir. With ``flush`` the minutes that are still open come, too, and late rows count."""
+    path = shared_path(spark, "minutes")
+    if flush:
+        write_totals(minute_totals(records), path, availableNow=True).awaitTermination()
+        return read_totals(spark, path).select("epoch", "n")
+    counts = minute_counts(records, "0 seconds")
+    counts.writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).outputMode("append").format("parquet").option("path", f"{path}/rows").start().awaitTermination()
+    return spark.read.schema(counts.schema).parquet(f"{path}/rows")
 
 
 class Follower:
@@ -104,7 +90,7 @@ class Follower:
         if unknown:
             raise ValueError(f"unknown hooks: {', '.join(sorted(unknown))}")
         self.delay, self.options, self.hooks, self.newest = delay_seconds, options or {}, hooks, None
-        self.started = time.monotonic()
+        self.started, self.name = time.monotonic(), f"records-{uuid.uuid4().hex}"
         self.counts = {"lines": 0, "records": 0, "skipped": 0, "late": 0, "rotations": 0, "truncates": 0}
 
     @property
@@ -125,23 +111,46 @@ class Follower:
         self.newest = max(x for x in (self.newest, found["newest"], 0) if x is not None)
         parsed.unpersist()
 
-    def progress(self, query: StreamingQuery) -> None:
-        """Takes over what the tail source has counted by now."""
-        for source in (query.lastProgress or {}).get("sources", []):
-            end = source["endOffset"]
-            end = ast.literal_eval(end) if isinstance(end, str) else end or {}  # Spark shows the source's offset as Python does
-            for name, hook in (("rotations", "on_rotate"), ("truncates", "on_truncate")):
-                if end.get(name, 0) > self.counts[name]:
-                    self.counts[name] = end[name]
-                    if hook in self.hooks:
-                        self.hooks[hook](end[name])
+    def moved(self, end: dict) -> None:
+        """Takes over what a source's offset has counted, and calls the hooks once for each rotation and truncation."""
+        for name, hook in (("rotations", "on_rotate"), ("truncates", "on_truncate")):
+            while self.counts[name] < end.get(name, 0):
+                self.counts[name] += 1
+                if hook in self.hooks:
+                    self.hooks[hook](self.counts[name])
+
+
+class Progress(StreamingQueryListener):
+    """Hears of every batch of a follower's query, at any trigger."""
+
+    def __init__(self, follower: Follower):
+        self.follower = follower
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        if event.progress.name == self.follower.name:
+            for source in event.progress.sources:
+                end = source.endOffset
+                self.follower.moved((ast.literal_eval(end) if isinstance(end, str) else end) or {})  # Spark shows the source's offset as Python does
+
+    def onQueryTerminated(self, event) -> None:
+        pass
 
 
 def follow(lines: DataFrame, on_spike: Callable[[dict], None] | None, checkpoint: str, follower: Follower, detector: Detector = Detector(), interval: str = "1 second", available_now: bool = False) -> list[StreamingQuery]:
-    """Starts the query that hands batches of lines to ``follower``, and the alert query if there is a callback for spikes."""
+    """Starts the query that hands batches of lines to ``follower``, and a listener that tells it of rotations, and the alert query if there is a callback for
+    spikes. Alerts go on from ``checkpoint`` after a restart."""
     trigger = {"availableNow": True} if available_now else {"processingTime": interval}
-    out = [lines.writeStream.foreachBatch(follower).option("checkpointLocation", f"{checkpoint}/records").trigger(**trigger).start()]
+    lines.sparkSession.streams.addListener(Progress(follower))
+    out = [lines.select("value").writeStream.queryName(follower.name).foreachBatch(follower).option("checkpointLocation", f"{checkpoint}/records").trigger(**trigger).start()]
     if on_spike:
-        counts = minute_counts(record_stream(lines, **follower.options), f"{follower.delay} seconds")
-        out.append(counts.writeStream.outputMode("append").foreachBatch(Alerts(on_spike, detector)).option("checkpointLocation", f"{checkpoint}/alerts").trigger(**trigger).start())
+        found = alerts(record_stream(lines, **follower.options), detector, follower.delay)
+
+        def call(batch: DataFrame, _: int) -> None:
+            for point in batch.orderBy("epoch").collect():  # alerts are few
+                on_spike(point.asDict())
+
+        out.append(found.writeStream.outputMode("append").foreachBatch(call).option("checkpointLocation", f"{checkpoint}/alerts").trigger(**trigger).start())
     return out
