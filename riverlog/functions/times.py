@@ -11,14 +11,6 @@ from pyspark.sql import functions as F
 
 from ..schema import MONTHS
 
-
-
-def digits(least: int, most: int | None = None) -> str:
-    return rf"\d{{{least}}}" if most is None else rf"\d{{{least},{most}}}"
-
-
-CLOCK_TEXT, DATE_TEXT, ZONE_TEXT = ":".join([digits(2)] * 3), "-".join([digits(4), digits(2), digits(2)]), rf"[+-]{digits(2)}:?{digits(2)}"
-
 # Parts of the time formats, by the letter that stands for them in a layout. A captured part is a group in the order of the layout.
 PARTS = {
     "Y": r"(\d{4})", "m": r"(\d{2})", "d": r"(\d{2})", "D": r"(\d{1,2})", "b": r"([A-Za-z]{3})", "a": r"[A-Za-z]{3}",

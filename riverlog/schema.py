@@ -13,7 +13,7 @@ RECORD = T.StructType(
         T.StructField("bytes", T.LongType()), T.StructField("referer", T.StringType()), T.StructField("ua", T.StringType()),
         T.StructField("duration_ms", T.LongType()), T.StructField("host", T.StringType()), T.StructField("program", T.StringType()),
         T.StructField("pid", T.IntegerType()), T.StructField("pri", T.IntegerType()), T.StructField("facility", T.StringType()),
-        T.StructField("level", T.StringType()), T.StructField("message", T.StringType()), T.StructField("data", T.MapType(T.StringType(), T.StringType())),
+        T.StructField("level", T.StringType()), T.StructField("message", T.StringType()), T.StructField("data", T.MapType(T.StringType(), T.VariantType())),
         T.StructField("raw", T.StringType()),
     ]
 )
