@@ -1,18 +1,18 @@
 """Anomalies of a series: rolling or exponentially weighted baselines, z-scores, severities, merged events.
 
-A series has at most some hundred thousand buckets by the limit on its grid, so its order is one window partition of bounded size; records are
-aggregated before they get here.
+Records are aggregated before they get here. A filled series is limited by its grid, one without gap filling isn't, so all order is by
+blocks of neighbouring buckets (see ``order``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .order import fading_sum, numbered, with_neighbours
+
 SENSITIVITY = {"low": 4.0, "medium": 3.0, "high": 2.0}
 SEVERITY = ((6.0, "critical"), (4.5, "high"), (3.5, "medium"))
 
@@ -48,36 +48,24 @@ def severity(z: Column) -> Column:
     return out.otherwise("low")
 
 
-def _ewma(buckets: DataFrame, d: Detector) -> DataFrame:
-    """mean and sd of the state before each bucket, a fold in order of time."""
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        mean = var = None
-        for rows in batches:
-            means, sds = [], []
-            for v in rows["value"].astype(float):
-                mean, var = (v, 0.0) if mean is None else (mean, var)
-                means.append(mean)
-                sds.append(var**0.5)
-                step = v - mean
-                mean, var = mean + d.alpha * step, (1 - d.alpha) * var + d.alpha * step * step
-            yield rows.assign(mean=means, sd=sds)
+def scores(buckets: DataFrame, d: Detector = Detector()) -> DataFrame:
+    """epoch, label, value, idx, mean, sd, z and direction (null if not flagged) of every bucket with enough history.
 
-    ordered = buckets.repartition(1).sortWithinPartitions("epoch").withColumn("history", F.row_number().over(Window.orderBy("epoch")) - 1)
-    schema = "epoch long, label string, value double, history int, mean double, sd double"
-    return ordered.select("epoch", "label", F.col("value").cast("double").alias("value"), "history").mapInPandas(fold, schema)
+    The buckets are written and numbered first; no window then spans all of them. The exponentially weighted mean and variance are scans of one
+    linear recurrence each: of the values, and of the squared distances to the mean.
+    """
+    rows = numbered(buckets.select("epoch", "label", F.col("value").cast("double").alias("value")), "epoch")
+    if d.method == "rolling":
 
+        def made(order):
+            frame = order.rowsBetween(-d.window, -1)
+            return {"history": F.count("value").over(frame), "mean": F.avg("value").over(frame), "sd": F.coalesce(F.stddev_samp("value").over(frame), F.lit(0.0))}
 
-def scores(buckets: DataFrame, d: Detector = Detector()) -> DataFrame:
-    """epoch, label, value, idx, mean, sd, z and direction (null if not flagged) of every bucket with enough history."""
-    order = Window.orderBy("epoch")
-    if d.method == "rolling":
-        frame = order.rowsBetween(-d.window, -1)
-        value = F.col("value").cast("double")
-        rows = buckets.select("epoch", "label", value.alias("value"), F.count("value").over(frame).alias("history"), F.avg(value).over(frame).alias("mean"), F.coalesce(F.stddev_samp(value).over(frame), F.lit(0.0)).alias("sd"))
+        rows = with_neighbours(rows, d.window, made)
     else:
-        rows = _ewma(buckets, d)
-    rows = rows.withColumn("idx", F.row_number().over(order)).filter(F.col("history") >= d.min_history)
+        rows = fading_sum(rows.withColumn("history", F.col("place")), F.lit(d.alpha) * F.col("value"), 1 - d.alpha, F.col("value"), "mean")
+        rows = fading_sum(rows, F.lit(d.alpha) * F.pow(F.col("value") - F.col("mean"), F.lit(2)), 1 - d.alpha, F.lit(0.0), "var").withColumn("sd", F.sqrt("var"))
+    rows = rows.withColumn("idx", (F.col("place") + 1).cast("int")).filter(F.col("history") >= d.min_history)
     rows = rows.withColumn("z", (F.col("value") - F.col("mean")) / F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0))
     up, down = F.lit(d.mode != "dips") & (F.col("z") >= d.limit), F.lit(d.mode != "spikes") & (F.col("z") <= -d.limit)
     return rows.withColumn("direction", F.when(up, "up").when(down, "down")).select("epoch", "label", "value", "idx", "mean", "sd", "z", "direction")
@@ -96,9 +84,8 @@ def risk(scored: DataFrame) -> DataFrame:
 
 def events(flagged: DataFrame) -> DataFrame:
     """Runs of neighbouring points as one event each: bounds, number of buckets, peak value, peak score and its severity."""
-    island = F.col("idx") - F.row_number().over(Window.orderBy("idx"))
     first = F.max_by("zscore", F.struct(F.abs("zscore"), -F.col("idx"))).alias("peak_z")
-    rows = flagged.withColumn("island", island).groupBy("island").agg(
+    rows = numbered(flagged, "idx").withColumn("island", F.col("idx") - F.col("place")).groupBy("island").agg(
         F.min("epoch").alias("start_epoch"), F.max("epoch").alias("end_epoch"), F.min_by("label", "epoch").alias("start_label"), F.max_by("label", "epoch").alias("end_label"),
         F.count("*").alias("buckets"), F.greatest(F.max("value"), F.lit(0.0)).alias("peak_value"), first,
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 from collections.abc import Iterable, Sequence
 from itertools import islice
@@ -49,6 +50,28 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/riverlog/{name}-{uuid.uuid4().hex}"
 
 
+_KEPT: list[tuple[SparkSession, str]] = []
+
+
+def kept(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` as a table in the shared folder, so that a lost executor costs a reread. The table goes when the driver ends."""
+    spark, path = rows.sparkSession, shared_path(rows.sparkSession, name)
+    if not _KEPT:
+        atexit.register(_forget)
+    _KEPT.append((spark, path))
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+def _forget() -> None:
+    for spark, path in _KEPT:
+        try:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # the session has ended before: its folder is then the cluster's to clean
+            return
+
+
 def spool(spark: SparkSession, lines: Iterable[str], step: int = 100_000) -> DataFrame:
     """(line_no, value) of lines that come from anywhere, such as standard input: ``step`` at a time go to a table in the shared
     folder, so the driver never holds more."""
