@@ -13,6 +13,8 @@ result each; an empty table gives an empty result; an existing column named like
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -115,7 +117,10 @@ def find_marked(texts: list[str | None], tagger: Tagger) -> list[list[tuple[str,
     marked = [t if MARK.search(t) else "" for t in plain]
     for text, more in zip(marked, tagged_spans(marked, tagger), strict=True):
         base = base_spans(text)
-        added = [x for x in more if not any(x[1] < b and a < x[2] for _, a, b in base)]
+        by_start = sorted((a, b) for _, a, b in base)
+        starts, reach = [a for a, _ in by_start], list(accumulate((b for _, b in by_start), max))
+        before = [bisect_left(starts, x[2]) for x in more]  # base spans that begin before the end of each
+        added = [x for x, k in zip(more, before, strict=True) if not k or reach[k - 1] <= x[1]]
         both = [(*x, False) for x in base] + [(*x, True) for x in added]
         out.append(sorted(both, key=lambda x: (x[1], order[x[0]])))
     return out

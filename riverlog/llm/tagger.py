@@ -15,6 +15,10 @@ N_TAGS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
 N_CHARS = 98
 
 
+def _from_top(scores: np.ndarray) -> np.ndarray:
+    return scores - scores.max(-1, keepdims=True)
+
+
 @dataclass(frozen=True)
 class TaggerSettings:
     window: int = 64
@@ -180,15 +184,17 @@ class Tagger:
             on = (t < sizes)[:, None]  # beyond its end a sequence stays as it is
             step = best[:, :, None] + trans
             came[t] = np.where(on, step.argmax(1), np.arange(N_TAGS))
-            best = np.where(on, step.max(1) + u[t], best)
-            a[t] = np.where(on, u[t] + _log_sum(a[t - 1][:, :, None] + trans, 1), a[t - 1])
+            # of each step only the differences between tags matter, so sums are brought back to zero and stay exact in texts of any length
+            best = np.where(on, _from_top(step.max(1) + u[t]), best)
+            a[t] = np.where(on, _from_top(u[t] + _log_sum(a[t - 1][:, :, None] + trans, 1)), a[t - 1])
             back = n - t
-            b[back - 1] = np.where((back < sizes)[:, None], _log_sum(trans + (u[back] + b[back])[:, None, :], 2), 0)
+            b[back - 1] = np.where((back < sizes)[:, None], _from_top(_log_sum(trans + (u[back] + b[back])[:, None, :], 2)), 0)
         tags = np.empty((u.shape[1], n), np.int64)
         tags[:, -1] = best.argmax(1)
         for t in range(n - 1, 0, -1):
             tags[:, t - 1] = np.take_along_axis(came[t], tags[:, t][:, None], 1)[:, 0]
-        return tags, np.exp((a + b)[..., 0] - _log_sum(a[-1], 1)).T
+        both = a + b
+        return tags, np.exp(both[..., 0] - _log_sum(both, 2)).T
 
 
 def luhn(digits: str) -> bool:

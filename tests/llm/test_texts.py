@@ -224,6 +224,38 @@ def test_tagger_adds_what_patterns_miss(spark):
     assert privacy.find_all([prose, None, "", f"{prose} 2024 {prose} 3.14"], t) == [[], [], [], []]
 
 
+@pytest.mark.parametrize("times", [1, 10, 100, 500, 3000])
+def test_added_spans_do_not_depend_on_the_length_of_a_text(spark, times):
+    period = "call (555) 123-4567 or 10.0.0.1 now "
+    (spans,) = privacy.find_marked([period * times], tagger.trained(spark))
+    added = [x for x in spans if x[3]]
+    assert [x[:3] for x in added] == [("phone", 5 + 36 * i, 19 + 36 * i) for i in range(times)]
+    assert sum(not x[3] for x in spans) == times  # the addresses
+
+
+def test_scores_of_long_sequences_are_those_of_short_ones():
+    t, rng = tagger.Tagger(tagger.TaggerSettings()), np.random.default_rng(4)
+    t.p["trans"] = (rng.normal(size=t.p["trans"].shape) * 2).astype(np.float32)
+    one = (rng.normal(size=(50, tagger.N_TAGS)) * 4).astype(np.float32)
+    (tags, outside), (long_tags, long_outside) = t.decode([np.concatenate([one] * 3), np.concatenate([one] * 4000)])
+    middle = long_outside.reshape(4000, 50)[1:-1]
+    assert np.abs(middle - outside[50:100]).max() < 1e-4 and (long_tags.reshape(4000, 50)[1:-1] == tags[50:100]).all()
+
+
+def test_tagger_on_held_out_long_texts(spark):
+    t = tagger.trained(spark)
+    rows, text, spans = tagger.labelled_texts(800, 777, t.s.window), "", []
+    for piece, found in rows:
+        spans += [(k, a + len(text), b + len(text)) for k, a, b in found if a > 0 and b < len(piece)]
+        text += piece + "\n"
+    assert len(text) > 50_000
+    base = privacy.base_spans(text)
+    got = privacy.find_marked([text], t)[0]
+    missed = [x for x in spans if not any(x[1] < b and a < x[2] for _, a, b in base)]  # what the plain patterns don't touch
+    assert len(set(missed) & {x[:3] for x in got if x[3]}) > 0.7 * len(missed)
+    assert len([x for x in got if x[3]]) < 1.4 * len(missed)
+
+
 def test_counts_and_hash_leave_out_added_spans(spark):
     prose = "the ononth ertion of that is and hean thereas " * 4
     text = f"{prose}(555) 123-4567 {prose}ann@b.example {prose}"
