@@ -9,8 +9,8 @@ Reading: archives come as (path, content) rows, as Spark's binaryFile source giv
 record is checked: version line, header block, length, closing blank line and payload digest. After a failed
 check the reader searches for the next gzip member that inflates, or the next version line at which a whole
 record stands, goes on from there, and reports the bytes between as quarantined. Of a damaged or cut member the whole records
-before the damage are read, too. A search doesn't inflate past its first ``LOOK`` bytes what shows no version line there, and no
-member is inflated beyond ``MOST`` bytes; what follows counts as damaged. An archive is one row: larger ones than a task's
+before the damage are read, too. Members are inflated ``CHUNK`` bytes at a time and parsed as they come, whatever their size and wherever in them a
+version line stands; held are the record being read and the ones before it up to ``HOLD`` bytes. An archive is one row: larger ones than a task's
 memory are to be cut at member borders before.
 
 Defined results: null html is an empty payload; a page without id counts as the least id; rows of equal id and payload
@@ -39,7 +39,8 @@ DATE = "2024-01-01T00:00:00Z"
 EMPTY_MEMBER = gzip.compress(b"", mtime=0)
 MEMBER = b"\x1f\x8b\x08"
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
-LOOK, MOST = 1 << 16, 1 << 30
+CHUNK, HOLD = 1 << 20, 1 << 26
+RATIO = 1032  # deflate makes no more bytes out of one
 HEAD_END = re.compile(rb"\r\n(?:(\r\n)|WARC/1\.[01]\r\n)")  # the blank line, or else the next version line
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
@@ -99,15 +100,18 @@ def write_archives(pages: DataFrame, path: str, settings: WarcSettings, scratch:
     rows.mapInPandas(members, "member binary").select(F.col("member").cast("string").alias("value")).write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).text(path)
 
 
-def _parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | None:
-    """Headers, block and end of the record at a place, or None if it fails a check."""
+def _parse(data: bytes | bytearray, at: int, rest: int = 0) -> tuple[dict[str, str], bytes, int] | int | None:
+    """Headers, block and end of the record at a place, or None if it fails a check. Where ``rest`` more bytes may come and are needed to
+    tell, the least number of bytes in all instead."""
     version = VERSION.match(data, at)
-    blank = HEAD_END.search(data, version.end() - 2) if version else None
+    if version is None:
+        return at + 10 if rest and len(data) < at + 10 else None
+    blank = HEAD_END.search(data, version.end() - 2)
     if blank is None or blank[1] is None:
-        return None
+        return len(data) + 1 if rest and blank is None else None
     head_end = blank.start()
     headers: dict[str, str] = {}
-    for line in data[version.end() : head_end].split(b"\r\n"):
+    for line in bytes(data[version.end() : head_end]).split(b"\r\n"):
         if line[:1] in (b" ", b"\t") and headers:  # a folded header goes on
             headers[list(headers)[-1]] += " " + line.strip().decode("utf-8", "replace")
             continue
@@ -119,80 +123,114 @@ def _parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | None:
         return None
     start = head_end + 4
     end = start + int(headers["content-length"])
+    if end + 4 > len(data):
+        return end + 4 if end + 4 - len(data) <= rest else None
     if data[end : end + 4] != b"\r\n\r\n":
         return None
-    block = data[start:end]
+    block = bytes(data[start:end])
     if headers["warc-type"] == "response" and headers.get("warc-payload-digest", "").startswith("sha1:") and headers["warc-payload-digest"][5:] != digest(block.partition(b"\r\n\r\n")[2]):
         return None
     return headers, block, end + 4
 
 
-@dataclass
 class _Member:
-    """What a gzip member holds, as far as it inflates. ends: pairs of bytes written and where reading was then."""
-
-    content: bytes
-    end: int
-    whole: bool
-    ends: list[tuple[int, int]]
-
-    def place_of(self, size: int) -> int:
-        """A place in the archive where at least ``size`` bytes of content have been read."""
-        return self.ends[min(bisect_left(self.ends, (size, 0)), len(self.ends) - 1)][1]
-
-
-def _inflate(data: bytes, at: int, searching: bool) -> _Member | None:
-    """The gzip member at a place, or None if it isn't one."""
-    inflater, out, size, place, ends, seen = zlib.decompressobj(31), [], 0, at, [(0, at)], False
-    step = 4096
-    while not inflater.eof and place < len(data) and size < MOST:
-        before = inflater.copy()
-        try:
-            more = inflater.decompress(data[place : place + step], MOST - size)
-            place = min(place + step, len(data)) - len(inflater.unconsumed_tail)
-        except zlib.error:
-            if step == 1:
-                break
-            inflater, step = before, step // 16  # closer to the damage
-            continue
-        out.append(more)
-        size += len(more)
-        ends.append((size, place))
-        if searching and size >= LOOK and not seen and not (seen := VERSION.search(b"".join(out)) is not None):
-            return None
-    content = b"".join(out)
-    if inflater.eof:
-        return _Member(content, place - len(inflater.unused_data), True, ends)
-    return _Member(content, place, False, ends) if VERSION.match(content) else None
-
-
-def _records(inner: bytes) -> tuple[list[tuple[dict[str, str], bytes]], int]:
-    """The records that stand one after another, and where the last ends."""
-    found, place = [], 0
-    while place < len(inner) and (one := _parse(inner, place)):
-        found.append(one[:2])
-        place = one[2]
-    return found, place
+    """A gzip member that is inflated bit by bit. place: where reading is; over: there is no more; whole: it ended as a member does."""
+
+    def __init__(self, data: bytes, at: int):
+        self.data, self.place, self.step, self.over, self.whole = data, at, 4096, False, False
+        self.inflater = zlib.decompressobj(31)
+
+    @property
+    def rest(self) -> int:
+        return 0 if self.over else (len(self.data) - self.place) * RATIO + CHUNK
+
+    def more(self) -> bytes:
+        while not self.over:
+            feed, before = self.data[self.place : self.place + self.step], self.inflater.copy()
+            try:
+                out = self.inflater.decompress(feed, CHUNK)
+            except zlib.error:
+                if self.step == 1:
+                    self.over = True
+                self.inflater, self.step = before, max(1, self.step // 16)  # closer to the damage
+                continue
+            self.place += len(feed) - len(self.inflater.unused_data if self.inflater.eof else self.inflater.unconsumed_tail)
+            self.over = self.whole = self.inflater.eof
+            if out:
+                return out
+            self.over = self.over or not feed
+        return b""
+
+
+Found = list[tuple[dict[str, str], bytes]]
+
+
+def _read_member(data: bytes, at: int) -> Iterator[tuple[str, Found, int, bool]]:
+    """What a gzip member holds, as (state, records, place, whether it holds other bytes, too): "part" for records that are
+    handed on before its end; then "whole" with the member's end, or "damaged" with a place by which its last record was read."""
+    member, content, pos, begin = _Member(data, at), bytearray(), 0, 0
+    ends, held, size, other, last = [(0, at)], [], 0, False, 0
+
+    def fill(upto: int) -> None:
+        while len(content) < upto and not member.over:
+            content.extend(member.more())
+            ends.append((begin + len(content), member.place))
+
+    while True:
+        fill(pos + 10)
+        if pos >= len(content):
+            break
+        found = _parse(content, pos, member.rest)
+        while isinstance(found, int):
+            fill(found)
+            found = _parse(content, pos, member.rest)
+        if found:
+            held.append(found[:2])
+            size += len(found[1])
+            pos, last = found[2], begin + found[2]
+            if size > HOLD:
+                yield "part", held, member.place, other
+                held, size = [], 0
+        else:  # on to the next version line
+            other, pos = True, pos + 1
+            while (version := VERSION.search(content, pos)) is None and not member.over:
+                pos = max(pos, len(content) - 9)
+                del content[:pos]
+                begin, pos = begin + pos, 0
+                fill(len(content) + 1)
+            pos = version.start() if version else len(content)
+        if pos > CHUNK:
+            del content[:pos]
+            begin, pos = begin + pos, 0
+    if member.whole:
+        yield "whole", held, member.place, other
+    else:
+        yield "damaged", held, ends[min(bisect_left(ends, (last, 0)), len(ends) - 1)][1], other
 
 
 def salvage(data: bytes) -> Iterator[tuple[str, int, int, dict[str, str] | None, bytes]]:
     """("record" or "gap", start, end, headers, block) in order of place; gaps are the quarantined bytes. Offsets are
-    those of the archive as stored; a record has those of its member, or of the readable part of a damaged one."""
+    those of the archive as stored; a record has those of its member, or of the part of it that was read by then."""
     at, gap = 0, None
+    next_member = next_version = -1  # the first ones after ``at``, searched anew only when passed
     while at < len(data):
-        found: list[tuple[dict[str, str], bytes]] = []
-        end, gap_from = None, None
+        found: Found = []
+        end, gap_from, passed = None, None, False
         if data.startswith(MEMBER, at):
-            member = _inflate(data, at, gap is not None)
-            if member is not None:
-                found, place = _records(member.content)
-                if member.whole:
-                    end = member.end
-                    if place < len(member.content):  # what the member holds beyond is searched for version lines
-                        found += [(h, b) for kind, _, _, h, b in salvage(member.content[place:]) if kind == "record"]
+            for state, found, place, other in _read_member(data, at):
+                if state == "part":
+                    if gap is not None:
+                        yield "gap", gap, at, None, b""
+                        gap = None
+                    passed = True
+                    for headers, block in found:
+                        yield "record", at, place, headers, block
+                elif state == "whole":
+                    end = place
+                    if other:
                         gap = at if gap is None else gap
-                elif found:  # read up to the damage; the next member may begin before the place where inflating failed
-                    gap_from = member.place_of(place)
+                elif found or passed:  # read up to the damage; the next member may begin before the place where inflating failed
+                    gap_from = place
         elif one := _parse(data, at):
             found, end = [one[:2]], one[2]
         if end is None and gap_from is None:
@@ -204,8 +242,13 @@ def salvage(data: bytes) -> Iterator[tuple[str, int, int, dict[str, str] | None,
             yield "record", at, end or gap_from, headers, block
         if end is None:
             gap = gap_from if gap_from is not None else gap
-            member_at, version = data.find(MEMBER, at + 1), VERSION.search(data, at + 1)
-            at = min([p for p in (member_at, version.start() if version else -1) if p >= 0], default=len(data))
+            if next_member <= at:
+                next_member = data.find(MEMBER, at + 1)
+                next_member = len(data) if next_member < 0 else next_member
+            if next_version <= at:
+                version = VERSION.search(data, at + 1)
+                next_version = version.start() if version else len(data)
+            at = min(next_member, next_version)
             gap = min(gap, at)
         else:
             at = end

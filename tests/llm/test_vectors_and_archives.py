@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import math
+import time
 
 import numpy as np
 import pytest
@@ -179,14 +180,48 @@ def test_damaged_and_cut_members_give_the_records_before_the_damage():
     assert len(gaps) == 1 and 0 < gaps[0][1] < gaps[0][2] == len(cut)
 
 
-def test_folded_headers_and_bombs(monkeypatch):
+def test_folded_headers_and_bombs():
     folded = RECORDS[0].replace(b"WARC-Date: ", b"WARC-Note: one\r\n  two\r\nWARC-Date: ")
     assert [h["warc-note"] for *_, h, _ in warc.salvage(folded)] == ["one two"]
-    monkeypatch.setattr(warc, "MOST", 1 << 20)
     bomb = gzip.compress(bytes(1 << 24), mtime=0)
     assert ids(b"x" + bomb * 3 + gzip.compress(RECORDS[1], mtime=0)) == [warc.record_id(1)]
 
 
+def test_junk_of_any_length_before_the_first_version_line():
+    names = [warc.record_id(i) for i in (0, 1)]
+    for junk in (b"j" * 200_000, b"WARC/1.1\r\n" * 20_000, bytes(3_000_000)):
+        member = gzip.compress(junk + RECORDS[0] + RECORDS[1], mtime=0)
+        assert ids(member) == names and ids(b"damage" + member) == names and ids(member[:-9]) == names
+        assert [x[0] for x in found(b"damage" + member)] == ["gap", "record", "record"]
+
+
+def test_members_larger_than_what_is_held(monkeypatch):
+    monkeypatch.setattr(warc, "HOLD", 100_000)
+    monkeypatch.setattr(warc, "CHUNK", 5_000)
+    many = [warc.record(i, f"http://p/{i}", f"page {i} ".encode() * 500, None, False) for i in range(200)]
+    names = [warc.record_id(i) for i in range(200)]
+    member = gzip.compress(b"".join(many), mtime=0)
+    assert ids(member) == names and not [x for x in found(member) if x[0] == "gap"]
+    assert ids(b"??" + member + gzip.compress(RECORDS[1], mtime=0)) == [*names, names[1]]
+    assert [x[:3] for x in found(b"??" + member)][0] == ("gap", 0, 2)
+    hurt = gzip.compress(b"".join([*many[:150], b"between", *many[150:]]), mtime=0)
+    assert ids(hurt) == names and [x[0] for x in found(hurt)].count("gap") == 1
+    big = warc.record(5, "http://p/5", bytes(3_000_000), None, False)
+    assert ids(gzip.compress(many[0] + big + many[1], mtime=0)) == [names[0], names[5], names[1]]
+
+
+def test_false_version_lines_take_linear_time():
+    false = b"WARC/1.1\r\n" + b"x" * 30 + b"\r\n"
+    data = false * (2_000_000 // len(false))
+    start = time.process_time()
+    assert ids(data + RECORDS[0]) == [warc.record_id(0)] and ids(gzip.compress(data + RECORDS[0])) == [warc.record_id(0)]
+    magic = (b"\x1f\x8b\x08" + b"y" * 40) * 20_000
+    assert ids(magic + RECORDS[1]) == [warc.record_id(1)]
+    claims = b"".join(b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: %d\r\n\r\n" % (10**12 + i) for i in range(20_000))
+    assert ids(gzip.compress(claims + RECORDS[2])) == [warc.record_id(2)] and ids(claims + RECORDS[2]) == [warc.record_id(2)]
+    assert time.process_time() - start < 20
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_gives_the_rows_of_its_sql(spark, name):
     assert assert_same(queries.queries()[name](spark, AT), AT, queries.oracle_sql()[name])
