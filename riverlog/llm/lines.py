@@ -1,11 +1,11 @@
 """Operator 2: substring dedup by line or paragraph hashing.
 
-Texts are cut into lines, those again at sentence ends (so that a passage inside a longer line is found), or into
-paragraphs. Units are normalised (A-Z lower-cased, runs of blanks as one space, outer blanks dropped), and every unit with a
-word is grouped by 128-bit digest over the whole corpus. The earliest occurrence by (doc_id, place) stays. Later ones go
-where they make a passage: a run of neighbouring later occurrences of at least ``run_words`` words, as single short
-lines and sentences repeat by chance and in clean texts; ``run_words`` 1 removes every later occurrence. Original offsets are kept.
-Digests are counted with partial sums; only repeated ones meet the units again, in a join that splits hot digests.
+Texts are cut into lines, or into paragraphs. Units are normalised (A-Z lower-cased, runs of blanks as one space, outer blanks dropped), and
+every unit with a word is grouped by 128-bit digest over the whole corpus. The earliest occurrence by (doc_id, place) stays, all later ones go. Original
+offsets are kept. Two options find passages and spare chance repeats: ``unit="sentence"`` cuts lines again at sentence ends, so that a passage inside a
+longer line is found, and ``run_words`` over 1 removes later occurrences only where neighbouring ones hold so many words together.
+Digests are counted with partial sums; only repeated ones meet the units again, in a join that splits hot digests. Equal rows are counted
+before they meet, so a row that is repeated any number of times goes to no single task.
 
 Defined results: a null text has no units; units without a word are never removed and don't end a run; rows without id
 come first; rows that share an id are ranked by a hash of their text; of equal rows one is the earliest, the others are later
@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, parts, read_table, with_row_key
@@ -33,8 +33,8 @@ UNITS = {"line": r"[^\n]+\n?|\n", "sentence": r"[^\n.!?]+[.!?]*\n?|[.!?]+\n?|\n"
 
 @dataclass(frozen=True)
 class LineSettings:
-    unit: str = "sentence"
-    run_words: int = 20
+    unit: str = "line"
+    run_words: int = 1
 
 
 def _words(unit: str) -> list[bytes]:
@@ -107,9 +107,11 @@ def remove_repeated_units(docs: DataFrame, settings: LineSettings = LineSettings
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, out, kinds)], ["has_id", "doc_id", "n_units", "n_removed", "removed_chars", "kept", "spans"])
 
-    joined = marked.join(spans, key, "left")
-    copy = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(1))) if copies else F.lit(1)
-    out = joined.select("has_id", "doc_id", "text", "later", copy.alias("copy")).mapInArrow(removed, "has_id boolean, doc_id long, n_units long, n_removed long, removed_chars long, kept string, spans array<struct<start:int,`end`:int>>")
+    if copies:  # equal rows as one, then as many again: the first keeps its units, of the others all are later
+        counted = marked.groupBy(*key).agg(F.max("text").alias("text"), F.count("*").alias("n")).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+    else:
+        counted = marked.withColumn("copy", F.lit(1))
+    out = counted.join(spans, key, "left").select("has_id", "doc_id", "text", "later", "copy").mapInArrow(removed, "has_id boolean, doc_id long, n_units long, n_removed long, removed_chars long, kept string, spans array<struct<start:int,`end`:int>>")
     return out.select(F.when(F.col("has_id"), F.col("doc_id")).alias("doc_id"), "n_units", "n_removed", "removed_chars", "kept", "spans")
 
 
@@ -121,19 +123,14 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP2_SQL = r"""
 WITH cut AS (
-  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\n.!?]+[.!?]*\n?|[.!?]+\n?|\n') AS parts FROM documents),
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\n]+\n?|\n') AS parts FROM documents),
 numbered AS (
   SELECT doc_id, unnest(parts) AS unit, generate_subscripts(parts, 1) AS place FROM cut),
 placed AS (
   SELECT *, coalesce(sum(length(unit)) OVER (PARTITION BY doc_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start,
     trim(regexp_replace(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g')) AS normal FROM numbered),
-known AS (
-  SELECT *, normal <> '' AS has_word, CASE WHEN normal <> '' THEN length(normal) - length(replace(normal, ' ', '')) + 1 END AS words,
-    normal <> '' AND row_number() OVER (PARTITION BY normal ORDER BY doc_id, place) > 1 AS later FROM placed),
-counted AS (
-  SELECT *, row_number() OVER (PARTITION BY doc_id, has_word ORDER BY place) - row_number() OVER (PARTITION BY doc_id, has_word, later ORDER BY place) AS island FROM known),
 judged AS (
-  SELECT *, later AND sum(words) OVER (PARTITION BY doc_id, has_word, later, island) >= 20 AS gone FROM counted)
+  SELECT *, normal <> '' AND row_number() OVER (PARTITION BY normal ORDER BY doc_id, place) > 1 AS gone FROM placed)
 SELECT d.doc_id, count(j.place)::BIGINT AS n_units, count(*) FILTER (j.gone)::BIGINT AS n_removed,
   coalesce(sum(length(j.unit)) FILTER (j.gone), 0)::BIGINT AS removed_chars,
   sha256(coalesce(string_agg(j.unit, '' ORDER BY j.place) FILTER (NOT j.gone), '')) AS kept_sha256,

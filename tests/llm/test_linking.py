@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from riverlog.llm import lines, neardup, substrings
 
@@ -107,9 +108,9 @@ def test_windows_of_odd_rows(odd, odd_documents, no_documents):
 def test_passages_inside_other_lines_go_but_for_the_first(spark):
     passage = "Here is one long sentence that stands in many places. And a second sentence of it follows on."
     rows = [(i, f"Own words number {i} are here at first. {passage} Own words number {i} are here at last.", "s") for i in range(5)]
-    got = {r["doc_id"]: r for r in lines.remove_repeated_units(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    got = {r["doc_id"]: r for r in lines.remove_repeated_units(spark.createDataFrame(rows, "doc_id long, text string, source string"), lines.LineSettings(unit="sentence", run_words=20)).collect()}
     assert [got[i]["n_removed"] for i in range(5)] == [0, 0, 0, 0, 0]  # two sentences of 18 words are no passage yet
-    got = {r["doc_id"]: r for r in lines.remove_repeated_units(spark.createDataFrame(rows, "doc_id long, text string, source string"), lines.LineSettings(run_words=15)).collect()}
+    got = {r["doc_id"]: r for r in lines.remove_repeated_units(spark.createDataFrame(rows, "doc_id long, text string, source string"), lines.LineSettings(unit="sentence", run_words=15)).collect()}
     assert [got[i]["n_removed"] for i in range(5)] == [0, 2, 2, 2, 2]
     for i in range(1, 5):
         assert "".join(rows[i][1][s["start"] : s["end"]] for s in got[i]["spans"]).strip() == passage
@@ -129,13 +130,20 @@ def test_lines_of_odd_rows(odd, odd_documents, no_documents):
     assert lines.remove_repeated_units(odd, lines.LineSettings(unit="paragraph")).count() == len(odd_documents)
 
 
-def test_every_later_line_goes_with_runs_of_one_word(spark):
+def test_every_later_line_goes(spark):
     rows = [(1, "all rights reserved.\nown one\n"), (2, "own two\nAll  rights reserved.\n"), (3, "own three"), (3, "own three"), (None, "own three"), (None, "OWN two")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted((str(r["doc_id"]), r["kept"]) for r in lines.remove_repeated_units(docs, lines.LineSettings(unit="line", run_words=1)).collect())
+    got = sorted((str(r["doc_id"]), r["kept"]) for r in lines.remove_repeated_units(docs).collect())
     assert got == [("1", "all rights reserved.\nown one\n"), ("2", ""), ("3", ""), ("3", ""), ("None", "OWN two"), ("None", "own three")]
 
 
+def test_later_paragraphs_go(spark):
+    rows = [(1, "one a\none b\n\ntwo\n\n\nthree"), (2, "two\n\nOne  A\none b\n\nown"), (3, "one a\n\none b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("p", "print", "later", "copy", "number")})
+    got = {r["doc_id"]: (r["kept"], [tuple(s) for s in r["spans"]]) for r in lines.remove_repeated_units(docs, lines.LineSettings(unit="paragraph")).collect()}
+    assert got == {1: (rows[0][1], []), 2: ("own", [(0, 5), (5, 19)]), 3: (rows[2][1], [])}
+
+
 def test_one_of_equal_rows_is_the_earliest(spark):
     rows = [(1, "this is a passage of words " * 5)] * 3 + [(2, "this is a passage of words " * 5)]
     got = sorted((r["doc_id"], len(r["kept"])) for r in lines.remove_repeated_units(spark.createDataFrame(rows, "doc_id long, text string")).collect())
