@@ -17,7 +17,7 @@ from . import __version__
 from .operators import anomaly, parse, series, stats
 from .operators.filters import NAMES, RecordFilter
 from .session import get_session
-from .sources import export, report
+from .sources import document, export, report
 from .sources.lines import read_lines, shared_path, spool
 from .streaming import follow
 
@@ -186,13 +186,18 @@ def run(a: argparse.Namespace, spark: SparkSession) -> Iterable[str]:
         return [export.write_file(a.output, text) or ""]
     if a.command == "export":
         fields = [a.fields.split(",")] if a.fields else []
-        makers = {"json": lambda: export.json_lines(records, not a.compact), "ndjson": lambda: export.ndjson_lines(records), "csv": lambda: export.csv_lines(records, *fields)}
+        ordered = records.orderBy("line_no")
+        makers = {"json": lambda: export.json_lines(ordered, not a.compact), "ndjson": lambda: export.ndjson_lines(ordered), "csv": lambda: export.csv_lines(ordered, *fields)}
         if a.format not in makers:
             raise ValueError(f"unknown export format '{a.format}'; known are {', '.join(makers)}")
         if a.output == "-":
             return makers[a.format]()
-        if "://" in a.output and a.format != "json":  # a folder that Spark writes, each task its part
-            (export.write_ndjson(records, a.output) if a.format == "ndjson" else export.write_csv(records, a.output, *fields))
+        if "://" in a.output or a.output.startswith("file:"):
+            if a.format == "json" or a.output.endswith(f".{a.format}"):  # one file, joined from the tasks' parts
+                one = {"json": lambda: document.write_json_document(ordered, a.output, not a.compact), "ndjson": lambda: document.write_ndjson_document(ordered, a.output), "csv": lambda: document.write_csv_document(ordered, a.output, *fields)}
+                one[a.format]()
+            else:  # a folder, each task its file
+                (export.write_ndjson(records, a.output) if a.format == "ndjson" else export.write_csv(records, a.output, *fields))
             return []
         export.write_parts(a.output, makers[a.format]())
         return []

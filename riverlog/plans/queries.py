@@ -13,7 +13,7 @@ from ..functions.agents import classify
 from ..operators import anomaly, parse, series, stats
 from ..operators.filters import RecordFilter, any_of
 from ..schema import JSON_KEYS
-from ..sources import export, lines
+from ..sources import document, export, lines
 from ..streaming import follow
 from .logview import AGENTS, REFERERS, log_lines, log_view
 
@@ -478,6 +478,25 @@ def syslog_rollover(spark, sf_dir):
     return rows.select((F.col("event_id") + 1).alias("line_no"), times.syslog_epoch(F.date_format("ts", "MMM d HH:mm:ss"), NOW).alias("epoch"))
 
 
+@_query("export_json_document", f"""{LOG} SELECT line_no, type, status, bytes, (SELECT count(*) FROM log) AS n, row_number() OVER (ORDER BY line_no) AS place FROM log""")
+def export_json_document(spark, sf_dir):
+    """Records as one JSON document that tasks wrote, read back: each record, its place in the file, and the count in the head."""
+    path = f"{lines.shared_path(spark, 'document')}/records.json"
+    document.write_json_document(log_view(spark, sf_dir).select("line_no", "type", "status", "bytes").repartitionByRange(6, "line_no").sortWithinPartitions("line_no"), path)
+    whole = spark.read.schema("meta struct<count:long,format:string>, records array<struct<line_no:long,type:string,status:int,bytes:long>>").option("multiLine", True).json(path)
+    rows = whole.select("meta.count", F.posexplode("records").alias("at", "r"))
+    return rows.select("r.line_no", "r.type", "r.status", "r.bytes", F.col("count").alias("n"), (F.col("at") + 1).cast("long").alias("place"))
+
+
+@_query("export_csv_document", f"""{LOG}, f AS (SELECT line_no + 1 AS place, concat_ws(',', line_no, type, CASE WHEN contains(ua, ',') THEN concat('"', ua, '"') ELSE ua END, bytes) AS row FROM log)
+  SELECT 1 AS place, 'line_no,type,ua,bytes' AS row UNION ALL SELECT row_number() OVER (ORDER BY place) + 1, row FROM f""")
+def export_csv_document(spark, sf_dir):
+    """Records as one CSV file: its lines, the header once and first."""
+    path = f"{lines.shared_path(spark, 'document')}/records.csv"
+    document.write_csv_document(log_view(spark, sf_dir).repartitionByRange(6, "line_no").sortWithinPartitions("line_no"), path, ["line_no", "type", "ua", "bytes"])
+    return lines.read_lines(spark, path).select(F.col("line_no").alias("place"), F.col("value").alias("row"))
+
+
 # --- files, further filters, fields and helpers ---
 
 

@@ -51,15 +51,21 @@ def ndjson_lines(rows: DataFrame) -> Iterator[str]:
     yield from (f"{r[0]}\n" for r in rows.select(json_row(rows)).toLocalIterator())
 
 
+def document_frame(count: int, pretty: bool) -> tuple[str, str]:
+    """What comes before and after the records of a JSON document."""
+    head, tail = _dump({"meta": {"count": count, "format": "records"}, "records": []}, pretty).rsplit("[]", 1)
+    return head + "[", ("\n   ]" if pretty and count else "]") + tail
+
+
 def json_lines(rows: DataFrame, pretty: bool = True) -> Iterator[str]:
     """One JSON document, in the form that ``records_to_json`` has, a record at a time; records are counted first."""
-    head, tail = _dump({"meta": {"count": rows.count(), "format": "records"}, "records": []}, pretty).rsplit("[]", 1)
+    head, tail = document_frame(rows.count(), pretty)
     first = True
     for r in rows.select(json_row(rows)).toLocalIterator():
         one = _dump(json.loads(r[0]), pretty).rstrip("\n")
-        yield (head + "[" if first else ",") + ("\n" + textwrap.indent(one, " " * 6) if pretty else one)
+        yield (head if first else ",") + ("\n" + textwrap.indent(one, " " * 6) if pretty else one)
         first = False
-    yield head + "[]" + tail if first else ("\n   ]" if pretty else "]") + tail
+    yield (head if first else "") + tail
 
 
 def records_to_csv(rows: DataFrame, fields: Sequence[str] = EXPORT_FIELDS) -> str:

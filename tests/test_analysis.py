@@ -16,7 +16,7 @@ from riverlog.__main__ import main
 from riverlog.operators import anomaly, series, stats
 from riverlog.operators.filters import RecordFilter, any_of
 from riverlog.schema import RECORD
-from riverlog.sources import export, report
+from riverlog.sources import document, export, report
 from riverlog.sources.lines import spool
 from riverlog.streaming import follow
 
@@ -286,3 +286,37 @@ def test_exports_to_files_and_folders(spark, log_file, tmp_path, capsys):
     assert main(["export", "--format", "csv", "--output", f"file://{tmp_path}/many", log_file]) == 0
     got = [x for f in (tmp_path / "many").glob("part-*") for x in f.read_text().splitlines()[1:]]
     assert sorted(got) == sorted(want.splitlines()[1:])
+
+
+@pytest.mark.parametrize("form", ["json", "ndjson", "csv"])
+def test_one_file_of_many_tasks_is_what_the_terminal_shows(spark, log_file, tmp_path, capsys, form):
+    assert main(["export", "--format", form, log_file]) == 0
+    want = capsys.readouterr().out
+    for _ in range(2):  # the second replaces the first
+        assert main(["export", "--format", form, "--output", f"file://{tmp_path}/out.{form}", log_file]) == 0
+        assert (tmp_path / f"out.{form}").read_text() == want
+    assert [f.name for f in tmp_path.iterdir() if f.name.startswith("out")] == [f"out.{form}"]
+
+
+def test_documents_of_nothing_and_of_jobs_that_fail(spark, tmp_path):
+    rows = spark.range(0, 40, 1, 8).select(F.col("id").alias("line_no"), F.lit("json").alias("type"))
+    for some in (rows, rows.filter("line_no = 17"), rows.filter("line_no < 0"), spark.createDataFrame([], rows.schema)):
+        for pretty in (True, False):
+            document.write_json_document(some, f"file://{tmp_path}/d.json", pretty)
+            assert (tmp_path / "d.json").read_text() == export.records_to_json(some, pretty)
+    failing = rows.withColumn("type", F.when(F.col("line_no") == 39, F.raise_error(F.lit("no"))).otherwise("json"))
+    with pytest.raises(PySparkException):
+        document.write_json_document(failing, f"file://{tmp_path}/never.json")
+    assert [f.name for f in tmp_path.iterdir() if f.name.startswith("never")] == []
+
+
+def test_parts_of_lost_attempts_are_left_out(tmp_path):
+    writer = document.DocumentWriter(f"file://{tmp_path}/x.csv", "lines", "a,b", True)
+    folder = tmp_path / writer.parts.rpartition("/")[2]
+    folder.mkdir()
+    made = []
+    for name, text in (("00000001-x", "late\n"), ("00000000-y", "lost\n"), ("00000000-z", "first\n")):
+        (folder / name).write_text(text)
+        made.append(document.Part(int(name[:8]), 1, str(folder / name)))
+    writer.commit([made[0], None, made[2]])
+    assert (tmp_path / "x.csv").read_text() == "a,b\nfirst\nlate\n" and [f.name for f in tmp_path.iterdir()] == ["x.csv"]
