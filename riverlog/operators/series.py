@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import is_error, num_text, size_text
+from ..functions.text import human_num, human_size, is_error, num_text, size_text
 from ..functions.times import bucket_label
 from ..schema import UNIT_SECONDS
+from .order import numbered
 from .stats import epoch_of
 
 MAX_BUCKETS = 200_000
@@ -95,3 +96,37 @@ def ascii_chart(buckets: list[dict], rows: int = 48, bar_width: int = 42, value:
     wide = max(len(x["label"]) for x in buckets)
     show = size_text if value == "bytes" else num_text
     return "\n".join(f"{x['label']:<{wide}}  {bar(x['value'], most, bar_width):<{bar_width}}  {show(x['value']):>8}" for x in buckets)
+
+
+def _strided(buckets: DataFrame, width: int, made: Column) -> DataFrame:
+    """at, label, value of ``width`` runs of neighbouring buckets as even as whole numbers allow, or of the buckets if they are no more. A run's
+    bounds are those of ``_strides``; the buckets are numbered by range partitions."""
+    rows = numbered(buckets.select("epoch", "label", "value"), "epoch")
+    if (count := rows.count()) <= width:
+        return rows.select(F.col("place").alias("at"), "label", "value")
+    step = count / width
+    guess = F.floor(F.col("place") / step)  # may be off by one, as a run starts at a whole number
+    start = lambda k: F.floor(k * step)
+    at = F.when(F.col("place") < start(guess), guess - 1).when(F.col("place") >= start(guess + 1), guess + 1).otherwise(guess)
+    return rows.groupBy(at.alias("at")).agg(F.min_by("label", "place").alias("label"), made.alias("value"))
+
+
+def chart_rows(buckets: DataFrame, rows: int = 48, bar_width: int = 42, value: str = "count") -> DataFrame:
+    """row, label, value, line: the lines of ``ascii_chart`` as rows, for any number of buckets."""
+    drawn = _strided(buckets, rows, F.sum("value"))
+    most, wide = (F.max(c).over(Window.partitionBy()) for c in ("value", F.length("label")))  # at most ``rows`` of them
+    drawn = drawn.withColumns({"_most": F.coalesce(F.nullif(most, F.lit(0)), F.lit(1)), "_wide": wide})
+    size = F.greatest(F.floor(F.col("value") / F.col("_most") * bar_width + 0.5), F.when(F.col("value") > 0, 1).otherwise(0)).cast("int")
+    bars = F.when(F.col("_most") > 0, F.repeat(F.lit("#"), size)).otherwise("")
+    shown = (human_size if value == "bytes" else human_num)(F.col("value"))
+    line = F.concat(F.rpad("label", F.col("_wide"), F.lit(" ")), F.lit("  "), F.rpad(bars, F.lit(bar_width), F.lit(" ")), F.lit("  "), F.when(F.length(shown) >= 8, shown).otherwise(F.lpad(shown, 8, " ")))
+    return drawn.select(F.col("at").cast("int").alias("row"), "label", "value", line.alias("line"))
+
+
+def spark_marks(buckets: DataFrame, width: int) -> DataFrame:
+    """at, value, mark: the characters of ``sparkline`` as rows, for any number of buckets."""
+    drawn = _strided(buckets, width, F.max("value"))
+    low, high = (f("value").over(Window.partitionBy()) for f in (F.min, F.max))  # at most ``width`` of them
+    drawn = drawn.withColumns({"_low": low, "_span": F.coalesce(F.nullif(high, F.lit(0)), F.lit(1)) - low})
+    level = F.when(F.col("_span") > 0, (F.col("value") - F.col("_low")) / F.col("_span")).otherwise(0.0)
+    return drawn.select(F.col("at").cast("int").alias("at"), "value", F.substring(F.lit(BLOCKS), F.floor(level * 8 + 0.5).cast("int") + 1, F.lit(1)).alias("mark"))

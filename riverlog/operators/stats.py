@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.agents import classify
 from ..functions.text import is_error, num_text, size_text, status_class
 from ..functions.times import iso_text
+from .ranks import percentiles
 
 DIMENSIONS = {"ip": "ip", "url": "path", "referer": "referer", "ua": "ua", "method": "method", "level": "level", "host": "host", "user": "user", "program": "program", "facility": "facility"}
 AGENT_DIMENSIONS = ("browser", "os", "device", "kind")
@@ -47,14 +48,16 @@ def peak(records: DataFrame, seconds: int) -> DataFrame:
 
 
 def overview(records: DataFrame) -> DataFrame:
-    """One row of totals."""
-    not_empty = lambda c: F.when(F.col(c) != "", F.col(c))
+    """One row of totals. Distinct addresses, paths and agents are the numbers of their counts by key, so the totals need no copies of the rows."""
     rows = records.agg(
         F.count("*").alias("total"), F.count_if(is_error(F.col("status"), F.col("level"))).alias("errors"),
         F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes_total"), F.coalesce(F.max("bytes"), F.lit(0)).alias("bytes_max"),
-        F.count_distinct(not_empty("ip")).alias("uniq_ips"), F.count_distinct(not_empty("path")).alias("uniq_urls"), F.count_distinct(not_empty("ua")).alias("uniq_uas"),
         F.min(epoch_of(F.col("ts"))).alias("first_ts"), F.max(epoch_of(F.col("ts"))).alias("last_ts"),
     )
+    names = {"ip": "uniq_ips", "url": "uniq_urls", "ua": "uniq_uas"}
+    keys = dimension_counts(records, tuple(names)).filter("key != ''").agg(*[F.count_if(F.col("dim") == d).alias(name) for d, name in names.items()])
+    both = rows.unionByName(keys, allowMissingColumns=True)  # two rows as one
+    rows = both.agg(*[F.max(c).alias(c) for c in both.columns])
     span = F.coalesce(F.col("last_ts") - F.col("first_ts"), F.lit(0))
     rows = rows.withColumns({"span_seconds": span, "bytes_avg": F.when(F.col("total") > 0, F.floor(F.col("bytes_total") / F.col("total"))).otherwise(0), "error_rate": F.when(F.col("total") > 0, F.col("errors") * 100.0 / F.col("total")).otherwise(0.0)})
     return rows.withColumn("rps_avg", F.when(F.col("span_seconds") > 0, F.col("total") / F.col("span_seconds")).otherwise(0.0))
@@ -110,12 +113,12 @@ def days(records: DataFrame) -> DataFrame:
 
 
 def durations(records: DataFrame) -> DataFrame:
-    """count, avg, p50, p95, p99 (rounded half up) and max over all durations."""
-    ms = F.col("duration_ms")
-    q = F.percentile(ms, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    rows = records.filter(ms.isNotNull()).agg(F.count("*").alias("count"), F.avg(ms).alias("avg"), q.alias("q"), F.max(ms).alias("max"))
+    """count, avg, p50, p95, p99 (rounded half up) and max over all durations; the percentiles are narrowed by counts (see ``ranks``)."""
+    rows = records.filter("duration_ms is not null").select("duration_ms")
+    n, avg, most = rows.agg(F.count("*"), F.avg("duration_ms"), F.max("duration_ms")).first()
     half_up = lambda c: F.floor(c + 0.5)
-    return rows.select("count", "avg", *[half_up(F.col("q")[i]).alias(p) for i, p in enumerate(("p50", "p95", "p99"))], "max")
+    q = percentiles(rows, "duration_ms", (50, 95, 99))
+    return q.select(F.col("n").alias("count"), F.lit(avg).cast("double").alias("avg"), *[half_up(F.col("q")[i]).alias(p) for i, p in enumerate(("p50", "p95", "p99"))], F.lit(most).cast("long").alias("max"))
 
 
 def latency_by_path(records: DataFrame, n: int = 10, window: int = LATENCY_WINDOW) -> DataFrame:

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions import times
 from ..functions.agents import classify
-from ..operators import anomaly, parse, series, stats
+from ..operators import anomaly, parse, series, sketches, stats
 from ..operators.filters import RecordFilter, any_of
+from ..operators.ranks import percentiles
 from ..schema import JSON_KEYS
 from ..sources import document, export, lines
 from ..streaming import follow
@@ -207,6 +208,20 @@ def top_dimensions(spark, sf_dir):
     return stats.top_dimensions(log_view(spark, sf_dir), 5, ["ip", "url", "host", "user"]).select("dim", "rank", "key", "n")
 
 
+@_query("top_by_sketch", SQL["top_dimensions"].replace("rank, key, n FROM d", "rank, key, n, bytes FROM d").replace("count(*) AS n FROM log", "count(*) AS n, CAST(sum(bytes) AS BIGINT) AS bytes FROM log"))
+def top_by_sketch(spark, sf_dir):
+    """Lists of few keys, exact by the sketch, and of many alike ones, counted in full."""
+    return sketches.top_by_sketch(log_view(spark, sf_dir), 5, ["ip", "url", "host", "user"])
+
+
+@_query("distinct_by_sketch", f"{LOG} SELECT 'ip' AS dim, count(DISTINCT ip) AS n, true AS near FROM log UNION ALL SELECT 'url', count(DISTINCT path), true FROM log UNION ALL SELECT 'ua', count(DISTINCT ua), true FROM log")
+def distinct_by_sketch(spark, sf_dir):
+    """Exact distinct counts, and whether the sketches of all days together come within three percent."""
+    records = log_view(spark, sf_dir)
+    exact, near = sketches.distinct_counts(records), sketches.distinct_estimates(sketches.distinct_sketches(records))
+    return exact.join(near, "dim").select("dim", "n", (F.abs(F.col("estimate") - F.col("n")) <= F.greatest(F.lit(1.0), 0.03 * F.col("n"))).alias("near"))
+
+
 @_query("days", f"{LOG} SELECT strftime(t, '%Y-%m-%d') AS day, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS bytes FROM log GROUP BY 1")
 def days(spark, sf_dir):
     return stats.days(log_view(spark, sf_dir))
@@ -242,6 +257,17 @@ def durations(spark, sf_dir):
     return stats.durations(log_view(spark, sf_dir)).withColumn("avg", F.round("avg", 6))
 
 
+# A column of doubles that are all distinct, over many powers of ten.
+SPREAD = "(ms + 1) * power(10, event_id % 9 - 4) + event_id * 1e-9::DOUBLE"
+
+
+@_query("percentiles_of_distinct_values", f"{LOG} SELECT count(*) AS n, " + ", ".join(f"quantile_cont({SPREAD}, {p / 100}) AS p{i}" for i, p in enumerate((0, 1, 50, 95, 99.9, 100))) + " FROM log")
+def percentiles_of_distinct_values(spark, sf_dir):
+    rows = log_view(spark, sf_dir).withColumn("v", (F.col("duration_ms") + 1) * F.pow(F.lit(10.0), F.col("event_id") % 9 - 4) + F.col("event_id") * 1e-9)
+    found = percentiles(rows, "v", (0, 1, 50, 95, 99.9, 100), fan=64, few=100)
+    return found.select("n", *[F.col("q")[i].alias(f"p{i}") for i in range(6)])
+
+
 @_query("latency_by_path", f"{LOG}, r AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY line_no DESC) AS k FROM log), c AS (SELECT path, count(*) AS count FROM log GROUP BY 1) SELECT path, count, round(avg(ms), 6) AS avg, {Q(0.5)} AS p50, {Q(0.95)} AS p95, max(ms) AS max FROM r JOIN c USING (path) WHERE k <= 512 GROUP BY 1, 2")
 def latency_by_path(spark, sf_dir):
     return stats.latency_by_path(log_view(spark, sf_dir)).withColumn("avg", F.round("avg", 6))
