@@ -28,6 +28,8 @@ SYSTEMS = (
     (r"(?i)Linux", "Linux", ""), (r"(?i)curl|Wget|python|Go-http|Java|libwww|Node\.js", "Other", "CLI/library"),
 )
 BOTS = ("YandexBot", "Googlebot", "Bingbot", "DuckDuckBot", "Baiduspider", "AhrefsBot", "SemrushBot", "Facebook", "Twitterbot", "Slackbot", "LinkedInBot", "Other Bot")
+# What tells tablets and telephones.
+TABLET, PHONE = "iPad|iPod", "iPhone|Android(?!.*(?:Tablet|SM-T))|Mobile Safari"
 TOOLS = ("curl", "Wget", "python-requests", "python-urllib", "Go HTTP Client", "Java", "Java HttpClient", "libwww-perl", "Node.js")
 
 
@@ -35,9 +37,7 @@ def classify(ua: Column) -> Column:
     """struct<browser, version, os, os_version, device, kind> of a user agent."""
     ua = F.coalesce(ua, F.lit(""))
     none = ua.isin("", "-")
-    browser = version = F.when(none, None)
-    browser = F.when(none, "Unknown")
-    version = F.when(none, "")
+    browser, version = F.when(none, "Unknown"), F.when(none, "")
     for pattern, name in BROWSERS:
         browser = browser.when(ua.rlike(pattern), name)
         version = version.when(ua.rlike(pattern), F.regexp_extract(ua, pattern, 1))
@@ -49,8 +49,8 @@ def classify(ua: Column) -> Column:
 
     def whole(x: Column) -> Column:
         bot, tool = x["browser"].isin(*BOTS), x["browser"].isin(*TOOLS)
-        mobile = ua.rlike(r"iPhone|Android(?!.*(?:Tablet|SM-T))") | ua.rlike("Mobile Safari")
-        device = F.when(none, "Other").when(bot, "Bot").when(tool, "Other").when(ua.rlike("iPad|iPod"), "Tablet").when(mobile, "Mobile").when(x["os"] == "Android", "Tablet").otherwise("Desktop")
+        mobile = ua.rlike(PHONE)
+        device = F.when(none, "Other").when(bot, "Bot").when(tool, "Other").when(ua.rlike(TABLET), "Tablet").when(mobile, "Mobile").when(x["os"] == "Android", "Tablet").otherwise("Desktop")
         kind = F.when(bot, "bot").when(tool, "tool").otherwise("browser")
         return F.struct(x["browser"].alias("browser"), x["version"].alias("version"), x["os"].alias("os"), x["os_version"].alias("os_version"), device.alias("device"), kind.alias("kind"))
 

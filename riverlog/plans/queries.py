@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import times
-from ..functions.agents import classify
+from ..functions.agents import BOTS, TOOLS, classify
 from ..operators import anomaly, parse, series, sketches, stats
 from ..operators.filters import RecordFilter, any_of
 from ..operators.ranks import percentiles
@@ -37,6 +37,10 @@ def _list(values) -> str:
     return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
 
 
+def _tuple(values) -> str:
+    return "(" + ", ".join(f"'{v}'" for v in values) + ")"
+
+
 LOG = f"""WITH log AS (
   SELECT event_id, event_id + 1 AS line_no, user_id, event_type, CAST(floor(epoch(ts)) AS BIGINT) AS e, date_trunc('second', ts) AS t,
     ['combined', 'common', 'error', 'syslog', 'syslog', 'json'][event_id % 6 + 1] AS type,
@@ -241,6 +245,39 @@ def ua_classify(spark, sf_dir):
     return log_view(spark, sf_dir).select("ua").distinct().select("ua", classify(F.col("ua")).alias("c")).select("ua", "c.*")
 
 
+# A text, the name it stands for, and whether it has a version, for each browser rule; then system, its version and device by each system rule.
+AGENT_TEXTS = (
+    ("YandexBot/{v}", "YandexBot", 1), ("compatible; Googlebot/{v}", "Googlebot", 1), ("bingbot/{v}", "Bingbot", 1), ("DuckDuckBot/{v}", "DuckDuckBot", 1), ("Baiduspider/{v}", "Baiduspider", 1), ("AhrefsBot/{v}", "AhrefsBot", 1),
+    ("SemrushBot/{v}", "SemrushBot", 1), ("facebookexternalhit/{v}", "Facebook", 1), ("Twitterbot/{v}", "Twitterbot", 1), ("Slackbot-LinkExpanding {v}", "Slackbot", 0), ("LinkedInBot/{v}", "LinkedInBot", 1), ("site-crawler {v}", "Other Bot", 0),
+    ("Chrome/9 EdgA/{v}", "Edge", 1), ("Chrome/9 OPR/{v}", "Opera", 1), ("Opera {v}", "Opera", 1), ("Chrome/{v} Safari/5", "Chrome", 1), ("Chromium/{v}", "Chromium", 1), ("Gecko Firefox/{v}", "Firefox", 1), ("Trident/7.0; rv:{v}", "Internet Explorer", 1),
+    ("MSIE {v}", "Internet Explorer", 1), ("Version/{v} Safari/6", "Safari", 1), ("Safari/{v}", "Safari", 0), ("curl/{v}", "curl", 1), ("Wget/{v}", "Wget", 1), ("python-requests/{v}", "python-requests", 1), ("Python-urllib {v}", "Unknown", 0),
+    ("python-urllib/{v}", "python-urllib", 1), ("Go-http-client/{v}", "Go HTTP Client", 1), ("Java/{v}", "Java", 1), ("Apache-HttpClient/{v}", "Java HttpClient", 1), ("libwww-perl/{v}", "libwww-perl", 1), ("LWP::UserAgent {v}", "libwww-perl", 0), ("axios {v}", "Node.js", 0),
+)
+SYSTEM_TEXTS = (
+    ("Windows NT 10.0", "Windows", "10/11", "Desktop"), ("Windows NT 6.3", "Windows", "8.1", "Desktop"), ("Windows NT 6.2", "Windows", "8", "Desktop"), ("Windows NT 6.1", "Windows", "7", "Desktop"), ("Windows NT 6.0", "Windows", "Vista", "Desktop"),
+    ("Windows NT 5.2", "Windows", "XP/2003", "Desktop"), ("Windows Phone 8", "Windows Phone", "", "Desktop"), ("Windows 98", "Windows", "98", "Desktop"), ("Windows 2", "Windows", "", "Desktop"), ("iPhone", "iOS", "iPhone", "Mobile"), ("iPad", "iOS", "iPad", "Tablet"),
+    ("iPod", "iOS", "iPod", "Tablet"), ("Android {a}", "Android", "{a}", "Mobile"), ("Android {a}; SM-T5", "Android", "{a}", "Tablet"), ("Android", "Android", "", "Mobile"), ("Mac OS X 10_{a}", "macOS", "10.{a}", "Desktop"), ("Macintosh", "macOS", "", "Desktop"),
+    ("Ubuntu", "Linux", "Ubuntu", "Desktop"), ("Debian", "Linux", "Debian", "Desktop"), ("Fedora", "Linux", "Fedora", "Desktop"), ("CentOS", "Linux", "CentOS", "Desktop"), ("FreeBSD", "FreeBSD", "", "Desktop"), ("OpenBSD", "OpenBSD", "", "Desktop"), ("x86 linux", "Linux", "", "Desktop"), ("other", "", "", "Desktop"),
+)
+NB, NS = len(AGENT_TEXTS), len(SYSTEM_TEXTS)
+
+
+@_query("ua_rules", f"""{LOG}, t AS (SELECT line_no, {_list(b[0] for b in AGENT_TEXTS)}[event_id % {NB} + 1] AS bt, {_list(b[1] for b in AGENT_TEXTS)}[event_id % {NB} + 1] AS browser, {[b[2] for b in AGENT_TEXTS]}[event_id % {NB} + 1] AS dated,
+    {_list(x[1] for x in SYSTEM_TEXTS)}[event_id // {NB} % {NS} + 1] AS named, {_list(x[2] for x in SYSTEM_TEXTS)}[event_id // {NB} % {NS} + 1] AS sv, {_list(x[3] for x in SYSTEM_TEXTS)}[event_id // {NB} % {NS} + 1] AS shape,
+    concat(user_id, '.', event_id % 10) AS v, user_id::VARCHAR AS a FROM log),
+  k AS (SELECT *, CASE WHEN browser IN {_tuple(BOTS)} THEN 'bot' WHEN browser IN {_tuple(TOOLS)} THEN 'tool' ELSE 'browser' END AS kind, regexp_matches(bt, 'curl|Wget|ython|Go-http|Java|libwww') AS command FROM t)
+  SELECT line_no, browser, CASE WHEN dated = 1 THEN v ELSE '' END AS version, CASE WHEN named <> '' THEN named WHEN command THEN 'Other' ELSE 'Unknown' END AS os,
+    CASE WHEN named <> '' THEN replace(sv, '{{a}}', a) WHEN command THEN 'CLI/library' ELSE '' END AS os_version, CASE kind WHEN 'bot' THEN 'Bot' WHEN 'tool' THEN 'Other' ELSE shape END AS device, kind FROM k""")
+def ua_rules(spark, sf_dir):
+    """Agents of every browser rule with every system rule, with versions from the table."""
+    e = _events(spark, sf_dir)
+    pick = lambda texts, at: F.get(F.array(*[F.lit(x[0]) for x in texts]), at.cast("int"))
+    i = F.col("event_id")
+    text = F.concat(F.lit("Mozilla/5.0 ("), pick(SYSTEM_TEXTS, F.floor(i / NB) % NS), F.lit(") "), pick(AGENT_TEXTS, i % NB))
+    text = F.replace(F.replace(text, F.lit("{v}"), F.concat(F.col("user_id"), F.lit("."), i % 10)), F.lit("{a}"), F.col("user_id").cast("string"))
+    return e.select((i + 1).alias("line_no"), classify(text).alias("c")).select("line_no", "c.browser", "c.version", "c.os", "c.os_version", "c.device", "c.kind")
+
+
 def _agents(name: str, dim: str) -> None:
     sql = AGENT_SQL + f"SELECT {dim} AS key, count(*) AS n FROM log JOIN a ON user_id % 8 = i GROUP BY 1"
     _query(name, sql)(lambda spark, sf_dir: stats.agent_counts(log_view(spark, sf_dir)).filter(F.col("dim") == dim).select("key", "n"))
@@ -498,10 +535,10 @@ def clf_offsets(spark, sf_dir):
 NOW = 1705276800  # 2024-01-15
 
 
-@_query("syslog_rollover", f"{LOG} SELECT line_no, e - CASE WHEN e > {NOW + 86400} THEN 365 * 86400 ELSE 0 END AS epoch FROM log WHERE e < {NOW + 45 * 86400}")
+# Times after the next day are of the year before. It has no 29 February, so that day is its 1 March, as any day that runs over.
+@_query("syslog_rollover", f"{LOG} SELECT line_no, e - 86400 * CASE WHEN e <= {NOW + 86400} THEN 0 WHEN e < epoch(TIMESTAMP '2024-03-01')::BIGINT THEN 365 ELSE 366 END AS epoch FROM log")
 def syslog_rollover(spark, sf_dir):
-    rows = _events(spark, sf_dir).filter(F.unix_timestamp(F.col("ts").cast("timestamp")) < NOW + 45 * 86400)  # up to the leap day of a year that has none before
-    return rows.select((F.col("event_id") + 1).alias("line_no"), times.syslog_epoch(F.date_format("ts", "MMM d HH:mm:ss"), NOW).alias("epoch"))
+    return _events(spark, sf_dir).select((F.col("event_id") + 1).alias("line_no"), times.syslog_epoch(F.date_format("ts", "MMM d HH:mm:ss"), NOW).alias("epoch"))
 
 
 @_query("export_json_document", f"""{LOG} SELECT line_no, type, status, bytes, (SELECT count(*) FROM log) AS n, row_number() OVER (ORDER BY line_no) AS place FROM log""")
