@@ -38,8 +38,9 @@ def human_num(n: Column) -> Column:
 
 
 def pct(part: Column, total: Column, digits: int = 1) -> Column:
+    """A share in percent; like ``_one_decimal`` of the double's exact value, ties to even."""
     value = F.when(F.coalesce(total, F.lit(0)) == 0, F.lit(0.0)).otherwise(F.coalesce(part, F.lit(0)) * 100.0 / F.nullif(total, F.lit(0)))
-    return _one_decimal(value) if digits == 1 else F.format_string(f"%.{digits}f", value)
+    return _one_decimal(value) if digits == 1 else F.replace(F.format_number(value, digits), F.lit(","), F.lit(""))
 
 
 def truncated(text: Column, width: int) -> Column:

@@ -117,3 +117,9 @@ def describe_event(e: dict) -> str:
     span = e["start_label"] or "?"
     span += f" .. {e['end_label']}" if e["end_label"] and e["end_label"] != span else ""
     return f"{span}  {e['buckets']} bucket(s), peak {int(e['peak_value'])} (z={e['peak_z']:.2f}, {e['severity']})"
+
+
+def event_text() -> Column:
+    """``describe_event`` as a column of ``events``."""
+    span = F.concat(F.coalesce("start_label", F.lit("?")), F.when(F.col("end_label") != F.coalesce("start_label", F.lit("?")), F.concat(F.lit(" .. "), "end_label")).otherwise(""))
+    return F.concat(span, F.lit("  "), F.col("buckets"), F.lit(" bucket(s), peak "), F.col("peak_value").cast("long"), F.lit(" (z="), F.format_string("%.2f", "peak_z"), F.lit(", "), "severity", F.lit(")"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +15,7 @@ from ..operators import anomaly, parse, series, sketches, stats
 from ..operators.filters import RecordFilter, any_of
 from ..operators.ranks import percentiles
 from ..schema import JSON_KEYS
-from ..sources import document, export, lines
+from ..sources import document, export, lines, report
 from ..streaming import follow
 from .logview import AGENTS, REFERERS, log_lines, log_view
 
@@ -350,6 +351,25 @@ def series_stats(spark, sf_dir):
     return series.series_stats(series.bucketize(log_view(spark, sf_dir), "hour")).withColumns({c: F.round(c, 6) for c in ("mean", "stddev")})
 
 
+def _runs_sql(width: int, made: str) -> str:
+    """The buckets of a series in ``width`` runs of neighbours; a run begins at the whole number below its share."""
+    return f"""{_series_sql(3600)}, p AS (SELECT *, row_number() OVER (ORDER BY epoch) - 1 AS place, count(*) OVER () AS n FROM s),
+  c AS (SELECT k, floor(k * (n / {width}::DOUBLE))::BIGINT AS low, floor((k + 1) * (n / {width}::DOUBLE))::BIGINT AS high FROM (SELECT DISTINCT n FROM p), range({width}) AS x(k)),
+  r AS (SELECT k, arg_min(label, place) AS label, {made}(value)::BIGINT AS value FROM c JOIN p ON place >= low AND place < high GROUP BY k)"""
+
+
+@_query("chart_lines", _runs_sql(48, "sum") + """, m AS (SELECT *, greatest(max(value) OVER (), 1) AS most, max(length(label)) OVER () AS wide FROM r)
+  SELECT k::INT AS row, label, value, concat(rpad(label, wide::INT, ' '), '  ', rpad(repeat('#', greatest(floor(value / most::DOUBLE * 42 + 0.5), CASE WHEN value > 0 THEN 1 ELSE 0 END)::INT), 42, ' '), '  ', lpad(format('{:,}', value), 8, ' ')) AS line FROM m""")
+def chart_lines(spark, sf_dir):
+    return series.chart_rows(series.bucketize(log_view(spark, sf_dir), "hour"), 48, 42)
+
+
+@_query("spark_marks", _runs_sql(60, "max") + f""", m AS (SELECT *, min(value) OVER () AS low, max(value) OVER () - min(value) OVER () AS span FROM r)
+  SELECT k::INT AS at, value, substr('{series.BLOCKS}', CASE WHEN span > 0 THEN floor((value - low) / span::DOUBLE * 8 + 0.5)::INT ELSE 0 END + 1, 1) AS mark FROM m""")
+def spark_marks(spark, sf_dir):
+    return series.spark_marks(series.bucketize(log_view(spark, sf_dir), "hour"), 60)
+
+
 @_query("resample", _series_sql(60) + "SELECT epoch // 21600 * 21600 AS epoch, CAST(sum(value) AS BIGINT) AS value, CAST(sum(count) AS BIGINT) AS count, CAST(sum(bytes) AS BIGINT) AS bytes, CAST(sum(errors) AS BIGINT) AS errors FROM s GROUP BY 1")
 def resample(spark, sf_dir):
     return series.resample(series.bucketize(log_view(spark, sf_dir), "minute"), 21600)
@@ -404,6 +424,14 @@ def anomaly_events(spark, sf_dir):
     return anomaly.events(anomaly.points(anomaly.scores(series.bucketize(log_view(spark, sf_dir), "hour"), d))).drop("severity")
 
 
+@_query("event_texts", ", v AS (SELECT min(epoch)".join(SQL["anomaly_events"].rsplit("SELECT min(epoch)", 1)) + f""")
+  SELECT start_epoch, concat(start_label, CASE WHEN end_label <> start_label THEN concat(' .. ', end_label) ELSE '' END, '  ', buckets, ' bucket(s), peak ', peak_value::BIGINT, ' (z=', format('{{:.2f}}', peak_z), ', ', {SEVERITY.format('peak_z')}, ')') AS text FROM v""")
+def event_texts(spark, sf_dir):
+    d = anomaly.Detector(mode="both", threshold=1.5)
+    found = anomaly.events(anomaly.points(anomaly.scores(series.bucketize(log_view(spark, sf_dir), "hour"), d)))
+    return found.select("start_epoch", anomaly.event_text().alias("text"))
+
+
 @_query("anomaly_ewma", "WITH RECURSIVE " + _scores_sql().removeprefix("WITH ") + """, o AS (SELECT idx, epoch, label, value::DOUBLE AS v FROM w),
   r AS (SELECT idx, epoch, label, v, v AS mu, 0.0::DOUBLE AS var, v + 0.3 * (v - v) AS mu2, 0.0::DOUBLE AS var2 FROM o WHERE idx = 1
     UNION ALL SELECT o.idx, o.epoch, o.label, o.v, r.mu2, r.var2, r.mu2 + 0.3 * (o.v - r.mu2), 0.7 * r.var2 + 0.3 * (o.v - r.mu2) * (o.v - r.mu2) FROM r JOIN o ON o.idx = r.idx + 1)
@@ -574,7 +602,7 @@ def read_files(spark, sf_dir):
 @_query("filter_added", f"{LOG} SELECT count(*) AS n FROM log WHERE status // 100 = 2 AND bytes < 500")
 def filter_added(spark, sf_dir):
     own = RecordFilter(status="2xx").add("small", F.col("bytes") < 500)
-    return spark.createDataFrame([(own.count(log_view(spark, sf_dir)),)], "n long")
+    return own.apply(log_view(spark, sf_dir)).agg(F.count("*").alias("n"))
 
 
 @_query("record_fields", f"{LOG} SELECT line_no, ip, NULL::VARCHAR AS nope, bytes FROM log")
@@ -621,6 +649,29 @@ def stream_alerts(spark, sf_dir):
     return spark.read.schema(found.schema).parquet(f"{path}/rows").select("epoch", "value")
 
 
+@_query("tail_types", SQL["parse_types"])
+def tail_types(spark, sf_dir):
+    """The log in files of growing size, followed from their start by byte ranges a task, and counted by type."""
+    path = lines.shared_path(spark, "tail")
+    log_lines(spark, sf_dir).repartitionByRange(3, "line_no").select("value").write.text(f"{path}/in")
+    files = [f.removeprefix("file:").replace("///", "/") for f in spark.read.text(f"{path}/in").inputFiles()]
+    rows = follow.line_stream(spark, files, from_start=True, max_bytes=follow.NO_BOUND, task_bytes=50_000)
+    rows.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.schema("value string, path string").parquet(f"{path}/out").withColumn("line_no", F.lit(None).cast("long"))
+    return parse.parse_stats(parse.classified(found)).select(F.explode("by_type").alias("type", "n"))
+
+
+@_query("report_lines", f"""{LOG}, c AS (SELECT concat(status // 100, 'xx') AS class, count(*) AS n, (SELECT count(*) FROM log) AS total FROM log GROUP BY 1),
+  x AS (SELECT class, format('{{:,}}', n) AS n, concat(format('{{:.1f}}', 100 * n / total::DOUBLE), '%') AS share FROM c)
+  SELECT 'text' AS form, concat(class, ' ', n, ' ', share) AS line FROM x UNION ALL SELECT 'markdown', concat('| ', class, ' | ', n, ' | ', share, ' |') FROM x
+  UNION ALL SELECT 'html', concat('<tr><td>', class, '</td><td class=n>', n, '</td><td class=n>', share, '</td></tr>') FROM x""")
+def report_lines(spark, sf_dir):
+    """The table of status classes as reports in three forms draw it. A report is bounded by its top lists; its figures come from the whole log."""
+    context = report.report_context(log_view(spark, sf_dir), unit=None)
+    made = [(form, re.sub(" +", " ", line.strip())) for form in ("text", "markdown", "html") for line in report.render(form, context).splitlines() if re.search(r"\b[1-5]xx\b", line)]
+    return spark.createDataFrame(made, "form string, line string")
+
+
 @_query("stream_late_counts", f"{LOG} SELECT e // 60 * 60 AS epoch, count(*) AS n FROM log GROUP BY 1")
 def stream_late_counts(spark, sf_dir):
     """Minute counts of a stream whose batches hold rows of any time: totals that late rows correct."""

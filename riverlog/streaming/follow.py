@@ -20,6 +20,8 @@ from ..sources.lines import shared_path
 from .alerts import alerts
 from .tail import TailSource
 
+NO_BOUND = 1 << 62
+
 EVENTS = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()), T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType()), T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType())])
 
 
@@ -30,7 +32,8 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_stream(spark: SparkSession, paths: str | Sequence[str], from_start: bool = False, **options: int) -> DataFrame:
-    """(value, path): lines of growing files. ``max_bytes`` and ``task_bytes`` bound what a batch takes of a file, and a task."""
+    """(value, path): lines of growing files. ``max_bytes`` and ``task_bytes`` bound what a batch takes of a file, and a task. A query with the
+    trigger availableNow asks a source once, so it takes one batch: give it a ``max_bytes`` beyond all files (NO_BOUND)."""
     spark.dataSource.register(TailSource)
     paths = [paths] if isinstance(paths, str) else list(paths)
     return spark.readStream.format("tail").option("path", json.dumps(paths)).option("from_start", str(from_start).lower()).options(**options).load()
