@@ -30,7 +30,10 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep. Null, empty and blank texts have no words and go; each of repeated rows is judged by itself, so they
     go or stay alike; rows without id are judged like others."""
     model = quality.fit(docs, read_table(spark, sf_dir, "labels"))
-    return quality.judge(docs, model, out_col="_verdict_").filter("_verdict_.kept").select(*docs.columns)
+    verdict = "_verdict_"
+    while verdict.lower() in {c.lower() for c in docs.columns}:
+        verdict += "_"
+    return quality.judge(docs, model, out_col=verdict).filter(f"{verdict}.kept").select(*docs.columns)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
