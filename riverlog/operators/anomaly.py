@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .order import fading_sum, numbered, with_neighbours
 
 SENSITIVITY = {"low": 4.0, "medium": 3.0, "high": 2.0}
+NOISE = 1e-11  # relative; scans are exact to some 1e-14
 SEVERITY = ((6.0, "critical"), (4.5, "high"), (3.5, "medium"))
 
 
@@ -61,12 +62,15 @@ def scores(buckets: DataFrame, d: Detector = Detector()) -> DataFrame:
             frame = order.rowsBetween(-d.window, -1)
             return {"history": F.count("value").over(frame), "mean": F.avg("value").over(frame), "sd": F.coalesce(F.stddev_samp("value").over(frame), F.lit(0.0))}
 
-        rows = with_neighbours(rows, d.window, made)
+        rows = with_neighbours(rows, d.window, made).withColumn("off", F.col("value") - F.col("mean"))
     else:
         rows = fading_sum(rows.withColumn("history", F.col("place")), F.lit(d.alpha) * F.col("value"), 1 - d.alpha, F.col("value"), "mean")
-        rows = fading_sum(rows, F.lit(d.alpha) * F.pow(F.col("value") - F.col("mean"), F.lit(2)), 1 - d.alpha, F.lit(0.0), "var").withColumn("sd", F.sqrt("var"))
+        off = F.col("value") - F.col("mean")
+        none = F.abs(off) <= NOISE * F.greatest(F.abs("value"), F.abs("mean"))  # sums of a scan round otherwise than steps: a flat series has no distances
+        rows = rows.withColumn("off", F.when(none, 0.0).otherwise(off))
+        rows = fading_sum(rows, F.lit(d.alpha) * F.col("off") * F.col("off"), 1 - d.alpha, F.lit(0.0), "var").withColumn("sd", F.sqrt("var"))
     rows = rows.withColumn("idx", (F.col("place") + 1).cast("int")).filter(F.col("history") >= d.min_history)
-    rows = rows.withColumn("z", (F.col("value") - F.col("mean")) / F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0))
+    rows = rows.withColumn("z", F.col("off") / F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0))
     up, down = F.lit(d.mode != "dips") & (F.col("z") >= d.limit), F.lit(d.mode != "spikes") & (F.col("z") <= -d.limit)
     return rows.withColumn("direction", F.when(up, "up").when(down, "down")).select("epoch", "label", "value", "idx", "mean", "sd", "z", "direction")
 

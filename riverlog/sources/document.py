@@ -7,6 +7,7 @@ a time. Paths may have any scheme that pyarrow opens; executors and driver must
 
 from __future__ import annotations
 
+import contextlib
 import json
 import os
 import textwrap
@@ -34,7 +35,9 @@ class DocumentSource(DataSource):
         return "document"
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return DocumentWriter(self.options["path"], self.options.get("form", "lines"), self.options.get("header", ""), overwrite)
+        made = DocumentWriter(self.options["path"], self.options.get("form", "lines"), self.options.get("header", ""), overwrite)
+        made.prepare()
+        return made
 
 
 @dataclass
@@ -53,6 +56,11 @@ class DocumentWriter(DataSourceWriter):
         self.path, self.form, self.header, self.overwrite = path, form, header, overwrite
         self.parts = f"{path}.parts-{uuid.uuid4().hex}"
 
+    def prepare(self) -> None:
+        """Makes the folder of the parts. Tasks don't, so one that is still busy when its job is given up can't bring the folder back."""
+        fs, folder = _opened(self.parts)
+        fs.create_dir(folder, recursive=True)
+
     def _text(self, value: str) -> str:
         if self.form == "lines":
             return value + "\n"
@@ -65,7 +73,6 @@ class DocumentWriter(DataSourceWriter):
     def write(self, iterator: Iterator[Row]) -> Part:
         number, n = TaskContext.get().partitionId(), 0
         fs, folder = _opened(self.parts)
-        fs.create_dir(folder, recursive=True)
         name = f"{folder}/{number:08}-{uuid.uuid4().hex}"
         with fs.open_output_stream(name) as out:
             for row in iterator:
@@ -86,7 +93,6 @@ class DocumentWriter(DataSourceWriter):
             raise FileExistsError(self.path)
         head, tail = self._frame(sum(m.rows for m in parts))
         _, folder = _opened(self.parts)
-        fs.create_dir(folder, recursive=True)  # there may be no task
         whole = f"{folder}/whole"
         with fs.open_output_stream(whole) as out:
             out.write(head)
@@ -101,8 +107,11 @@ class DocumentWriter(DataSourceWriter):
 
     def abort(self, messages: list[Part | None]) -> None:
         fs, folder = _opened(self.parts)
-        if fs.get_file_info(folder).type == FileType.Directory:
-            fs.delete_dir(folder)
+        for _ in range(3):  # a busy task may add a file meanwhile
+            if fs.get_file_info(folder).type != FileType.Directory:
+                return
+            with contextlib.suppress(OSError):
+                fs.delete_dir(folder)
 
 
 def _write(lines: DataFrame, path: str, **options: str) -> None:

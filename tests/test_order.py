@@ -63,6 +63,21 @@ def test_weighted_baselines(spark, values, alpha):
     assert [r["mean"] for r in got] == pytest.approx([m for m, _ in want[10:]]) and [r["sd"] for r in got] == pytest.approx([s for _, s in want[10:]], abs=1e-6)
 
 
+@pytest.mark.parametrize("alpha", [0.001, 0.3, 0.8])
+def test_flat_stretches_are_never_flagged(spark, alpha):
+    values = [50] * 3000 + [83] * 3000 + [7_000_000_001] * 3000
+    series = spark.createDataFrame([(60 * i, "", v) for i, v in enumerate(values)], "epoch long, label string, value long")
+    flagged = anomaly.scores(series, anomaly.Detector(method="ewma", alpha=alpha, mode="both", threshold=2.0)).filter("direction is not null").collect()
+    mean, var, want = 50.0, 0.0, set()
+    for i, v in enumerate(values):
+        step = v - mean
+        if i >= 10 and abs(step) > 1e-9 * v and abs(step / (var**0.5 if var > 0 else 1)) >= 2.0001:
+            want.add(i + 1)
+        mean, var = mean + alpha * step, (1 - alpha) * var + alpha * step * step
+    got = {r["idx"] for r in flagged}
+    assert want <= got and all(abs(i - 3001) < 5 or abs(i - 6001) < 5 or i in want for i in got) and got & {3001, 6001} == {3001, 6001}
+
+
 def test_no_window_spans_a_series_and_no_python_runs(spark, placed):
     series = placed.select("epoch", F.lit("").alias("label"), "value")
     for method in ("rolling", "ewma"):
