@@ -249,6 +249,17 @@ def test_language_model_of_nothing_and_one_text(spark, no_documents, odd):
     assert one.arrays.tokens == 2 and language.scored(odd.filter("doc_id = 5"), one).first()["n_known"] == 2
 
 
+def test_places_of_keys():
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 2, 1000, 50_000):
+        keys = np.unique(rng.integers(0, 1 << 50, n))
+        asked = np.concatenate([keys, rng.integers(0, 1 << 50, 5000), -keys - 1])
+        at = language._Places(keys).of(asked)
+        assert (at[: len(keys)] == np.arange(len(keys))).all()
+        there = {int(k): i for i, k in enumerate(keys)}
+        assert at.tolist() == [there.get(int(k), -1) for k in asked]
+
+
 def test_seating_of_great_counts():
     c, others = np.array([10**9, 2, 50]), np.array([1000, 0, 10])
     tables, sizes = language.first_seating(c, others, np.array([0.1, 0.001, 0.5]), 0.7, 1.0)
