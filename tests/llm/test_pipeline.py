@@ -106,11 +106,11 @@ def test_crc_is_that_of_the_ids(spark):
 def test_stages_on_odd_rows(spark, sf_dir, odd_documents, no_documents):
     words = " ".join(f"word{i}" for i in range(80))
     rows = [*odd_documents, (20, words, "a"), (20, words, "a"), (21, words + " tail", None), (22, words.replace("word7 ", "other "), "b")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("doc_id", "text", "'x' AS lang", "source", "CAST(length(text) AS BIGINT) AS n_chars", "1 AS size", "2 AS label", "3 AS kept", "4 AS mix_pass")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("doc_id", "text", "'x' AS lang", "source", "CAST(length(text) AS BIGINT) AS n_chars", "1 AS size", "2 AS label", "3 AS kept", "4 AS mix_pass", "5 AS _verdict_", "6 AS _rest_")
     out = {name: stage(spark, docs, sf_dir).collect() for name, stage in corpus_pipeline.STAGES}
     for name, found in out.items():
         if name != "best_fit_packing":
-            assert all((r["size"], r["label"], r["kept"], r["mix_pass"]) == (1, 2, 3, 4) for r in found) and found[0].__fields__ == docs.columns
+            assert all((r["size"], r["label"], r["kept"], r["mix_pass"], r["_verdict_"], r["_rest_"]) == (1, 2, 3, 4, 5, 6) for r in found) and found[0].__fields__ == docs.columns
     assert all(plain_quality(r["text"])[0] >= 50 for r in out["quality_rules"])
     component, _ = plain_components(rows, 5)
     assert Counter(r["doc_id"] for r in out["near_dedup"]) == Counter(i for i, *_ in rows if i is None or component[i] == i)
