@@ -9,11 +9,15 @@ from collections.abc import Iterator
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 
+MANY = 256  # tasks of a batch, before they grow
+LARGE = 8 << 20
+
+
 class TailSource(DataSource):
     """``spark.readStream.format("tail").option("path", p).load()`` gives (value, path); ``path`` may be a JSON list of paths.
 
     Options: ``from_start`` reads what is there already; a batch takes ``max_bytes`` a file at most (but at least a line), a task
-    ``task_bytes``. An offset holds for each path a file's identity, a position after a line end, and the rotated files beside it that are done. Files that were
+    ``task_bytes``; a batch of more than MANY tasks has larger ones, of up to LARGE bytes. An offset holds for each path a file's identity, a position after a line end, and the rotated files beside it that are done. Files that were
     rotated since then are found by identity, however many there are, and read in the order of their last change, the first from the position on; then
     the new file from its beginning. So is a file that has become shorter. Half a line waits for its end, but for the last of a rotated file. A rotated
     file that has left its folder, or was compressed, can't be read any more. After a restart Spark doesn't tell a source where it was, so the first batch takes all that is there; its
@@ -89,7 +93,7 @@ def _next_line_end(path: str, low: int, high: int, step: int = 1 << 16) -> int:
 
 
 class TailReader(DataSourceStreamReader):
-    def __init__(self, paths: list[str], from_start: bool = False, max_bytes: int = 64 << 20, task_bytes: int = 8 << 20):
+    def __init__(self, paths: list[str], from_start: bool = False, max_bytes: int = 64 << 20, task_bytes: int = LARGE):
         self.paths, self.from_start, self.max_bytes, self.task_bytes = paths, from_start, max_bytes, task_bytes
         self.last: dict | None = None
 
@@ -154,14 +158,18 @@ class TailReader(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> list[Piece]:
         self.last = self.last or end
+        ranges = [(path, *r) for path, to in end["files"].items() for r in self._ranges(start["files"].get(path, {"ino": 0, "pos": 0, "done": []}), to)]
+        step = self._step(sum(high - low for _, _, low, high in ranges))
         pieces = []
-        for path, to in end["files"].items():
-            at = start["files"].get(path, {"ino": 0, "pos": 0, "done": []})
-            for ino, low, high in self._ranges(at, to):
-                cuts = [*range(low, high, self.task_bytes), high]
-                pieces += [Piece(path, ino, a, b, high, a == low) for a, b in zip(cuts, cuts[1:], strict=False)]
+        for path, ino, low, high in ranges:
+            cuts = [*range(low, high, step), high]
+            pieces += [Piece(path, ino, a, b, high, a == low) for a, b in zip(cuts, cuts[1:], strict=False)]
         return pieces
 
+    def _step(self, size: int) -> int:
+        """Bytes a task: each task costs a start, a file and its commit, however little it reads."""
+        return max(self.task_bytes, min(LARGE, -(-size // MANY)))
+
     def _ranges(self, at: dict, to: dict) -> list[tuple[int, int, int]]:
         if at["ino"] == to["ino"]:
             return [(to["ino"], at["pos"] if at["pos"] <= to["pos"] else 0, to["pos"])]  # else it was truncated

@@ -136,6 +136,17 @@ def test_lines_longer_than_a_batch_and_a_task(tmp_path):
     assert log.all() == ["y" * 30]
 
 
+def test_tasks_grow_with_a_batch_that_would_have_too_many(tmp_path):
+    log = Log(tmp_path / "large.log", from_start=True, max_bytes=1 << 62, task_bytes=100)
+    lines = [f"{i:07}" for i in range(100_000)]
+    log.add("".join(f"{x}\n" for x in lines))
+    log.at = log.reader.last = {"files": {log.path: {"ino": os.stat(log.path).st_ino, "pos": 0, "done": []}}, "rotations": 0, "truncates": 0}
+    end = log.reader.latestOffset()
+    pieces = log.reader.partitions(log.at, end)
+    assert len(pieces) <= 257 and [r[0] for p in pieces for r in log.reader.read(p)] == lines
+    assert log.reader._step(10_000) == 100 and log.reader._step(100 << 30) == 8 << 20
+
+
 def test_several_files_in_one_stream(spark, tmp_path):
     for name in "ab":
         (tmp_path / f"{name}.log").write_text("".join(f"{name}{i}\n" for i in range(500)))
