@@ -10,6 +10,7 @@ from __future__ import annotations
 import contextlib
 import json
 import os
+import re
 import textwrap
 import uuid
 from collections.abc import Iterator, Sequence
@@ -17,13 +18,16 @@ from dataclasses import dataclass
 
 from pyarrow.fs import FileSystem, FileType
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from ..schema import EXPORT_FIELDS
 from .export import csv_row, document_frame, json_row
+from .lines import numbered
 
 BLOCK = 1 << 20
+OPEN, CLOSE, EMPTY = "\n      {\n", "\n      }", r"\n {6}\{\}"  # a record of an indented document; its own texts hold no line ends
 
 
 class DocumentSource(DataSource):
@@ -131,3 +135,19 @@ def write_csv_document(rows: DataFrame, path: str, fields: Sequence[str] = EXPOR
 
 def write_ndjson_document(rows: DataFrame, path: str) -> None:
     _write(rows.select(json_row(rows).alias("value")), path)
+
+
+def read_json_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """count (of the head), place (from 1) and r (of ``schema``) of each record of an indented document that ``write_json_document`` wrote. The
+    file is read by input splits, as a record ends where a brace stands at its own depth; so no task reads it whole."""
+    text = spark.read.option("lineSep", CLOSE).text(path).select(F.lit(0).alias("file"), F.col("_metadata.file_path").alias("name"), F.col("_metadata.file_block_start").alias("block"), "value")
+    first = text.filter("block = 0").select("value").first()
+    head = re.match(r'\{\n   "meta": \{\n      "count": (\d+),', first["value"] if first else "")
+    if not head:
+        raise ValueError(f"no indented JSON document: {path}")
+    # up to the end of a record there may be empty ones, which end in their own line
+    at = F.instr("value", OPEN)
+    own = F.when(at > 0, F.array(F.concat(F.substr("value", at), F.lit(CLOSE)))).otherwise(F.array().cast("array<string>"))
+    found = F.concat(F.array_repeat(F.lit("{}"), F.regexp_count("value", F.lit(EMPTY))), own)
+    rows = text.select("file", "name", "block", F.explode(found).alias("one")).withColumn("i", F.monotonically_increasing_id())
+    return numbered(rows).select(F.lit(int(head[1])).cast("long").alias("count"), F.col("line_no").alias("place"), F.from_json("one", schema).alias("r"))

@@ -25,6 +25,11 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str], numbered: bool =
     value = F.regexp_replace("value", "\r$", "")
     if not numbered:
         return rows.select(F.lit(None).cast("long").alias("line_no"), value.alias("value"))
+    return numbered(rows).select("line_no", value.alias("value"))
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """Rows of input splits (file, name, block), numbered from 1 as ``line_no`` in the order of files and blocks, by their ``i`` within a split."""
     part = ["file", "name", "block"]
     counts = rows.groupBy(*part).agg(F.count("*").alias("n"), F.min("i").alias("first"))  # one row a split
     # splits within a file first, then the files
@@ -32,7 +37,7 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str], numbered: bool =
     files = counts.groupBy("file", "name").agg(F.sum("n").alias("lines"))  # one row a file
     earlier = files.select("file", "name", (F.sum("lines").over(Window.orderBy("file", "name")) - F.col("lines")).alias("earlier"))
     starts = counts.withColumn("within", within).join(earlier, ["file", "name"]).select(*part, "first", (F.col("within") + F.col("earlier")).alias("before"))
-    return rows.join(starts, part).select((F.col("before") + F.col("i") - F.col("first") + 1).alias("line_no"), value.alias("value"))
+    return rows.join(starts, part).withColumn("line_no", F.col("before") + F.col("i") - F.col("first") + 1)
 
 
 def from_lines(spark: SparkSession, lines: Iterable[str]) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql.types import VariantVal
 from riverlog.__main__ import main
 from riverlog.operators import anomaly, series, stats
 from riverlog.operators.filters import RecordFilter, any_of
+from riverlog.plans import queries
 from riverlog.schema import RECORD
 from riverlog.sources import document, export, report
 from riverlog.sources.lines import spool
@@ -310,6 +311,33 @@ def test_documents_of_nothing_and_of_jobs_that_fail(spark, tmp_path):
     assert [f.name for f in tmp_path.iterdir() if f.name.startswith("never")] == []
 
 
+def test_documents_are_read_back_by_splits(spark, tmp_path):
+    path, schema = f"file://{tmp_path}/d.json", "line_no long, message string, data map<string,string>"
+    text = F.when(F.col("id") % 5 < 3, F.concat(F.lit('a\n      }\n      {}, "é" '), F.col("id").cast("string")))
+    rows = spark.range(0, 4000, 1, 7).select(F.when(F.col("id") % 5 < 4, F.col("id")).alias("line_no"), text.alias("message"), F.when(F.col("id") % 5 == 1, F.create_map(F.lit("k"), F.lit("\n      {"))).alias("data"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in (20_000, 20_011, 21_023):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            document.write_json_document(rows, path)
+            back = document.read_json_document(spark, path, schema)
+            assert spark.read.option("lineSep", document.CLOSE).text(path).rdd.getNumPartitions() > 10
+            want = [(4000, i + 1, r["line_no"], r["message"], r["data"]) for i, r in enumerate(rows.collect())]
+            assert back.orderBy("place").select("count", "place", "r.*").collect() == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    document.write_json_document(rows.limit(0), path)
+    assert document.read_json_document(spark, path, schema).collect() == []
+    document.write_json_document(rows, path, pretty=False)
+    with pytest.raises(ValueError, match="no indented JSON document"):
+        document.read_json_document(spark, path, schema)
+
+
+def test_export_json_document_is_read_by_splits(spark):
+    plan = queries.queries()["export_json_document"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "FileScan text" in plan and "FileScan json" not in plan  # of a JSON document as one value a task reads all
+
+
 def test_parts_of_lost_attempts_are_left_out(tmp_path):
     writer = document.DocumentWriter(f"file://{tmp_path}/x.csv", "lines", "a,b", True)
     folder = tmp_path / writer.parts.rpartition("/")[2]
