@@ -202,6 +202,60 @@ def test_probabilities_sum_to_one(small_model):
     assert sum(v + 1 for v in (r["value"] for r in model.rare.collect())) + 1 == a.rare_size
 
 
+@pytest.fixture(scope="module")
+def own_model(spark, documents):
+    docs = spark.createDataFrame([d[:2] for d in documents], "doc_id long, text string")
+    return docs, language.fit(docs.filter(~language.is_held_out(F.col("doc_id"))), settings=language.LanguageSettings(vocabulary=300, common=200, own_rare=True))
+
+
+def test_rare_words_are_contexts_and_dishes_of_their_own(own_model, documents):
+    """No word shares a context with others: scores by plain Python from the seating, and all that follows a context sums to one."""
+    docs, model = own_model
+    a, own = model.arrays, {}
+    for r in model.own.collect():
+        own.setdefault(r["a"], {})[r["b"]] = r
+    code = {int(h): k for k, h in enumerate(a.hashes)}
+    hash_of = lambda w: language.xxhash.xxh3_64_intdigest(w.encode()) >> 1
+    at = lambda w: code.get(hash_of(w), -1 - hash_of(w))
+    counts = {r["key"]: r["value"] for r in model.rare.collect()}
+    seated = {r["key"]: r["value"] for r in model.pairs.collect()} | dict(zip(a.pairs.tolist(), a.seated.tolist(), strict=True))
+    pairs = Counter()
+    for i, text, _ in documents:
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            ks = [a.rare + 1, *map(at, tokens_of(text))]
+            pairs.update((x, y) for x, y in zip(ks, ks[1:], strict=False) if x < 0 or y < 0)
+    assert {(x, y) for x in own for y in own[x]} == set(pairs) and len([x for x in own if x < 0]) == len(counts) > 100
+
+    def class_of(before, k):
+        x, y = (a.rare if before < 0 else before), (a.rare if k < 0 else k)
+        return seated.get(x << 32 | y, 0.0) / (a.strength + a.totals[x]) + np.mean([g[x] * r[y] for g, r in zip(a.mass, a.parent, strict=True)])
+
+    def chance(before, k):
+        share = (counts.get(k, 0) + 1) / a.rare_size if k < 0 else 1.0
+        if before >= 0 and k >= 0:
+            return class_of(before, k)
+        base = class_of(before, k) * share if before < 0 else share
+        some = own.get(before, {})
+        if not some:
+            return class_of(before, k) * share
+        size, rest = next((r["size"], r["rest"]) for r in some.values())
+        p = ((some[k]["seated"] if k in some else 0.0) + rest * base) / size
+        return p if before < 0 else class_of(before, k) * p
+
+    for before, some in own.items():
+        size, rest = next((r["size"], r["rest"]) for r in some.values())
+        assert size == a.strength + sum(n for (x, _), n in pairs.items() if x == before)
+        assert sum(r["seated"] for r in some.values()) + rest == pytest.approx(size)
+    u, v = [x for x in own if x < 0][:2]
+    total = lambda before: sum(chance(before, k) for k in [*range(a.rare), *counts, -1])  # noqa: E731  -1 - h of no word: the unseen one
+    assert total(u) == pytest.approx(1) and total(v) == pytest.approx(1) and total(a.rare + 1) == pytest.approx(1)
+    assert any(abs(chance(u, k) / chance(v, k) - 1) > 0.1 for k in own[u])
+    found = {r["doc_id"]: r["score"] for r in language.scored(docs, model).collect()}
+    for i, text, _ in documents:
+        ks = [a.rare + 1, *map(at, tokens_of(text))]
+        assert found[i] == pytest.approx(sum(math.log10(chance(x, y)) for x, y in zip(ks, ks[1:], strict=False)), abs=1e-6)
+
+
 def test_model_is_better_than_the_base_on_held_out_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     model = language.fit(docs.filter(~language.is_held_out(F.col("doc_id"))))
