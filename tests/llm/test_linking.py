@@ -1,13 +1,15 @@
 """Near-dedup, lines and repeated windows against plain Python."""
 
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from riverlog.llm import lines, neardup, substrings
+from riverlog.llm import graph, lines, neardup, substrings
+from riverlog.llm.common import Scratch
 
 
 def shingles(text, k):
@@ -154,3 +156,35 @@ def test_equal_digits_of_different_bytes_are_parted():
     data = np.frombuffer(b"abcdefghij" * 3 + b"abcdefghiX" + b"zzzzzzzzzz", np.uint8)
     at, digit = np.array([0, 10, 30, 20, 40, 1]), np.array([5, 5, 5, 5, 5, 7], dtype=np.uint64)
     assert substrings.equal_windows(data, at, digit, 10).tolist() == [True, True, False, True, False, False]
+
+
+def least_nodes(links):
+    """node -> least node reachable, a link at a time."""
+    label = {x: x for pair in links for x in pair}
+    for a, b in links:
+        lo, hi = sorted((label[a], label[b]))
+        label = {x: lo if y == hi else y for x, y in label.items()} if lo != hi else label
+    return label
+
+
+@pytest.mark.parametrize("block", [5, 64, 1 << 20])
+def test_links_of_chains_stars_and_rings_give_their_least_node_in_blocks_of_any_size(spark, block):
+    rng = random.Random(block)
+    links = [(i, i + 1) for i in range(100, 160)] + [(200, i) for i in range(201, 240)] + [(300 + i, 300 + (i + 1) % 30) for i in range(30)] + [(239, -7), (5, 5)]
+    links += [(rng.randrange(400, 480), rng.randrange(400, 480)) for _ in range(60)]
+    rng.shuffle(links)
+    got = graph.components(spark.createDataFrame(links, "a long, b long").repartition(4), Scratch(spark, "test"), block).collect()
+    assert {r["node"]: r["label"] for r in got} == least_nodes(links) and len(got) == len(least_nodes(links))
+
+
+def test_a_long_chain_takes_no_more_jobs_than_a_short_one(spark):
+    def jobs(n):
+        spark.sparkContext.setJobGroup(f"chain{n}", "")
+        links = Scratch(spark, "test").table(spark.range(n).selectExpr("id AS a", "id + 1 AS b"), "chain")
+        assert graph.components(links, Scratch(spark, "test")).filter("label = 0").count() == n + 1
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"chain{n}"))
+
+    try:
+        assert jobs(3000) == jobs(3)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
