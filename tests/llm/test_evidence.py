@@ -1,6 +1,7 @@
 """What operators share: rows with extra columns of clashing names, and plain versions of scores and thresholds."""
 
 import math
+import time
 from collections import Counter
 
 import numpy as np
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riverlog.llm import conversations, language, lines, mixing, neardup, neighbours, packing, privacy, quality, resampling, secrets, substrings, warc
+from riverlog.llm.common import Scratch
 
 NAMES = (
     "rank", "lang", "size", "label", "kept", "row", "key", "own", "value", "n", "p", "q", "print", "start", "end", "number", "later", "copy", "place", "block", "turns", "audit", "spans", "personal", "secrets", "quality", "score",
@@ -91,3 +93,19 @@ def test_quality_scores_and_threshold_by_plain_python(spark, documents):
         assert q["score"] == pytest.approx(mine[r["doc_id"]], abs=1e-9)
         assert q["kept"] == (not q["base_failed"] and q["score"] >= model.threshold)
     assert np.isfinite(model.threshold) and text
+
+
+def test_shuffles_of_a_scratch_table_go_once_it_is_written(spark):
+    tracker, key = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def shuffled():
+        files = tracker.getAllFiles()
+        return {name for i in range(files.length()) if (name := files.apply(i).getName()).startswith("shuffle_")}
+
+    before, was = shuffled(), spark.conf.get(key)
+    table = Scratch(spark, "test").table(spark.range(50_000).selectExpr("id % 1000 AS k").groupBy("k").count(), "counts")
+    for _ in range(100):  # files are removed beside the driver's thread
+        if not (left := shuffled() - before):
+            break
+        time.sleep(0.1)
+    assert not left and table.count() == 1000 and spark.conf.get(key) == was
