@@ -256,6 +256,21 @@ def test_rare_words_are_contexts_and_dishes_of_their_own(own_model, documents):
         assert found[i] == pytest.approx(sum(math.log10(chance(x, y)) for x, y in zip(ks, ks[1:], strict=False)), abs=1e-6)
 
 
+def test_keys_are_looked_up_in_waves_of_packed_chunks(spark, own_model):
+    """No row a token is shuffled: a chunk of texts has a row a bucket and wave at most, the waves ask for each key once, and their number changes no score."""
+    docs, model = own_model
+    rows = docs.select("doc_id", F.lit(True).alias("learn"), "text").repartition(2)
+    coded = language._coded(rows, spark.sparkContext.broadcast(model.arrays.hashes), model.settings).cache()
+    shared, chunks, asked = spark.sparkContext.broadcast(model.arrays), coded.count(), {}
+    for waves in (1, 4):
+        found = [r for k in range(waves) for r in language._asked(coded, shared, replace(model.settings, waves=waves), k, 3).collect()]
+        assert len(found) <= chunks * (3 * waves + 1)
+        asked[waves] = Counter(k for r in found if r["keys"] for k in np.cumsum(language._unpacked(r["keys"], np.int64)[0]).tolist())
+    assert asked[1] == asked[4] and asked[1].total() > 100 * chunks
+    scores = [sorted((r["doc_id"], r["n_known"], round(r["score"], 6)) for r in language.scored(docs, replace(model, settings=replace(model.settings, waves=waves))).collect()) for waves in (1, 4)]
+    assert scores[0] == scores[1]
+
+
 def test_model_is_better_than_the_base_on_held_out_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     model = language.fit(docs.filter(~language.is_held_out(F.col("doc_id"))))
