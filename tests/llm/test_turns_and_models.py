@@ -272,6 +272,24 @@ def test_keys_are_looked_up_in_waves_of_packed_chunks(spark, own_model):
     assert scores[0] == scores[1]
 
 
+def test_pairs_lie_packed_in_their_buckets(own_model, documents):
+    """No row a pair: a bucket has two rows at most here, and the rows hold every pair of the training texts with its count."""
+    model = own_model[1]
+    a, rows = model.arrays, model.packed.collect()
+    code = {int(h): k for k, h in enumerate(a.hashes)}
+    pairs = Counter()
+    for i, text, _ in documents:
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            ks = [a.rare + 1, *(code.get(language.xxhash.xxh3_64_intdigest(w.encode()) >> 1, a.rare) for w in tokens_of(text))]
+            pairs.update(x << 32 | y for x, y in zip(ks, ks[1:], strict=False))
+    found = {}
+    for r in rows:
+        keys = np.cumsum(language._unpacked(r["keys"], np.int64)[0])
+        assert (language._bucket(keys, model.buckets) == r["bucket"]).all() and (np.diff(keys) > 0).all()
+        found |= dict(zip(keys.tolist(), language._unpacked(r["c"], np.int64)[0].tolist() if r["c"] else [1] * len(keys), strict=True))
+    assert found == pairs and len(rows) <= 2 * model.buckets < len(pairs)
+
+
 def test_model_is_better_than_the_base_on_held_out_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     model = language.fit(docs.filter(~language.is_held_out(F.col("doc_id"))))
