@@ -24,7 +24,7 @@ from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMes
 
 from ..schema import EXPORT_FIELDS
 from .export import csv_row, document_frame, json_row
-from .lines import numbered
+from .lines import numbered_by_split
 
 BLOCK = 1 << 20
 OPEN, CLOSE, EMPTY = "\n      {\n", "\n      }", r"\n {6}\{\}"  # a record of an indented document; its own texts hold no line ends
@@ -150,4 +150,4 @@ def read_json_document(spark: SparkSession, path: str, schema: str) -> DataFrame
     own = F.when(at > 0, F.array(F.concat(F.substr("value", at), F.lit(CLOSE)))).otherwise(F.array().cast("array<string>"))
     found = F.concat(F.array_repeat(F.lit("{}"), F.regexp_count("value", F.lit(EMPTY))), own)
     rows = text.select("file", "name", "block", F.explode(found).alias("one")).withColumn("i", F.monotonically_increasing_id())
-    return numbered(rows).select(F.lit(int(head[1])).cast("long").alias("count"), F.col("line_no").alias("place"), F.from_json("one", schema).alias("r"))
+    return numbered_by_split(rows).select(F.lit(int(head[1])).cast("long").alias("count"), F.col("line_no").alias("place"), F.from_json("one", schema).alias("r"))

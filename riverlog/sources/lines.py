@@ -25,10 +25,10 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str], numbered: bool =
     value = F.regexp_replace("value", "\r$", "")
     if not numbered:
         return rows.select(F.lit(None).cast("long").alias("line_no"), value.alias("value"))
-    return numbered(rows).select("line_no", value.alias("value"))
+    return numbered_by_split(rows).select("line_no", value.alias("value"))
 
 
-def numbered(rows: DataFrame) -> DataFrame:
+def numbered_by_split(rows: DataFrame) -> DataFrame:
     """Rows of input splits (file, name, block), numbered from 1 as ``line_no`` in the order of files and blocks, by their ``i`` within a split."""
     part = ["file", "name", "block"]
     counts = rows.groupBy(*part).agg(F.count("*").alias("n"), F.min("i").alias("first"))  # one row a split

@@ -18,7 +18,7 @@ from riverlog.operators.filters import RecordFilter, any_of
 from riverlog.plans import queries
 from riverlog.schema import RECORD
 from riverlog.sources import document, export, report
-from riverlog.sources.lines import spool
+from riverlog.sources.lines import read_lines, spool
 from riverlog.streaming import follow
 
 B = 1763460000  # 2025-11-18T10:00:00Z
@@ -333,6 +333,24 @@ def test_documents_are_read_back_by_splits(spark, tmp_path):
         document.read_json_document(spark, path, schema)
 
 
+def test_csv_documents_are_read_back_by_splits(spark, tmp_path):
+    path = f"file://{tmp_path}/d.csv"
+    rows = spark.range(0, 4000, 1, 7).select(F.col("id").alias("line_no"), F.when(F.col("id") % 3 > 0, F.concat(F.lit('a, "é" '), F.col("id").cast("string"))).alias("ua"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in (5_000, 5_003):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            document.write_csv_document(rows, path, ["line_no", "ua"])
+            back = read_lines(spark, path)
+            assert spark.read.text(path).rdd.getNumPartitions() > 10
+            want = ["line_no,ua", *(f"{i}," + (f'"a, ""é"" {i}"' if i % 3 else "") for i in range(4000))]
+            assert [tuple(r) for r in back.orderBy("line_no").collect()] == list(enumerate(want, 1))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    document.write_csv_document(rows.limit(0), path, ["line_no", "ua"])
+    assert [tuple(r) for r in read_lines(spark, path).collect()] == [(1, "line_no,ua")]
+
+
 def test_export_json_document_is_read_by_splits(spark):
     plan = queries.queries()["export_json_document"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "FileScan text" in plan and "FileScan json" not in plan  # of a JSON document as one value a task reads all
